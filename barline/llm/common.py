@@ -113,7 +113,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return mix(h), np.searchsorted(off, start, "right") - 1, start, end
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; it returns a batch or None."""
 
     def run(batches):

@@ -4,14 +4,54 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_counts
-from .common import scratch, table
+from . import bpe, decontaminate, jaccard, language_id, language_model, quality, secret_scan, substring, token_counts, vptree
+from .common import remainder, scratch, table
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def op1_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, F.col("vec_id") % 20 == 0, k=20, factor=1.0)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs = docs.select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out"))
+    model = quality.fit(docs, labels, ~F.col("held_out"))
+    return quality.score(docs, model, ["doc_id", "held_out"])
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder("doc_id", 5) == 0).alias("held_out"))
+    net = language_id.fit(docs, ~F.col("held_out"))
+    return language_id.predict(docs, net, ["doc_id", "held_out"])
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), width=3, similarity=90)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +60,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op4_byte_bpe": op4_byte_bpe,
-    "op10_token_counts": op10_token_counts,
-}
+    f.__name__: f
+    for f in (op1_vantage_trees, op2_secret_scan, op3_language_model, op4_byte_bpe, op5_substring_dedup, op6_quality, op7_language_id, op8_decontaminate, op9_jaccard_join, op10_token_counts)
+}
 
-ORACLES: dict[str, str] = {}
+#: Words as the operators take them, for a column ``text``.
+WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '')"
+
+ORACLES: dict[str, str] = {
+    "op1_vantage_trees": """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, 65), k -> q.e[k] * c.e[k])), (a, b) -> a + b) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id::BIGINT AS query_id, rank::INT AS rank, vec_id::BIGINT AS vec_id, score FROM r WHERE rank <= 20
+""",
+    "op9_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), k -> array_to_string(w[k:k + 2], ' '))) END AS g
+  FROM w
+), d AS (SELECT doc_id, len(g) AS n, g FROM s),
+t AS (SELECT doc_id, n, unnest(g) AS x FROM d),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a)
+SELECT d.doc_id, d.n::BIGINT AS n_shingles, min(reach.b) AS component_id FROM d JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, d.n
+""",
+}
