@@ -179,7 +179,7 @@ def across_groups(met: DataFrame, groups: DataFrame, sets: DataFrame, similarity
     at = stored(at.select("key", "set_id", "component", "n", "group_no"), f"{work}/at")
     member = at.select("component", "group_no", "set_id").distinct()
 
-    def unite(key, table: pa.Table) -> pa.Table:
+    def unite(key, table):
         own = unpacked(table.column("tokens").combine_chunks())
         union = np.unique(np.concatenate(own)).astype("<u8")
         return pa.table({"component": [key[0]], "group_no": [key[1]], "union": [union.tobytes()], "least": [min(map(len, own))], "most": [max(map(len, own))]}, schema=pa.schema([("component", pa.int64()), ("group_no", pa.int64()), ("union", pa.binary()), ("least", pa.int64()), ("most", pa.int64())]))

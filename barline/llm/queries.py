@@ -65,17 +65,17 @@ QUERIES = {
 }
 
 #: Words as the operators take them, for a column ``text``.
-WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '')"
+WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLES: dict[str, str] = {
     "op1_vantage_trees": """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-    list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, 65), k -> q.e[k] * c.e[k])), (a, b) -> a + b) AS score
+    list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, 65), lambda k: q.e[k] * c.e[k])), lambda a, b: a + b) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id::BIGINT AS query_id, rank::INT AS rank, vec_id::BIGINT AS vec_id, score FROM r WHERE rank <= 20
@@ -84,7 +84,7 @@ SELECT query_id::BIGINT AS query_id, rank::INT AS rank, vec_id::BIGINT AS vec_id
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), k -> array_to_string(w[k:k + 2], ' '))) END AS g
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) END AS g
   FROM w
 ), d AS (SELECT doc_id, len(g) AS n, g FROM s),
 t AS (SELECT doc_id, n, unnest(g) AS x FROM d),

@@ -130,16 +130,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, factor: float = 1.0, shar
     def filled(v: np.ndarray) -> np.ndarray:
         return np.concatenate([v, np.sqrt(np.maximum(norm - (v * v).sum(1), 0))[:, None]], 1)
 
-    def stack(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        at = t.column("id").to_numpy()
-        v = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+    def stack(t: pa.Table, id_name: str, v_name: str) -> tuple[np.ndarray, np.ndarray]:
+        at = t.column(id_name).to_numpy()
+        v = t.column(v_name).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
         by = np.argsort(at, kind="stable")
         return at[by], v[by]
 
     def search(key, points: pa.Table, asked: pa.Table) -> pa.Table:
         if not points.num_rows or not asked.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        (ids, v), (q_ids, q) = stack(points), stack(asked)
+        (ids, v), (q_ids, q) = stack(points, "id", "v"), stack(asked, "q", "qv")
         q_ids, first = np.unique(q_ids, return_index=True)
         q = q[first]
         same, own = np.unique(v, axis=0, return_inverse=True)
@@ -165,10 +165,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, factor: float = 1.0, shar
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(of)
 
     points = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
-    asked = rows.join(ids, "id").select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    asked = rows.join(ids, "id").select(F.col("id").alias("q"), F.col("v").alias("qv"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("q_block"))
     # Each pair of a shard and a block of queries is one task of bounded size.
     left = points.select("id", "v", "shard", places("block", blocks)).groupBy("shard", "block")
-    right = asked.select("id", "v", "block", places("shard", shards)).groupBy("shard", "block")
+    right = asked.select("q", "qv", places("q_shard", shards), "q_block").groupBy("q_shard", "q_block")
     parts = stored(left.cogroup(right).applyInArrow(search, "query_id bigint, id bigint, score double"), f"{work}/parts")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = parts.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
