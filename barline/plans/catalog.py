@@ -1,4 +1,12 @@
 """Registered queries and their SQL."""
 
+from __future__ import annotations
+
+from . import indicator_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (indicator_queries,):
+    _queries, _oracles = _module.build()
+    QUERIES |= _queries
+    ORACLES |= _oracles
