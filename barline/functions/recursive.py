@@ -79,17 +79,65 @@ def features(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> dict[str,
     return {"atr14": atr[14], "atr10": atr[10], "ema20": ewm(close, 2 / 21), "macd_hist": line - ewm(line, 2 / 10), "kama10": kama(close), "psar_score": gap}
 
 
-def add_recursive(bars: DataFrame) -> DataFrame:
-    """``bars`` with atr14, atr10, ema20, macd_hist, kama10 and psar_score; missing highs and lows count as the close."""
+def trailing(x: np.ndarray, k: int) -> np.ndarray:
+    """(bars, k): each bar's last ``k`` values, filled with NaN before the first."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(k - 1, np.nan), x]), k)
+
+
+def drawdown(close: np.ndarray, k: int) -> np.ndarray:
+    """Deepest fall from a running peak within each bar's last ``k`` closes, percent; needs 5 of them."""
+    seen = trailing(close, k)
+    with np.errstate(invalid="ignore"):
+        peak = np.fmax.accumulate(seen, axis=1)
+        worst = np.nanmin(np.where(np.isnan(seen), 0.0, seen / peak - 1), axis=1)
+    return np.where(np.arange(len(close)) >= 4, 100 * worst, np.nan)
+
+
+def vol_percentile(close: np.ndarray, k: int = 252, least: int = 21) -> np.ndarray:
+    """Share of the last ``k`` realized volatilities that are no larger than the current one, percent."""
+    ret = np.diff(np.log(close), prepend=np.nan)
+    vol = trailing(ret, 21).std(axis=1, ddof=1)
+    seen = trailing(vol, k)
+    n = (~np.isnan(seen)).sum(1)
+    with np.errstate(invalid="ignore"):
+        share = 100.0 * (seen <= vol[:, None]).sum(1) / np.maximum(n, 1)
+    return np.where(np.isnan(vol) | (n < least), np.nan, share)
+
+
+def hurst(close: np.ndarray, window: int = 504, top: int = 20) -> np.ndarray:
+    """Slope of ln(std of lagged differences) on ln(lag) within each bar's last ``window`` closes; needs 60."""
+    logs, bar = np.log(close), np.arange(len(close))
+    x = np.log(np.arange(2, top + 1))
+    x = (x - x.mean()) / ((x - x.mean()) ** 2).sum()
+    slope, lowest = np.zeros(len(close)), np.full(len(close), np.inf)
+    for lag, weight in zip(range(2, top + 1), x, strict=True):
+        d = np.concatenate([np.zeros(min(lag, len(logs))), logs[lag:] - logs[:-lag]])
+        sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (d, d * d)]
+        begin = np.maximum(bar - (window - lag) + 1, lag)
+        n = np.maximum(bar - begin + 1, 1)
+        mean, square = ((v[bar + 1] - v[np.minimum(begin, bar + 1)]) / n for v in sums)
+        var = square - mean * mean
+        lowest = np.minimum(lowest, var)
+        slope += weight * 0.5 * np.log(np.where(var > 0, var, 1.0))
+    return np.where((bar >= 59) & (lowest > 0), np.clip(slope, 0, 1), np.nan)
+
+
+#: Further columns that :func:`add_recursive` can give: quadratic in the frame for window functions, arrays here.
+PATH = {"hurst504": lambda c: hurst(c, 504), "vol_pctile": vol_percentile} | {f"max_drawdown{k}": (lambda c, k=k: drawdown(c, k)) for k in (21, 63, 126, 252)}
+
+
+def add_recursive(bars: DataFrame, *more: str) -> DataFrame:
+    """``bars`` with atr14, atr10, ema20, macd_hist, kama10, psar_score, and the named columns of PATH; missing highs and lows count as the close."""
+    columns = (*COLUMNS, *more)
 
     def run(table):
         table = table.sort_by("date")
         close = table.column("close").to_numpy()
         high, low = (np.where(np.isnan(x := table.column(c).to_numpy(zero_copy_only=False)), close, x) for c in ("high", "low"))
-        for name, values in features(high.astype(float), low.astype(float), close.astype(float)).items():
+        found = features(high.astype(float), low.astype(float), close.astype(float))
+        for name, values in (found | {m: PATH[m](close.astype(float)) for m in more}).items():
             table = table.append_column(name, pa.array([None if math.isnan(v) else float(v) for v in values], pa.float64()))
         return table
 
-    more = "".join(f", {c} double" for c in COLUMNS)
-    schema = ", ".join(f"{n} {t}" for n, t in bars.dtypes) + more
+    schema = ", ".join(f"{n} {t}" for n, t in bars.dtypes) + "".join(f", {c} double" for c in columns)
     return bars.groupBy("symbol").applyInArrow(run, schema)

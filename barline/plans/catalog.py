@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import indicator_queries, score_queries
+from . import backtest_queries, indicator_queries, score_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (indicator_queries, score_queries):
+for _module in (indicator_queries, score_queries, backtest_queries):
     _queries, _oracles = _module.build()
     QUERIES |= _queries
     ORACLES |= _oracles
