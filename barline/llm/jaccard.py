@@ -5,9 +5,9 @@
    elements, so linked sets agree in whole parts; the digest of each part is a key. With ``spare`` more parts than
    needed, empty parts need no key (a set with more empty parts than that has keys for them too). No link is lost.
 3. Sets that share a key with the key's first set are compared with it: similar sets gather in groups around leaders.
-4. The token-group matrix stores the union of each group's tokens. Where one key joins sets that are not yet
-   connected, a set's overlap with the other group's union bounds its similarity to every member; only groups whose bound
-   reaches the threshold are opened and their members compared. Sets that are connected already need no comparison.
+4. The token-group matrix stores the union of each group's tokens (groups have a bounded size). Where a key joins groups
+   that are not yet one component, a set's overlap with the other group's union bounds its similarity to every member;
+   only groups whose bound reaches the threshold are opened and compared. Connected sets need no comparison.
 
 Contract: the words are as in :mod:`common`; a text with fewer words than the width is one shingle, the whole sequence; a
 text without words has an empty set, size 0, and is linked with nothing. Rows stay one for one; rows of equal id share
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import _COEF, map_arrow, mix, prepare, raw, scratch, slices, stored, words
 from .components import components
 
-GROUP_SETS = 32
+GROUP_SETS = 64
 
 
 def shingle_sets(texts: pa.Array, width: int):
@@ -166,43 +166,52 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), run, "a bigint, b bigint")
 
 
+def grouped(star: DataFrame, known: DataFrame) -> DataFrame:
+    """(set_id, component, grp): similar sets side by side. A set's home is the first leader that it met; homes of many sets are cut."""
+    near = star.select("member", "leader").unionByName(star.select(F.col("leader").alias("member"), "leader"))
+    home = near.groupBy(F.col("member").alias("set_id")).agg(F.min("leader").alias("home"))
+    sizes = home.groupBy("home").agg(F.ceil(F.count("*") / GROUP_SETS).alias("cuts"))
+    cut = F.xxhash64("home", F.pmod(F.xxhash64("set_id"), F.col("cuts")))
+    return home.join(sizes, "home").select("set_id", cut.alias("grp")).join(known, "set_id")
+
+
 def across_groups(met: DataFrame, groups: DataFrame, sets: DataFrame, similarity: int, work: str) -> DataFrame:
     """Linked pairs (a, b) of sets that share a key but not a component: the token-group matrix.
 
-    ``met``: (key, set_id); ``groups``: (set_id, component).
+    ``met``: (key, set_id); ``groups``: (set_id, component, grp). Groups that meet in a key are held against each other: the
+    union of one's tokens bounds the overlap of each set of the other, and only within the bound are its members opened.
     """
-    at = met.join(groups, "set_id")
-    open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    at = at.join(open_keys, "key").join(sizes, "component")
-    at = at.withColumn("group_no", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("n") / GROUP_SETS)))
-    at = stored(at.select("key", "set_id", "component", "n", "group_no"), f"{work}/at")
-    member = at.select("component", "group_no", "set_id").distinct()
-
-    def unite(key, table):
-        own = unpacked(table.column("tokens").combine_chunks())
-        union = np.unique(np.concatenate(own)).astype("<u8")
-        return pa.table({"component": [key[0]], "group_no": [key[1]], "union": [union.tobytes()], "least": [min(map(len, own))], "most": [max(map(len, own))]}, schema=pa.schema([("component", pa.int64()), ("group_no", pa.int64()), ("union", pa.binary()), ("least", pa.int64()), ("most", pa.int64())]))
-
-    unions = member.join(sets.select("set_id", "tokens"), "set_id").groupBy(F.col("component").cast("long"), F.col("group_no").cast("long")).applyInArrow(unite, "component bigint, group_no bigint, union binary, least bigint, most bigint")
-    # The smaller component asks the larger one's groups.
-    ask = at.select("key", F.col("set_id").alias("q"), F.struct("n", "component").alias("asks"))
-    hold = at.select("key", "component", "group_no", F.struct("n", "component").alias("holds")).distinct()
-    queries = ask.join(hold, "key").where("asks < holds").select("q", "component", "group_no").distinct()
-
-    def bound(b: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, union = unpacked(b.column(3)), unpacked(b.column(4))
-        least, most = b.column(5).to_pylist(), b.column(6).to_pylist()
-        ok = []
-        for t, u, lo, hi in zip(tokens, union, least, most, strict=True):
-            size = max(len(t), lo)  # a member's union with the query has at least so many tokens
-            ok.append(min(len(t), hi) * 100 >= similarity * size and overlap(t, u) * 100 >= similarity * size)
-        return b.select([0, 1, 2]).filter(pa.array(ok, pa.bool_()))
-
-    asked = queries.join(sets.select(F.col("set_id").alias("q"), "tokens"), "q").join(unions, ["component", "group_no"])
-    opened = map_arrow(asked.select("q", "component", "group_no", "tokens", "union", "least", "most"), bound, "q bigint, component bigint, group_no bigint")
-    pairs = opened.join(member, ["component", "group_no"]).select(F.col("q").alias("a"), F.col("set_id").alias("b")).distinct()
-    return compared(pairs, sets, similarity)
+    held = groups.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    at = met.join(groups, "set_id").select("key", "grp").distinct().join(held, "grp")
+    several = at.groupBy("key").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("key")
+    at = stored(at.join(several, "key"), f"{work}/at")
+    other = at.select("key", F.col("grp").alias("grp2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    one = (F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))
+    pairs = at.join(other, "key").where((F.col("grp") <= F.col("grp2")) & ~one).select("grp", "grp2").distinct()
+    pairs = stored(pairs, f"{work}/pairs")
+    members = groups.join(sets, "set_id").select("grp", "set_id", "component", "tokens")
+    left = pairs.join(members, "grp").select("grp", "grp2", "set_id", "component", "tokens")
+    right = pairs.select("grp", F.col("grp2").alias("to")).join(members.withColumnRenamed("grp", "to"), "to")
+    right = right.select(F.col("grp").alias("from"), "to", F.col("set_id").alias("set2"), F.col("component").alias("component2"), F.col("tokens").alias("tokens2"))
+
+    def search(key, queries, group):
+        asked, opened = [unpacked(t.column(c).combine_chunks()) for t, c in ((queries, "tokens"), (group, "tokens2"))]
+        q_id, q_comp, g_id, g_comp = (t.column(c).to_pylist() for t, c in ((queries, "set_id"), (queries, "component"), (group, "set2"), (group, "component2")))
+        out = ([], [])
+        if asked and opened:
+            union, least, most = np.unique(np.concatenate(opened)), min(map(len, opened)), max(map(len, opened))
+            within = queries.column("grp")[0].as_py() == queries.column("grp2")[0].as_py()
+            for q, tokens, comp in zip(q_id, asked, q_comp, strict=True):
+                size = max(len(tokens), least)  # a member's union with the query has at least so many tokens
+                if min(len(tokens), most) * 100 < similarity * size or overlap(tokens, union) * 100 < similarity * size:
+                    continue
+                for g, theirs, other_comp in zip(g_id, opened, g_comp, strict=True):
+                    if comp != other_comp and (not within or q < g) and linked(tokens, theirs, similarity):
+                        out[0].append(q)
+                        out[1].append(g)
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return left.groupBy("grp", "grp2").cogroup(right.groupBy("from", "to")).applyInArrow(search, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, width: int = 3, similarity: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +237,8 @@ def join(docs: DataFrame, width: int = 3, similarity: int = 90, id_col: str = "d
     first = components(edges, f"{work}/first")
     known = wanted.join(first, wanted["set_id"] == first["node"], "left").select("set_id", F.coalesce("component", "set_id").alias("component"))
     known = stored(known, f"{work}/known")
-    more = stored(across_groups(met, known, sets, similarity, work), f"{work}/more")
+    groups = stored(grouped(star, known), f"{work}/groups")
+    more = stored(across_groups(met, groups, sets, similarity, work), f"{work}/more")
     last = components(edges.unionByName(more), f"{work}/last")
     # The smallest id of each set, then of each component.
     named = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("least"))
