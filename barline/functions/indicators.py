@@ -11,7 +11,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rolling import BY, clip, lag, ratio, roll, roll2, rows
+from .rolling import by, clip, lag, ratio, roll, roll2, rows
 
 C = F.col
 BARS = ("symbol", "sector", "date", "open", "high", "low", "close", "volume")
@@ -44,7 +44,7 @@ def add(bars: DataFrame, *names: str) -> DataFrame:
 
 
 # Building blocks
-indicator("n_bar")(lambda: F.row_number().over(BY))
+indicator("n_bar")(lambda: F.row_number().over(by()))
 indicator("prev_close")(lambda: lag("close"))
 indicator("log_close")(lambda: F.ln("close"))
 indicator("diff", "prev_close")(lambda: C("close") - C("prev_close"))
@@ -114,10 +114,10 @@ def _dx() -> Column:
 
 
 for _k in range(2, 21):
-    indicator(f"_lagdiff{_k}", "log_close")(lambda k=_k: C("log_close") - F.lag("log_close", k).over(BY))
+    indicator(f"_lagdiff{_k}", "log_close")(lambda k=_k: C("log_close") - F.lag("log_close", k).over(by()))
     for _p in (1, 2):
         # Running sums of the lagged differences and of their squares: a frame is then a difference of two of them.
-        indicator(f"_lagsum{_k}_{_p}", f"_lagdiff{_k}")(lambda k=_k, p=_p: F.sum(F.pow(f"_lagdiff{k}", F.lit(float(p)))).over(BY.rowsBetween(Window.unboundedPreceding, 0)))
+        indicator(f"_lagsum{_k}_{_p}", f"_lagdiff{_k}")(lambda k=_k, p=_p: F.sum(F.pow(f"_lagdiff{k}", F.lit(float(p)))).over(by().rowsBetween(Window.unboundedPreceding, 0)))
 for _w in (252, 504):
     indicator(f"hurst{_w}", "n_bar", *[f"_lagsum{k}_{p}" for k in range(2, 21) for p in (1, 2)])(lambda w=_w: _hurst(w))
 
@@ -130,13 +130,13 @@ def _hurst(w: int) -> Column:
     variances = []
     for k in range(2, 21):
         n = F.least(C("n_bar"), F.lit(w)) - k
-        m1, m2 = (ratio(C(f"_lagsum{k}_{p}") - F.coalesce(F.lag(f"_lagsum{k}_{p}", w - k).over(BY), F.lit(0.0)), n) for p in (1, 2))
+        m1, m2 = (ratio(C(f"_lagsum{k}_{p}") - F.coalesce(F.lag(f"_lagsum{k}_{p}", w - k).over(by()), F.lit(0.0)), n) for p in (1, 2))
         variances.append(m2 - m1 * m1)
     slope = sum(((v - mean) / spread) * 0.5 * F.ln(t) for v, t in zip(x, variances, strict=True))
     return F.when((C("n_bar") >= 60) & (F.least(*variances) > 0), clip(slope, 0.0, 1.0))
 
 
-indicator("lag_log", "log_close")(lambda: F.lag("log_close").over(BY))
+indicator("lag_log", "log_close")(lambda: F.lag("log_close").over(by()))
 indicator("_ar", "lag_log", "log_ret")(lambda: roll2(F.regr_slope, "log_ret", "lag_log", 125, 29))
 indicator("half_life126", "_ar")(lambda: F.when((C("_ar") < 0) & (-log(2) / C("_ar") < 1260), -log(2) / C("_ar")))
 indicator("_sum5", "log_ret")(lambda: roll(F.sum, "log_ret", 5))
@@ -144,16 +144,16 @@ indicator("variance_ratio", "_sum5")(lambda: F.when(F.count("log_ret").over(rows
 
 # Volume and flow
 indicator("_flow", "tp")(lambda: C("tp") * C("volume"))
-indicator("_tp_diff", "tp")(lambda: C("tp") - F.lag("tp").over(BY))
+indicator("_tp_diff", "tp")(lambda: C("tp") - F.lag("tp").over(by()))
 indicator("_flow_up", "_flow", "_tp_diff")(lambda: F.when(C("_tp_diff") > 0, C("_flow")).otherwise(0.0))
 indicator("_flow_down", "_flow", "_tp_diff")(lambda: F.when(C("_tp_diff") < 0, C("_flow")).otherwise(0.0))
 indicator("mfi14", "_flow_up", "_flow_down")(lambda: F.coalesce(100 - 100 / (1 + ratio(roll(F.sum, "_flow_up", 14), roll(F.sum, "_flow_down", 14))), F.lit(50.0)))
 indicator("_mfv")(lambda: ratio((C("close") - C("low")) - (C("high") - C("close")), C("high") - C("low")) * C("volume"))
 indicator("cmf20", "_mfv")(lambda: F.coalesce(ratio(roll(F.sum, "_mfv", 20), roll(F.sum, "volume", 20)), F.lit(0.0)))
 indicator("_signed", "diff")(lambda: F.coalesce(F.signum("diff"), F.lit(0.0)) * C("volume"))
-indicator("obv", "_signed")(lambda: F.sum("_signed").over(BY.rowsBetween(Window.unboundedPreceding, 0)))
-indicator("_obv_diff", "obv")(lambda: C("obv") - F.lag("obv").over(BY))
-indicator("obv_z", "_obv_diff")(lambda: ratio(C("obv") - F.lag("obv", 20).over(BY), roll(F.stddev_samp, "_obv_diff", 60, 20) * sqrt(20)))
+indicator("obv", "_signed")(lambda: F.sum("_signed").over(by().rowsBetween(Window.unboundedPreceding, 0)))
+indicator("_obv_diff", "obv")(lambda: C("obv") - F.lag("obv").over(by()))
+indicator("obv_z", "_obv_diff")(lambda: ratio(C("obv") - F.lag("obv", 20).over(by()), roll(F.stddev_samp, "_obv_diff", 60, 20) * sqrt(20)))
 indicator("obv_scaled", "obv")(lambda: F.coalesce(100 * ratio(C("obv") - F.min("obv").over(rows(20)), F.max("obv").over(rows(20)) - F.min("obv").over(rows(20))), F.lit(50.0)))
 indicator("vwap20", "_flow")(lambda: ratio(roll(F.sum, "_flow", 20), roll(F.sum, "volume", 20)))
 indicator("vwap_dev", "vwap20")(lambda: 100 * (ratio(C("close"), C("vwap20")) - 1))
@@ -174,7 +174,7 @@ def _donchian_position() -> Column:
 
 
 def _donchian_breakout() -> Column:
-    before = BY.rowsBetween(-20, -1)
+    before = by().rowsBetween(-20, -1)
     full = F.count("high").over(before) >= 20
     return F.when(full & (C("close") > F.max("high").over(before)), 1).when(full & (C("close") < F.min("low").over(before)), -1).otherwise(0)
 

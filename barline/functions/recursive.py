@@ -39,7 +39,7 @@ def kama(close: np.ndarray, period: int = 10, fast: int = 2, slow: int = 30) ->
 
 
 def psar(high: np.ndarray, low: np.ndarray, close: np.ndarray, step: float = 0.02, top: float = 0.2) -> np.ndarray:
-    """Stop-and-reverse points. The trend starts upward with the first low as stop; two bars clamp each new stop."""
+    """Stop-and-reverse points. The trend starts upward with the first low as stop; from the third bar on the two bars before clamp each new stop."""
     n = len(close)
     stop, rising, af, extreme = np.array(close, float), True, step, high[0] if n else 0.0
     if n:
@@ -47,13 +47,13 @@ def psar(high: np.ndarray, low: np.ndarray, close: np.ndarray, step: float = 0.0
     for i in range(1, n):
         now = stop[i - 1] + af * (extreme - stop[i - 1])
         if rising:
-            now = min(now, low[i - 1], low[max(0, i - 2)])
+            now = min(now, low[i - 1], low[i - 2]) if i > 1 else now
             if low[i] < now:
                 rising, now, extreme, af = False, extreme, low[i], step
             elif high[i] > extreme:
                 extreme, af = high[i], min(af + step, top)
         else:
-            now = max(now, high[i - 1], high[max(0, i - 2)])
+            now = max(now, high[i - 1], high[i - 2]) if i > 1 else now
             if high[i] > now:
                 rising, now, extreme, af = True, extreme, high[i], step
             elif low[i] < extreme:

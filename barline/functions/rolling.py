@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("symbol").orderBy("date")
+def by():
+    """Each symbol's bars in order."""
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def rows(k: int):
     """The current bar and the ``k - 1`` before it."""
-    return BY.rowsBetween(-(k - 1), 0)
+    return by().rowsBetween(-(k - 1), 0)
 
 
 def roll(f: Callable, x: str | Column, k: int, least: int | None = None) -> Column:
@@ -27,7 +29,7 @@ def roll2(f: Callable, y: str, x: str, k: int, least: int | None = None) -> Colu
 
 
 def lag(x: str, k: int = 1) -> Column:
-    return F.lag(x, k).over(BY)
+    return F.lag(x, k).over(by())
 
 
 def ratio(a, b) -> Column:

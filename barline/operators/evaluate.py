@@ -9,7 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import BY, ratio
+from ..functions.rolling import by, ratio
 from .backtest import MIN_IC, melted, sharpe_parts
 from .cross import average_rank
 
@@ -22,7 +22,7 @@ GAMMA = 0.5772156649015329
 
 def events() -> dict[str, Column]:
     """Name and condition at a bar; needs don_break, squeeze_fired, zscore20 and macd_hist."""
-    before = F.lag("macd_hist").over(BY)
+    before = F.lag("macd_hist").over(by())
     return {
         "donchian_breakout_up": F.col("don_break") == 1, "donchian_breakout_down": F.col("don_break") == -1, "squeeze_fired": F.col("squeeze_fired"), "zscore_below_-2": F.col("zscore20") <= -2,
         "zscore_above_2": F.col("zscore20") >= 2, "macd_flip_positive": (F.col("macd_hist") > 0) & (before <= 0),
@@ -35,10 +35,10 @@ def event_study(bars: DataFrame, years: float = 3, start: int = 300) -> DataFram
     Bars count from the later of ``start`` and the last ``years``, and only with all forward returns; events of fewer
     than 20 have no means.
     """
-    ahead = {f"f{h}": ratio(F.lead("close", h).over(BY), F.col("close")) - 1 for h in HORIZONS}
+    ahead = {f"f{h}": ratio(F.lead("close", h).over(by()), F.col("close")) - 1 for h in HORIZONS}
     whole = Window.partitionBy("symbol")
     flags = F.array(*[F.when(F.coalesce(c, F.lit(False)), name) for name, c in {"baseline": F.lit(True), **events()}.items()])
-    t = bars.withColumns({"i": F.row_number().over(BY) - 1, "total": F.count("*").over(whole), "found": F.array_compact(flags), **ahead})
+    t = bars.withColumns({"i": F.row_number().over(by()) - 1, "total": F.count("*").over(whole), "found": F.array_compact(flags), **ahead})
     t = t.where((F.col("i") >= F.greatest(F.lit(start), F.col("total") - int(years * 252))) & (F.col("i") < F.col("total") - max(HORIZONS)))
     got = t.select(F.explode("found").alias("event"), *ahead).groupBy("event").agg(F.count("*").alias("n"), *[(100 * F.avg(f"f{h}")).alias(f"d{h}") for h in HORIZONS])
     return got.select("event", "n", *[F.when((F.col("n") >= LEAST_EVENTS) | (F.col("event") == "baseline"), F.col(f"d{h}")).alias(f"d{h}") for h in HORIZONS])
@@ -100,8 +100,8 @@ def null_ic(panel: DataFrame, strategies: list[str], permutations: int = 200, se
 def state_summary(labels: DataFrame) -> DataFrame:
     """(state, share, n_runs, mean_run, median_run) of (symbol, date, state); runs never cross symbols."""
     t = labels.where("state IS NOT NULL")
-    t = t.withColumn("turn", F.coalesce((F.col("state") != F.lag("state").over(BY)).cast("int"), F.lit(1)))
-    t = t.withColumn("run", F.sum("turn").over(BY.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("turn", F.coalesce((F.col("state") != F.lag("state").over(by())).cast("int"), F.lit(1)))
+    t = t.withColumn("run", F.sum("turn").over(by().rowsBetween(Window.unboundedPreceding, 0)))
     runs = t.groupBy("symbol", "run", "state").agg(F.count("*").alias("size"))
     got = runs.groupBy("state").agg(F.sum("size").alias("bars"), F.count("*").alias("n_runs"), F.avg("size").alias("mean_run"), F.percentile("size", F.lit(0.5)).alias("median_run"))
     return got.select("state", (F.col("bars") / F.sum("bars").over(Window.partitionBy())).alias("share"), "n_runs", "mean_run", "median_run")  # a row for each state

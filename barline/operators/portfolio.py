@@ -7,14 +7,14 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import BY, ratio
+from ..functions.rolling import by, ratio
 
 RET_WINDOW, MIN_PAIR, MAX_CORR, KEEP, CAP, MAX_NAMES = 126, 40, 0.92, 1.5, 0.15, 20
 
 
 def recent_returns(bars: DataFrame, window: int = RET_WINDOW) -> DataFrame:
     """(symbol, date, ret) of the last ``window`` dates on which any symbol has a return."""
-    r = bars.select("symbol", "date", (ratio(F.col("close"), F.lag("close").over(BY)) - 1).alias("ret")).where("ret IS NOT NULL")
+    r = bars.select("symbol", "date", (ratio(F.col("close"), F.lag("close").over(by())) - 1).alias("ret")).where("ret IS NOT NULL")
     dates = r.select("date").distinct().orderBy(F.desc("date")).limit(window)
     return r.join(F.broadcast(dates), "date").select("symbol", "date", "ret")
 
