@@ -17,6 +17,7 @@ kept. Items are taken in blocks of a bounded size, so any number of them works.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,17 +54,25 @@ def cgk(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: int, wal
     return out
 
 
+@lru_cache(4096)
 def sampled_steps(steps: int, walk: int) -> np.ndarray:
     return np.random.default_rng([walk, steps]).choice(steps, min(SAMPLED, steps), replace=False)
 
 
-def keys(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """One LSH key for each sequence in table ``walk``."""
-    path = cgk(symbols, begin, end, steps, walk)
-    key = np.full(len(begin), walk * 100003 + steps, np.uint64)
-    for t in sampled_steps(steps, walk):
-        key = mix(key * np.uint64(31) + path[:, t])
-    return key
+def keys(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: np.ndarray, walk: int) -> np.ndarray:
+    """One LSH key for each sequence in table ``walk``; ``steps``: how much of the walk each may sample.
+
+    A walk's beginning doesn't depend on its length, so sequences of all sizes are walked together.
+    """
+    path = cgk(symbols, begin, end, int(steps.max()), walk)
+    out = np.zeros(len(begin), np.uint64)
+    for n in np.unique(steps):
+        rows = np.flatnonzero(steps == n)
+        key = np.full(len(rows), walk * 100003 + int(n), np.uint64)
+        for t in sampled_steps(int(n), walk):
+            key = mix(key * np.uint64(31) + path[rows, t])
+        out[rows] = key
+    return out
 
 
 def infix_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -111,10 +120,11 @@ class Index:
         for g, (h, _, _) in self.grams.items():
             self.hit[g][(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         self.tables = [{} for _ in range(self.walks)]
-        for walk in range(self.walks):
-            for i in np.flatnonzero(n > 0):
-                key = keys(self.symbols, self.begin[i : i + 1], self.begin[i : i + 1] + n[i], int(self.steps[i]), walk)[0]
-                self.tables[walk].setdefault(int(key), []).append(int(i))
+        some = np.flatnonzero(n > 0)
+        for walk in range(self.walks if len(some) else 0):
+            got = keys(self.symbols, self.begin[some], self.begin[some] + n[some], self.steps[some], walk)
+            for key, i in zip(got.tolist(), some.tolist(), strict=True):
+                self.tables[walk].setdefault(key, []).append(i)
 
     def windows(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, item and row of the windows whose alignment shares a run with an item."""
@@ -141,14 +151,12 @@ class Index:
         met = np.zeros(len(anchor), bool)  # a window that begins before its row is clipped
         begin = np.maximum(anchor, first_of[at_row])
         end = np.minimum(begin + self.size[item], end_of[at_row])
-        for steps in np.unique(self.steps[item]):
-            group = np.flatnonzero(self.steps[item] == steps)
-            for walk, tab in enumerate(self.tables):
-                rest = group[~met[group]]
-                if not len(rest):
-                    break
-                got = keys(h, begin[rest], end[rest], int(steps), walk)
-                met[rest] = [i in tab.get(int(k), ()) for k, i in zip(got, item[rest], strict=True)]
+        for walk, tab in enumerate(self.tables):
+            rest = np.flatnonzero(~met)
+            if not len(rest):
+                break
+            got = keys(h, begin[rest], end[rest], self.steps[item[rest]], walk)
+            met[rest] = [i in tab.get(k, ()) for k, i in zip(got.tolist(), item[rest].tolist(), strict=True)]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for a, i, r in zip(anchor[met], item[met], at_row[met], strict=True):
             d = self.edits[i]
