@@ -29,6 +29,10 @@ WINDOWS_AT_ONCE = 128
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 @dataclass
 class Network:
     """Embedding (256, EMBED), one kernel (width, EMBED, FILTERS) and bias per width, output layer."""
@@ -154,7 +158,7 @@ class Scorer:
         prob = np.exp(mean - mean.max(1, keepdims=True))
         prob /= prob.sum(1, keepdims=True)
         best = prob.argmax(1)
-        letters = [bool(LETTER.search(t or "")) for t in texts.to_pylist()]
+        letters = [has_letter(t or "") for t in texts.to_pylist()]
         return [self.net.labels[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], [float(prob[i, b]) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, letters, strict=True))]
 
 
@@ -175,7 +179,7 @@ def fit(docs: DataFrame, learn, per_label: int = 500, windows_each: int = 3, id_
     size = F.greatest(F.char_length("text") - WINDOW, F.lit(0))
     places = F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), (size + 1).cast("long")).cast("int") + 1 for k in range(windows_each)])
     cut = drawn.select("label", F.explode(F.array_distinct(places)).alias("at"), "text").select("label", F.expr(f"substring(text, at, {WINDOW})").alias("text"))
-    sample = sorted((r["label"], r["text"]) for r in cut.limit(2 * per_label * windows_each * len(counts)).collect() if LETTER.search(r["text"]))
+    sample = sorted((r["label"], r["text"]) for r in cut.limit(2 * per_label * windows_each * len(counts)).collect() if has_letter(r["text"]))
     if not sample:
         return None
     labels = sorted({label for label, _ in sample})
