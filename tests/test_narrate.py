@@ -29,7 +29,7 @@ def test_facts_signals_and_beta(spark):
     twice = make_bars(spark, {"M": walk(330, 1)})
     from barline.functions.indicators import add
 
-    t = beta(add(features(bars, h), "bb_up", "bb_low", "half_life126"), twice)
+    t = beta(add(features(bars, h), "bb_up", "bb_low", "half_life126", "don_break"), twice)
     t = squeeze(score(t, h)).withColumn("signals", signals(h))
     rows = {r.symbol: r for r in latest(t.select("symbol", "date", "beta", "alpha", "signals")).collect()}
     assert abs(rows["A"].beta - 252 / 251) < 1e-6 and len(rows["A"].signals) <= 5
