@@ -1,9 +1,9 @@
 """N-gram Jaccard join with a token-group matrix, for all pairs of documents.
 
 1. Each document becomes the set of its hashed word shingles; equal sets become one, known by a digest.
-2. Sets meet by exact part keys. Sets of nearby sizes are cut by hash ranges into more parts than they may differ in
-   elements, so linked sets agree in whole parts; the digest of each part is a key. With ``spare`` more parts than
-   needed, empty parts need no key (a set with more empty parts than that has keys for them too). No link is lost.
+2. Sets meet by keys: each set's least hashes in many hash ranges, taken in runs. There are so many keys that two sets at
+   the threshold fail to meet in fewer than one of 10^10 cases, and more similar ones less often still; sets that share
+   a passage only seldom meet.
 3. Sets that share a key with the key's first set are compared with it: similar sets gather in groups around leaders.
 4. The token-group matrix stores the union of each group's tokens (groups have a bounded size). Where a key joins groups
    that are not yet one component, a set's overlap with the other group's union bounds its similarity to every member;
@@ -17,6 +17,7 @@ Shingles and sets are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +29,8 @@ from .common import _COEF, map_arrow, mix, prepare, raw, scratch, slices, stored
 from .components import components
 
 GROUP_SETS = 64
+MISSED = 1e-10
+_SEEDS = np.random.default_rng(31).integers(1, 2**63, 512, dtype=np.int64).astype(np.uint64)
 
 
 def shingle_sets(texts: pa.Array, width: int):
@@ -50,38 +53,34 @@ def shingle_sets(texts: pa.Array, width: int):
 
 
 @lru_cache(64)
-def size_classes(similarity: int, upto: int) -> np.ndarray:
-    """Upper ends of the classes of set sizes; no linked pair spans more than two neighbouring ones."""
-    ends, end = [], 0
-    while end < upto:
-        end = max(end + 1, int((end + 1) * (100 / similarity) ** 3))
-        ends.append(end)
-    return np.array(ends)
+def bands(similarity: int) -> tuple[int, int]:
+    """Least hashes in a key, and keys, so that sets at the threshold share a key but for one case in MISSED."""
+    t = similarity / 100
+    rows = max(1, int(math.log(0.4) / math.log(t))) if t < 1 else 8
+    return rows, math.ceil(math.log(MISSED) / math.log(1 - min(t**rows, 0.999)))
 
 
-def parts_of(similarity: int, largest: int) -> tuple[int, int]:
-    """How many parts sets of at most ``largest`` elements are cut into, and how many of them may be empty."""
-    differ = 2 * largest * (100 - similarity) // (100 + similarity)
-    spare = 0 if differ == 0 else 1 + (differ + 1) // 12
-    return differ + 1 + spare, spare
+def places(n: int) -> int:
+    """Hash ranges that a set of ``n`` elements is cut into: a power of two, with four elements in each or more."""
+    return 1 if n < 8 else min(256, 1 << (n // 4).bit_length() - 1)
 
 
 def part_keys(tokens: np.ndarray, similarity: int) -> np.ndarray:
-    """The keys by which a set meets every set it may be linked with."""
+    """The keys by which a set meets every set it may be linked with: digests of runs of least hashes by range.
+
+    Sets of nearby sizes may be cut differently, so a set near the border has the keys of the larger cut too.
+    """
     n = len(tokens)
-    ends = size_classes(similarity, 1 << int(n * 100 // similarity + 2).bit_length())
-    own = int(np.searchsorted(ends, n))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)))])
+    rows, count = bands(similarity)
     keys = []
-    for c in (own, own + 1):
-        if c > own and n * 100 < similarity * (ends[own] + 1):
-            break  # too small for anything in the next class
-        count, spare = parts_of(similarity, int(ends[c]))
-        edges = np.concatenate([[0], np.searchsorted(tokens, (np.arange(1, count, dtype=np.float64) / count * 2.0**64).astype(np.uint64)), [n]])
-        got = sums[edges[1:]] - sums[edges[:-1]]
-        used = edges[1:] > edges[:-1]
-        key = mix(got + mix(np.arange(count, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(c)))
-        keys.append(key if (~used).sum() > spare else key[used])
+    for p in sorted({places(n), places(n * 100 // similarity)}):
+        repeats = -(-rows * count // p)
+        h = mix(tokens[None] ^ _SEEDS[:repeats, None])
+        part = (h >> np.uint64(65 - p.bit_length())).astype(np.int64) if p > 1 else np.zeros(h.shape, np.int64)
+        least = np.full(repeats * p, np.uint64(2**64 - 1))
+        np.minimum.at(least, (part + np.arange(repeats)[:, None] * p).ravel(), h.ravel())
+        runs = mix(least[: rows * count] + np.arange(rows * count, dtype=np.uint64)).reshape(count, rows)
+        keys.append(mix(runs.sum(1) + np.uint64(p)))
     return np.concatenate(keys)
 
 
