@@ -3,8 +3,9 @@
 Texts and items are sequences of hashed words. The CGK random walk reads a sequence with a pointer that, step by step,
 moves on or stays by a shared random bit for (step, symbol); two sequences at a small edit distance give walks at a small
 Hamming distance. Bits sampled from repeated walks key an LSH table of the items; item-sized windows are looked up in it,
-and what they meet is verified by the exact edit distance. ``walks`` tables are drawn so that a pair at the largest
-allowed distance is met with probability ``recall`` or more.
+and what they meet is verified by the exact edit distance. How many steps a key samples, and in how many tables an item
+lies, follows from its length and allowed edits: walks of copies at the largest allowed distance are measured (:func:`plan`),
+so that such a pair is met with probability ``recall`` or more wherever its edits lie.
 
 Which windows: within the allowed distance, an item and its copy share a run of consecutive words (pigeonhole), so only
 windows aligned to such a shared run are embedded. This skips no pair that the verification would accept.
@@ -29,6 +30,11 @@ from .common import map_arrow, mix, prepare, raw, slices, words
 BLOCK_BYTES = 16 << 20
 STEPS_PER_WORD = 2
 SAMPLED = 3
+#: How meeting probabilities are measured: kinds of edits, copies of each, walks of each copy, samples of each walk; lengths; part of the allowed misses.
+KINDS_OF_EDITS = ("any", "put", "drop", "add", "front", "dropblock", "addblock", "putblock")
+COPIES, WALKS, DRAWS = 24, 6, 24
+CLASS, LONGEST = 1.2, 512
+FEW, MARGIN = 16, 0.5
 _FILTER_BITS = 22
 _SEEDS = np.random.default_rng(99).integers(1, 2**63, 4096, dtype=np.int64).astype(np.uint64)
 
@@ -38,38 +44,103 @@ def allowed(n: int, similarity: float) -> int:
     return math.floor((1 - similarity) * n + 1e-9)
 
 
-def walks_needed(recall: float, kept: float = 0.35) -> int:
-    """Tables so that a pair which one table meets with probability ``kept`` is met with probability ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - kept))
-
-
-def cgk(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """Walks (sequences, steps) over ``symbols[begin:end]``; past the end a filling symbol is read."""
+def run_words(n: int, d: int) -> int:
+    """Consecutive words that an item of ``n`` words surely shares with a copy at ``d`` edits; three suffice."""
+    return max(1, min(3, math.ceil((n - d) / (d + 1))))
+
+
+def edited(g: np.random.Generator, n: int, d: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """A copy of the words 1..n at ``d`` edits within foreign words: the text, and the windows' first words as ``Index.windows`` aligns them."""
+    block = int(g.integers(0, n - d + 1))
+    at = range(block, block + d) if kind.endswith("block") else range(d) if kind == "front" else g.choice(n, d, replace=False)
+    how = dict.fromkeys(map(int, at), kind.removesuffix("block"))
+    text, place, run = [0] * (n + d), np.full(n, -n), run_words(n, d)
+    for k in range(n):
+        e = how.get(k)
+        e = ("put", "drop", "add")[g.integers(3)] if e == "any" else "put" if e == "front" else e
+        text += [k + 1] if e is None else [0] if e == "put" else [0, k + 1] if e == "add" else []
+        if e in (None, "add"):
+            place[k] = len(text) - 1
+    text = np.array(text + [0] * (n + d), np.uint64)
+    fresh = np.flatnonzero(text == 0)
+    text[fresh] = np.uint64(1 << 32) + g.integers(0, 1 << 31, len(fresh)).astype(np.uint64)
+    shift = place - np.arange(n)
+    first = [q for q in range(n - run + 1) if place[q] >= 0 and (shift[q : q + run] == shift[q]).all()]
+    return mix(text), np.unique(shift[first])
+
+
+@lru_cache(1024)
+def meeting(n: int, d: int) -> tuple[np.ndarray, ...]:
+    """For each kind of edits, the share of tables in which an item and its copies meet: (sampled - 1, copies)."""
+    g = np.random.default_rng([n, d])
+    item, steps, zero, out = mix(np.arange(1, n + 1, dtype=np.uint64)), max(SAMPLED, STEPS_PER_WORD * n), np.zeros(1, np.int64), []
+    own = [cgk(item, zero, zero + n, steps, w) for w in range(WALKS)]
+    for kind in KINDS_OF_EDITS:
+        made = [edited(g, n, d, kind) for _ in range(COPIES)]
+        off = np.cumsum([0] + [len(t) for t, _ in made])
+        begin = np.concatenate([o + b for o, (_, b) in zip(off, made, strict=False)])
+        copy = np.repeat(np.arange(COPIES), [len(b) for _, b in made])
+        text, p = np.concatenate([t for t, _ in made]), np.zeros((SAMPLED, COPIES))
+        for w in range(WALKS):
+            agree = cgk(text, begin, begin + n, steps, w) == own[w]
+            for _ in range(DRAWS):
+                drawn = agree[:, g.choice(steps, SAMPLED, replace=False)]
+                for m in range(SAMPLED):
+                    p[m] += np.bincount(copy, drawn[:, : m + 1].all(1), COPIES) > 0
+        out.append(p / (WALKS * DRAWS))
+    return tuple(out)
+
+
+@lru_cache(1024)
+def plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Steps to sample and tables for an item of ``n`` words, so that copies at the limit are met with probability ``recall``.
+
+    Most steps, so fewest chance meetings, that need at most FEW tables; one step and as many tables as it takes otherwise.
+    Lengths are measured in classes by their longest, up to LONGEST words; the shares of longer ones no longer change.
+    """
+    if n > 16:
+        n = min(LONGEST, math.ceil(16 * CLASS ** math.ceil(math.log(n / 16) / math.log(CLASS) - 1e-9)))
+    shares = meeting(n, allowed(n, similarity))
+    for sampled in range(SAMPLED, 0, -1):
+        tables = 1
+        for share in shares:
+            p = np.clip(share[sampled - 1], 1e-3, 1)
+            while ((1 - p) ** tables).mean() > (1 - recall) * MARGIN:
+                tables += 1
+        if tables <= FEW:
+            break
+    return sampled, tables
+
+
+def cgk(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: int, walk: int, low: np.ndarray | None = None) -> np.ndarray:
+    """Walks (sequences, steps) over ``symbols[begin:end]``; past the end a filling symbol is read, before ``low`` a foreign one."""
     at, out = begin.copy(), np.zeros((len(begin), steps), np.uint64)
     for t in range(steps):
         inside = at < end
-        s = np.where(inside, symbols[np.minimum(at, len(symbols) - 1)], np.uint64(0))
+        s = np.where(inside, symbols[np.clip(at, 0, len(symbols) - 1)], np.uint64(0))
+        if low is not None:
+            s = np.where(at < low, mix(at.astype(np.uint64) ^ _SEEDS[0]), s)
         out[:, t] = s
         at += inside & ((mix(s ^ _SEEDS[(walk * 613 + t) % 4096] ^ np.uint64(t)) & np.uint64(1)) == 1)
     return out
 
 
 @lru_cache(4096)
-def sampled_steps(steps: int, walk: int) -> np.ndarray:
-    return np.random.default_rng([walk, steps]).choice(steps, min(SAMPLED, steps), replace=False)
+def sampled_steps(steps: int, walk: int, sampled: int) -> np.ndarray:
+    return np.random.default_rng([walk, steps]).choice(steps, min(sampled, steps), replace=False)
 
 
-def keys(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: np.ndarray, walk: int) -> np.ndarray:
-    """One LSH key for each sequence in table ``walk``; ``steps``: how much of the walk each may sample.
+def keys(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: np.ndarray, sampled: np.ndarray, walk: int, low: np.ndarray | None = None) -> np.ndarray:
+    """One LSH key for each sequence in table ``walk``; ``steps``: how much of the walk each may sample, ``sampled``: how often.
 
     A walk's beginning doesn't depend on its length, so sequences of all sizes are walked together.
     """
-    path = cgk(symbols, begin, end, int(steps.max()), walk)
+    path = cgk(symbols, begin, end, int(steps.max()), walk, low)
     out = np.zeros(len(begin), np.uint64)
     for n in np.unique(steps):
         rows = np.flatnonzero(steps == n)
         key = np.full(len(rows), walk * 100003 + int(n), np.uint64)
-        for t in sampled_steps(int(n), walk):
+        for t in sampled_steps(int(n), walk, int(sampled[rows[0]])):
             key = mix(key * np.uint64(31) + path[rows, t])
         out[rows] = key
     return out
@@ -101,13 +172,14 @@ class Index:
     def __init__(self, ids: list, texts: list[str], similarity: float, recall: float):
         buf, off = raw(pa.array(texts, pa.large_string()))
         self.symbols, row, _, _ = words(buf, off)
-        self.ids, self.similarity, self.walks = ids, similarity, walks_needed(recall)
+        self.ids, self.similarity = ids, similarity
         n = np.bincount(row, minlength=len(ids)) if len(row) else np.zeros(len(ids), int)
         self.begin = np.cumsum(n) - n
         self.size = n
         self.edits = np.array([allowed(k, similarity) for k in n], np.int64)
-        self.run = np.array([max(1, min(3, math.ceil((k - d) / (d + 1)))) for k, d in zip(n, self.edits, strict=True)], np.int64)
+        self.run = np.array([run_words(int(k), int(d)) for k, d in zip(n, self.edits, strict=True)], np.int64)
         self.steps = np.maximum(SAMPLED, STEPS_PER_WORD * n)
+        self.sampled, self.walks = np.array([plan(int(k), similarity, recall) if k else (1, 0) for k in n], np.int64).reshape(-1, 2).T
         self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for g in (1, 2, 3):
             of = [(i, q) for i in np.flatnonzero((self.run == g) & (n > 0)) for q in range(n[i] - g + 1)]
@@ -119,10 +191,10 @@ class Index:
         self.hit = {g: np.zeros(1 << _FILTER_BITS, bool) for g in self.grams}
         for g, (h, _, _) in self.grams.items():
             self.hit[g][(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        self.tables = [{} for _ in range(self.walks)]
-        some = np.flatnonzero(n > 0)
-        for walk in range(self.walks if len(some) else 0):
-            got = keys(self.symbols, self.begin[some], self.begin[some] + n[some], self.steps[some], walk)
+        self.tables = [{} for _ in range(self.walks.max(initial=0))]
+        for walk in range(len(self.tables)):
+            some = np.flatnonzero(self.walks > walk)
+            got = keys(self.symbols, self.begin[some], self.begin[some] + n[some], self.steps[some], self.sampled[some], walk)
             for key, i in zip(got.tolist(), some.tolist(), strict=True):
                 self.tables[walk].setdefault(key, []).append(i)
 
@@ -148,14 +220,14 @@ class Index:
             return []
         first_of = np.searchsorted(row, np.arange(row[-1] + 1), "left")
         end_of = np.searchsorted(row, np.arange(row[-1] + 1), "right")
-        met = np.zeros(len(anchor), bool)  # a window that begins before its row is clipped
-        begin = np.maximum(anchor, first_of[at_row])
-        end = np.minimum(begin + self.size[item], end_of[at_row])
+        met = np.zeros(len(anchor), bool)
+        low = first_of[at_row]  # a window may begin before its row: foreign words are read there, so that the rest stays aligned
+        end = np.minimum(anchor + self.size[item], end_of[at_row])
         for walk, tab in enumerate(self.tables):
-            rest = np.flatnonzero(~met)
+            rest = np.flatnonzero(~met & (self.walks[item] > walk))
             if not len(rest):
                 break
-            got = keys(h, begin[rest], end[rest], self.steps[item[rest]], walk)
+            got = keys(h, anchor[rest], end[rest], self.steps[item[rest]], self.sampled[item[rest]], walk, low[rest])
             met[rest] = [i in tab.get(k, ()) for k, i in zip(got.tolist(), item[rest].tolist(), strict=True)]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for a, i, r in zip(anchor[met], item[met], at_row[met], strict=True):

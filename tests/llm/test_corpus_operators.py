@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline.llm import components, decontaminate, jaccard, substring, vptree
-from barline.llm.common import scratch
+from barline.llm.common import raw, scratch, words
 
 
 def prose(g, n):
@@ -176,6 +176,24 @@ def test_decontamination_finds_all_near_copies(spark):
     assert decontaminate.without_items(docs, items).count() == 152 - len({d for d, _ in got})
 
 
+@pytest.mark.parametrize("n", [20, 50, 100, 200, 300])
+def test_decontamination_recall_at_the_limit(n):
+    g = np.random.default_rng(n)
+    d, items, texts = decontaminate.allowed(n, 0.8), [], []
+    for k in range(120):
+        item = [f"i{k}w{j}" for j in range(n)]
+        at = set(range(d)) if k % 4 == 3 else set(g.choice(n, d, replace=False).tolist())  # spread, or the copy's beginning
+        how = [("put", "drop", "add")[g.integers(3)] if k % 4 == 0 else ("put", "drop", "drop")[k % 4 - 1] for _ in range(n)]
+        copy = [x for j, w in enumerate(item) for x in ([w] if j not in at else [f"x{k}y{j}"] if how[j] == "put" else [] if how[j] == "drop" else [f"x{k}y{j}", w])]
+        around = [f"d{k}e{j}" for j in range(40)]
+        items.append(" ".join(item))
+        texts.append(" ".join(copy + around if k % 2 else around + copy + around))
+    index = decontaminate.Index(list(range(120)), items, 0.8, 0.99)
+    h, row, _, _ = words(*raw(pa.array(texts)))
+    found = {(r, i) for r, i, *_ in index.search(h, row)}
+    assert found <= {(k, k) for k in range(120)} and len(found) >= 0.99 * 120
+
+
 def test_repeated_spans(spark):
     g = random.Random(8)
     passage = " ".join(prose(g, 12).rstrip(".,") + "." for _ in range(6))
