@@ -2,7 +2,7 @@
 
 The guess cost of a value is the least log10 number of guesses over all its segmentations into common words, dates,
 repeats, keyboard walks and brute-force characters, found by dynamic programming. A value whose cost reaches
-``min_cost`` is no placeholder and becomes a span of kind ``guess``, unless a pattern span covers part of it.
+``min_cost`` is no placeholder and becomes a span of kind ``guess``, unless one pattern span covers all of it.
 
 Contract: null text counts as empty and gives a row without spans; rows stay one for one, whatever their ids; offsets are
 code points, end exclusive, over the whole text. Spans of equal start come in the order assign, access, hex, guess.
@@ -119,7 +119,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[int, int, int]], ranks: dict[str, int], min_cost: float) -> list[tuple[int, int, int]]:
-    """Spans of the method, for values in credential contexts that no pattern span touches."""
+    """Spans of the method, for values in credential contexts that no pattern span covers whole."""
     if not any(h in text.lower() for h in HINTS):
         return []
     found = []
@@ -127,7 +127,7 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], ranks: dict[str, in
         value = m[1].rstrip(".,;:!?)]}")
         start = m.start(1)
         end = start + len(value)
-        if len(value) >= 8 and not any(s < end and start < e for s, _, e in base) and guess_cost(value, ranks) >= min_cost:
+        if len(value) >= 8 and not any(s <= start and end <= e for s, _, e in base) and guess_cost(value, ranks) >= min_cost:
             found.append((start, 3, end))
     return found
 

@@ -84,6 +84,16 @@ def test_guess_costs_and_spans():
     assert secret_scan.guess_spans("password is changeme123", [], ranks, 10.0) == []
 
 
+@pytest.mark.parametrize(("text", "value"), [("my password: correcthorse99$Battery!x end", "correcthorse99$Battery!x"), ("token is zz-0123456789abcdef-Rest end", "zz-0123456789abcdef-Rest")])
+def test_values_that_patterns_cover_in_part(spark, text, value):
+    ranks, base = secret_scan.word_ranks(bpe.read_ranks(RANKS)), secret_scan.base_spans(text)
+    assert base and [text[s:e] for s, _, e in secret_scan.guess_spans(text, base, ranks, 10.0)] == [value]
+    whole = [(text.index(value), 0, text.index(value) + len(value))]
+    assert secret_scan.guess_spans(text, whole, ranks, 10.0) == []
+    left = secret_scan.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS).first().text
+    assert left.count("[SECRET]") == 1 and left.endswith("[SECRET] end")
+
+
 def test_base_spans_match_the_plain_patterns():
     g = random.Random(3)
     plain = [(re.compile(secret_scan.ASSIGN.pattern, re.I | re.A), lambda m: len(m[2]) >= 12), (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16)]
