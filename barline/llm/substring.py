@@ -3,8 +3,7 @@
 Texts are cut into sentences (at ``.``, ``!``, ``?`` before white space and at line ends; a sentence of more than
 ``LONG_WORDS`` words is cut further after words chosen by their hash, so that both copies of a passage are cut alike). At
 each sentence begins one span: the shortest run of at least ``run`` sentences and ``run_words`` words. Spans are
-hashed and joined globally; the first by (id, place) stays, and the sentences that any other one covers are removed where
-they make a stretch of ``min_words`` words or more.
+hashed and joined globally; the first by (id, place) stays, and the sentences that any other one covers are removed.
 
 Contract: null and empty texts have no spans. Comparison ignores A-Z case and the kind of white space. Rows of equal
 id count as one document at equal places: they don't displace each other. Null ids come first. Other columns are ignored.
@@ -20,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import _COEF, map_arrow, mix, prepare, raw, slices, words
 
 LONG_WORDS = 24
+#: Long sentences are cut after one word in so many: a passage of 51 words set anywhere then holds whole spans but in rare cases.
+CUT_ONE_IN = 4
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -38,7 +39,7 @@ def spans(buf: np.ndarray, off: np.ndarray, run: int, run_words: int) -> tuple[n
     turn[:-1] = (row[1:] != row[:-1]) | _STOP[buf[end[:-1] - 1]] | (lines[start[1:]] != lines[end[:-1]])
     first = np.concatenate([[0], np.flatnonzero(turn)[:-1] + 1])
     size = np.diff(np.concatenate([first, [n]]))
-    turn |= (np.repeat(size, size) > LONG_WORDS) & (h % np.uint64(8) == 0)
+    turn |= (np.repeat(size, size) > LONG_WORDS) & (h % np.uint64(CUT_ONE_IN) == 0)
     first = np.concatenate([[0], np.flatnonzero(turn)[:-1] + 1])
     size = np.diff(np.concatenate([first, [n]]))
     place = np.arange(n) - np.repeat(first, size)
@@ -77,7 +78,7 @@ def span_table(docs: DataFrame, run: int, run_words: int, id_col: str, text_col:
     return map_arrow(picked, make, SCHEMA.format(kind=dict(docs.dtypes)[id_col]))
 
 
-def repeated_spans(docs: DataFrame, run: int = 2, run_words: int = 12, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, run: int = 2, run_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, span_start, span_end, n_words): the stretches to remove, code points, end exclusive; documents without any have no row."""
     prepare(docs.sparkSession)
     table = span_table(docs, run, run_words, id_col, text_col)
@@ -91,7 +92,7 @@ def repeated_spans(docs: DataFrame, run: int = 2, run_words: int = 12, min_words
     islands = later.withColumn("fresh", F.coalesce(F.col("word") > reach, F.lit(True)).cast("int"))
     islands = islands.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("id", "island").agg(F.min("start").alias("span_start"), F.max("end").alias("span_end"), (F.max("word_end") - F.min("word")).alias("n_words"))
-    return merged.where(F.col("n_words") >= min_words).select(F.col("id").alias(id_col), "span_start", "span_end", "n_words")
+    return merged.select(F.col("id").alias(id_col), "span_start", "span_end", "n_words")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -213,6 +213,25 @@ def test_repeated_spans(spark):
     assert substring.repeated_spans(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("stops", [False, True])
+def test_passages_of_little_over_fifty_words(spark, stops):
+    g, rows = random.Random(11), []
+    word = lambda k: f"{g.choice('abcdefgh')}{g.getrandbits(40):x}{k}"
+    sentences = lambda n: [word(k) + ("." if stops and g.random() < 0.07 else "") for k in range(n)]
+    for k in range(200):
+        passage = sentences(51 + k % 10)
+        rows += [(2 * k + i, " ".join(sentences(g.randint(30, 60)) + passage + sentences(g.randint(30, 60)))) for i in range(2)]
+    found = {r.doc_id for r in substring.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(d % 2 for d in found) and len(found) >= 0.99 * 200
+
+
+def test_repeated_spans_of_two_short_sentences(spark):
+    g = random.Random(12)
+    passage = " ".join(prose(g, 7).replace(".", "") + "." for _ in range(2))
+    docs = spark.createDataFrame([(i, f"{prose(g, 30)}.\n{passage}\n{prose(g, 30)}") for i in range(2)], "doc_id long, text string")
+    assert [(r.doc_id, r.n_words) for r in substring.repeated_spans(docs).collect()] == [(1, 14)]
+
+
 def test_copies_of_whole_documents(spark):
     g = random.Random(9)
     t = ". ".join(prose(g, 9).replace(".", "") for _ in range(8))
