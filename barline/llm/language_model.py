@@ -6,8 +6,8 @@ it, both), times that of the word within its class given its own features; a tai
 tail. So the model is a distribution over all words, unseen ones included.
 
 Corpus counts cover every training token. The weights start at the unigram model and are trained in rounds: each task makes
-gradient steps on a fixed share of its tokens (drawn by hash from every text) from the shared weights, and the changes are
-averaged by weight row, by the number of steps that touched it. Texts are scored in batches of numpy gathers. Counts of
+gradient steps on all of its tokens from the shared weights, and the changes are averaged by weight row, by the number of
+steps that touched it. Texts are scored in batches of numpy gathers. Counts of
 the DICTIONARY most frequent words go to every task; those of rarer ones are joined.
 
 Contract: null text counts as empty, which is one end token. Rows stay one for one, repeated ids included. Without training
@@ -152,13 +152,13 @@ def softmax_log(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def train_task(w: Weights, h: np.ndarray, row: np.ndarray, v: Vocabulary, share: int, salt: int, rate: float, seen: list[np.ndarray], hits: list[np.ndarray]) -> None:
-    """Gradient steps on one in ``share`` tokens, in place; AdaGrad over weight rows."""
+def train_task(w: Weights, h: np.ndarray, row: np.ndarray, v: Vocabulary, rate: float, seen: list[np.ndarray], hits: list[np.ndarray]) -> None:
+    """Gradient steps on every token, in place; AdaGrad over weight rows."""
     one, two = history(h, row)
-    drawn = np.flatnonzero(mix(h * np.uint64(7) + one + np.arange(len(h), dtype=np.uint64) + np.uint64(salt)) % np.uint64(share) == 0)
-    _, place = v.look(h[drawn])
-    for lo in range(0, len(drawn), BATCH):
-        k, p = drawn[lo : lo + BATCH], place[lo : lo + BATCH]
+    _, place = v.look(h)
+    for lo in range(0, len(h), BATCH):
+        p = place[lo : lo + BATCH]
+        k = np.arange(lo, lo + len(p))
         cls = np.where(p >= 0, p // SLOTS, CLASSES - 1)
         rows = class_rows(one[k], two[k])
         step(w.classes, rows, w.class_bias[None], cls, rate, seen[0], hits[0])
@@ -169,16 +169,21 @@ def train_task(w: Weights, h: np.ndarray, row: np.ndarray, v: Vocabulary, share:
 
 
 def step(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, target: np.ndarray, rate: float, seen: np.ndarray, hits: np.ndarray) -> None:
-    d = np.exp(softmax_log(sum(table[r] for r in rows) + bias))
+    d = sum(table[r] for r in rows) + bias
+    d = np.exp(d - d.max(1, keepdims=True))
+    d /= d.sum(1, keepdims=True)
     d[np.arange(len(target)), target] -= 1
     size = (d * d).mean(1)
     for r in rows:
-        np.add.at(seen, r, size)
-        np.add.at(hits, r, 1)
-        np.add.at(table, r, -rate * d / np.sqrt(seen[r] + 0.1)[:, None])
+        by = np.argsort(r, kind="stable")
+        first = np.flatnonzero(np.diff(r[by], prepend=-1))
+        own = r[by[first]]
+        seen[own] += np.add.reduceat(size[by], first)
+        hits[own] += np.diff(first, append=len(r))
+        table[own] -= rate * np.add.reduceat(d[by], first) / np.sqrt(seen[own] + 0.1)[:, None]
 
 
-def train_round(docs: DataFrame, w: Weights, v: Vocabulary, share: int, salt: int, rate: float) -> None:
+def train_round(docs: DataFrame, w: Weights, v: Vocabulary, rate: float) -> None:
     """One round of distributed updates over the column ``text``; ``w`` is changed."""
     shared = docs.sparkSession.sparkContext.broadcast((w, v))
 
@@ -191,7 +196,7 @@ def train_round(docs: DataFrame, w: Weights, v: Vocabulary, share: int, salt: in
         for b in batches:
             buf, off = raw(b.column(0))
             for lo, hi in slices(off):
-                train_task(own, *tokens(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), vocab, share, salt, rate, seen, hits)
+                train_task(own, *tokens(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), vocab, rate, seen, hits)
         for kind, (mine, old, hit) in enumerate(((own.classes, base.classes, hits[0]), (own.words, base.words, hits[1]))):
             parts = [(kind, lo, ((mine[lo : lo + BLOCK] - old[lo : lo + BLOCK]) * hit[lo : lo + BLOCK, None]).tobytes(), hit[lo : lo + BLOCK].tobytes()) for lo in range(0, len(mine), BLOCK) if hit[lo : lo + BLOCK].any()]
             if parts:
@@ -235,7 +240,7 @@ def score_rows(h: np.ndarray, row: np.ndarray, n: int, w: Weights, v: Vocabulary
     return np.bincount(row, c > 0, n), np.bincount(row, base, n), np.bincount(row, model, n), rare
 
 
-def score(docs: DataFrame, held_mod: int = 10, rounds: int = 2, share: int = 8, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_mod: int = 10, rounds: int = 2, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row; rows with crc32(id) mod ``held_mod`` = 0 teach nothing."""
     spark = prepare(docs.sparkSession)
     work = scratch(spark)
@@ -245,7 +250,7 @@ def score(docs: DataFrame, held_mod: int = 10, rounds: int = 2, share: int = 8,
     v, least = vocabulary(counts)
     w = Weights(v)
     for k in range(rounds if v.total else 0):
-        train_round(learn, w, v, share, k, rate / (1 + k))
+        train_round(learn, w, v, rate / (1 + k))
     shared = spark.sparkContext.broadcast((w, v))
 
     def run(batches):

@@ -174,6 +174,16 @@ def test_language_model(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # it learned from the words before
 
 
+def test_every_training_token_makes_a_step(spark, monkeypatch):
+    docs = spark.createDataFrame([(" ".join(f"w{i}x{k}" for k in range(60)),) for i in range(30)], "text string")
+    v, _ = language_model.vocabulary(language_model.count_table(docs))
+    h, row = language_model.tokens(*raw(pa.array([r.text for r in docs.collect()])))
+    steps = []
+    monkeypatch.setattr(language_model, "step", lambda table, rows, bias, target, *_: steps.append(len(target)))
+    language_model.train_task(language_model.Weights(v), h, row, v, rate=0.1, seen=[None] * 2, hits=[None] * 2)
+    assert sum(steps) == len(h) + int((v.look(h)[1] >= 0).sum())
+
+
 def test_small_dictionary_gives_the_same_base(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in corpus(60)], "doc_id long, text string")
     counts = language_model.count_table(docs.select("text"))
