@@ -1,7 +1,8 @@
 """Nearest neighbours by inner product with vantage-point trees, one tree for each shard.
 
-With one more component that fills every vector to the largest norm, the largest inner product is the smallest Euclidean
-distance, so the triangle inequality prunes. A node holds a vantage point, the median distance to it, and two subtrees;
+With one more component that fills every vector to one norm, the largest inner product is the smallest Euclidean
+distance, so the triangle inequality prunes. Each shard has a tree for each class of norms (a factor of two), scaled and filled
+to the class's largest, so that outliers don't swamp the others. Leaves keep candidates by exact scores, ties by id. A node holds a vantage point, the median distance to it, and two subtrees;
 a query skips the subtree whose distance bound, divided by ``factor``, exceeds its worst candidate. Factor 1 searches
 exactly; smaller factors skip more. A block of queries walks a tree together, so the work is matrix products.
 
@@ -29,6 +30,8 @@ SHARD_ROWS = 16_384
 BLOCK_ROWS = 1024
 #: Distances of points and queries are rounded; a subtree this little beyond the worst candidate is still visited.
 SLACK = 1e-6
+#: Pairs of a query and a point that are scored at once.
+PAIRS = 1 << 16
 
 
 def score(query: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -53,7 +56,7 @@ class Tree:
         if hi - lo <= LEAF:
             self.nodes[me] = (lo, hi)
             return me
-        own = self.order[lo:hi]
+        own = self.order[lo:hi].copy()  # the order changes below
         # Of a few vantage points, the one whose distances spread most.
         tries = g.choice(len(own), 4, replace=False)
         away = [np.sqrt(((self.points[own] - self.points[own[t]]) ** 2).sum(1)) for t in tries]
@@ -73,17 +76,8 @@ class Tree:
         """
         n = len(queries)
         best, place = np.full((n, k), np.inf), np.full((n, k), -1)
-        self._visit(0, np.arange(n), np.zeros(n), queries, best, place, factor, skip)
-        return best, place
 
-    def _visit(self, node, who, bound, queries, best, place, factor, skip):
-        worst = np.sqrt(best[who].max(1))
-        who = who[bound / factor <= worst + SLACK] if factor > 0 else who
-        if not len(who):
-            return
-        it = self.nodes[node]
-        if len(it) == 2:
-            own = self.order[it[0] : it[1]]
+        def take(own, who):
             p, q = self.points[own], queries[who]
             d = np.maximum((q * q).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * q @ p.T, 0)
             d[own[None] == skip[who][:, None]] = np.inf
@@ -92,6 +86,21 @@ class Tree:
             k = best.shape[1]
             near = np.argpartition(both, k - 1, 1)[:, :k] if both.shape[1] > k else np.broadcast_to(np.arange(k), (len(who), k))
             best[who], place[who] = np.take_along_axis(both, near, 1), np.take_along_axis(at, near, 1)
+
+        self.visit(queries, factor, lambda who: np.sqrt(best[who].max(1)), take)
+        return best, place
+
+    def visit(self, queries: np.ndarray, factor: float, worst, take) -> None:
+        """Calls ``take(points, queries)`` for every leaf that may hold a point within ``worst(queries)``."""
+        self._visit(0, np.arange(len(queries)), np.zeros(len(queries)), queries, factor, worst, take)
+
+    def _visit(self, node, who, bound, queries, factor, worst, take):
+        who = who[bound / factor <= worst(who) + SLACK] if factor > 0 else who
+        if not len(who):
+            return
+        it = self.nodes[node]
+        if len(it) == 2:
+            take(self.order[it[0] : it[1]], who)
             return
         vantage, in_lo, in_hi, out_lo, out_hi, left, right = it
         d = np.sqrt(((queries[who] - vantage) ** 2).sum(1))
@@ -101,7 +110,59 @@ class Tree:
             for k, (child, gap) in enumerate(sides):
                 mine = nearer == (first == (k == 0))
                 if mine.any():
-                    self._visit(child, who[mine], np.maximum(gap[mine], 0), queries, best, place, factor, skip)
+                    self._visit(child, who[mine], np.maximum(gap[mine], 0), queries, factor, worst, take)
+
+
+def norms(v: np.ndarray) -> np.ndarray:
+    largest = np.abs(v).max(1)
+    return largest * np.sqrt(((v / largest[:, None]) ** 2).sum(1))
+
+
+def filled(v: np.ndarray) -> np.ndarray:
+    """Vectors of norm 1 at most, with the component that fills them to 1."""
+    return np.concatenate([v, np.sqrt(np.maximum(1 - (v * v).sum(1), 0))[:, None]], 1)
+
+
+def best_points(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and places of the ``k`` points of the largest inner product for each query, ties by ``ids``; place -1 where there are fewer."""
+    n = len(queries)
+    best, place = np.full((n, k), -np.inf), np.full((n, k), -1)
+    q_norm, p_norm = norms(queries), norms(points)
+    unit = queries / q_norm[:, None]
+    asked = np.concatenate([unit, np.zeros((n, 1))], 1)
+    classes = np.frexp(p_norm)[1]
+    for c in np.unique(classes)[::-1]:
+        mine = np.flatnonzero(classes == c)
+        top = p_norm[mine].max()
+        scaled = points[mine] / top
+
+        def least(who, top=top):
+            """The scaled score that a point must reach."""
+            return best[who].min(1) / (q_norm[who] * top)
+
+        def worst(who, least=least):
+            return np.sqrt(np.maximum(2 - 2 * least(who), 0))
+
+        def take(own, who, mine=mine, scaled=scaled, least=least):
+            near = unit[who] @ scaled[own].T
+            bar = least(who)
+            if len(own) > k:
+                bar = np.maximum(bar, np.partition(near, len(own) - k, 1)[:, len(own) - k])
+            i, j = np.nonzero(near >= bar[:, None] - SLACK)  # rounding is far below the slack
+            if not len(i):
+                return
+            at, q = mine[own[j]], who[i]
+            got = np.concatenate([score(queries[q[lo : lo + PAIRS]], points[at[lo : lo + PAIRS]]) for lo in range(0, len(q), PAIRS)])
+            some = np.unique(q)
+            q, got, at = np.concatenate([np.repeat(some, k), q]), np.concatenate([best[some].ravel(), got]), np.concatenate([place[some].ravel(), at])
+            by = np.lexsort((np.where(at < 0, 0, ids[at]), -got, q))
+            q, got, at = q[by], got[by], at[by]
+            rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
+            keep = rank < k
+            best[some], place[some] = got[keep].reshape(-1, k), at[keep].reshape(-1, k)
+
+        Tree(filled(scaled)).visit(asked, factor, worst, take)
+    return best, place
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -116,20 +177,17 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, factor: float = 1.0, shar
     spark = prepare(vectors.sparkSession)
     work = scratch(spark)
     rows = usable(vectors, id_col, vector_col)
-    stats = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("norm")).orderBy(F.desc("n"), "dim").first()
+    stats = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     schema = "query_id bigint, rank int, id bigint, score double"
     if stats is None:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    dim, norm = stats["dim"], stats["norm"]
+    dim = stats["dim"]
     shards = max(1, math.ceil(stats["n"] / shard_rows))
     rows = rows.where(F.size("v") == dim)
     ids = vectors.where(is_query).select(vectors[id_col].cast("long").alias("id")).distinct()
     n_queries = max(1, ids.count())
     blocks = max(1, math.ceil(n_queries / BLOCK_ROWS))
 
-    def filled(v: np.ndarray) -> np.ndarray:
-        return np.concatenate([v, np.sqrt(np.maximum(norm - (v * v).sum(1), 0))[:, None]], 1)
-
     def stack(t: pa.Table, id_name: str, v_name: str) -> tuple[np.ndarray, np.ndarray]:
         at = t.column(id_name).to_numpy()
         v = t.column(v_name).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
@@ -147,13 +205,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, factor: float = 1.0, shar
         by = np.argsort(own, kind="stable")  # ids rise within each point
         starts = np.searchsorted(own[by], np.arange(len(same)))
         counts = np.bincount(own, minlength=len(same))
-        tree = Tree(filled(same))
-        # One place more than asked for, as the query itself may be among them; ties in distance are ranked below.
-        got_d, got = tree.search(np.concatenate([q, np.zeros((len(q), 1))], 1), min(k + 4, len(same)), factor, np.full(len(q), -1))
+        # One point more than asked for, as the query itself may be among them.
+        got_s, got = best_points(same, ids[by[starts]], q, min(k + 1, len(same)), factor)
         out = ([], [], [])
         for i, qid in enumerate(q_ids):
-            place = np.sort(got[i][np.isfinite(got_d[i])])
-            s = score(q[i], same[place])
+            place, s = got[i][got[i] >= 0], got_s[i][got[i] >= 0]
             near = [(-x, int(c)) for p, x in zip(place, s, strict=True) for c in np.unique(ids[by[starts[p] : starts[p] + counts[p]]])[: k + 1] if c != qid]
             for x, c in sorted(near)[:k]:
                 out[0].append(int(qid))

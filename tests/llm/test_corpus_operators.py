@@ -113,6 +113,25 @@ def test_vantage_trees_are_exact_at_factor_one(spark, monkeypatch):
     assert all(abs(a - b) < 1e-12 for q in want for (a, _), (b, _) in zip(found[q], want[q], strict=True))
 
 
+@pytest.mark.parametrize("kind", ["outlier", "classes", "ties"])
+def test_vantage_trees_are_exact_on_skewed_norms_and_ties(spark, monkeypatch, kind):
+    monkeypatch.setattr(vptree, "LEAF", 8)
+    g = np.random.default_rng(5)
+    p = g.normal(size=(300, 6))
+    p /= np.sqrt((p * p).sum(1))[:, None]
+    if kind == "outlier":
+        p[7] *= 1e9
+    elif kind == "classes":
+        p *= 10.0 ** g.integers(-18, 18, 300)[:, None]
+    else:
+        p = np.unique(g.integers(0, 3, (700, 6)), axis=0)[1:].astype(float)[g.permutation(300)]
+    rows = [(i, [float(x) for x in v], "s") for i, v in enumerate(p)]
+    got = vptree.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, k=9, shard_rows=90).collect()
+    want = brute_nearest(rows, range(0, 300, 20), 9)
+    for q in want:
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [i for _, i in want[q]]
+
+
 def test_smaller_factors_keep_recall(spark):
     g = np.random.default_rng(2)
     p = g.normal(size=(4000, 8))
