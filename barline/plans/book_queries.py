@@ -90,12 +90,16 @@ def medians_query(spark, sf_dir) -> DataFrame:
     return rounded(got, 4)
 
 
-def _names(spark, sf_dir) -> DataFrame:
-    """Ten names by their last 20-bar z-score, as (symbol, score)."""
+def _scores(spark, sf_dir) -> DataFrame:
+    """All names by their last 20-bar z-score, as (symbol, score)."""
     from ..operators.score import latest
 
-    last = latest(add(derive_bars(spark, sf_dir), "zscore20")).select("symbol", (100 * F.tanh("zscore20")).alias("score"))
-    return last.orderBy(F.desc("score"), "symbol").limit(10)
+    return latest(add(derive_bars(spark, sf_dir), "zscore20")).select("symbol", (100 * F.tanh("zscore20")).alias("score"))
+
+
+def _names(spark, sf_dir) -> DataFrame:
+    """The ten names of the best scores."""
+    return _scores(spark, sf_dir).orderBy(F.desc("score"), "symbol").limit(10)
 
 
 def pairs_query(spark, sf_dir) -> DataFrame:
@@ -113,7 +117,7 @@ def weights_query(spark, sf_dir) -> DataFrame:
 def selection_query(spark, sf_dir) -> DataFrame:
     bars = derive_bars(spark, sf_dir)
     pairs = pf.pair_correlations(pf.recent_returns(bars))
-    chosen = pf.select_names(_names(spark, sf_dir), pairs, most=5, limit=0.3)
+    chosen = pf.select_names(_scores(spark, sf_dir), pairs, most=5, limit=0.3)
     return spark.createDataFrame([(i + 1, s) for i, s in enumerate(chosen)], "place int, symbol string")
 
 

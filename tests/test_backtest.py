@@ -109,3 +109,16 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.awaitTermination(60)
     key = lambda r: (r.symbol, r.window_start)
     assert sorted(spark.table("bars_out").collect(), key=key) == sorted(windowed_bars(events).collect(), key=key)
+
+
+def test_selection_sees_names_beyond_the_tenth(spark, monkeypatch):
+    from barline.plans import book_queries
+
+    scores = spark.createDataFrame([(f"S{i:02}", 100.0 - i) for i in range(20)], "symbol string, score double")
+    pairs = spark.createDataFrame([("S00", f"S{i:02}", 0.9) for i in range(1, 10)], "a string, b string, corr double")
+    monkeypatch.setattr(book_queries, "derive_bars", lambda *_: scores)
+    monkeypatch.setattr(book_queries, "add", lambda bars, *_: bars.withColumn("zscore20", F.col("score") / 100))
+    monkeypatch.setattr("barline.operators.score.latest", lambda bars: bars)
+    monkeypatch.setattr(book_queries.pf, "recent_returns", lambda bars: bars)
+    monkeypatch.setattr(book_queries.pf, "pair_correlations", lambda _: pairs)
+    assert [r.symbol for r in book_queries.selection_query(spark, "").orderBy("place").collect()] == ["S00", "S10", "S11", "S12", "S13"]
