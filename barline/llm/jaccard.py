@@ -104,6 +104,10 @@ def unpacked(column: pa.Array):
     return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
 
 
+def digest_of(tokens: np.ndarray) -> int:
+    return int(mix(np.array([mix(tokens).sum() + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+
+
 def digest_rows(docs: DataFrame, width: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, set_id, keys) per row; a task gives the keys of a set once."""
 
@@ -114,7 +118,7 @@ def digest_rows(docs: DataFrame, width: int, similarity: int, id_col: str, text_
             size, digest, keys = np.zeros(n, np.int64), np.zeros(n, np.int64), [np.zeros(0, np.int64)] * n
             for r, tokens in shingle_sets(b.column(1), width):
                 size[r] = len(tokens)
-                digest[r] = mix(np.array([mix(tokens).sum() + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0]
+                digest[r] = digest_of(tokens)
                 if digest[r] not in seen:
                     if len(seen) >= 1_000_000:
                         seen.clear()  # keys may then come twice, which does no harm
@@ -228,10 +232,18 @@ def join(docs: DataFrame, width: int = 3, similarity: int = 90, id_col: str = "d
         got = {r: t.astype("<u8").tobytes() for r, t in shingle_sets(b.column(1), width)}
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(list(got), pa.int64())), pa.array(list(got.values()), pa.binary())], ["set_id", "tokens"])
 
+    def digested(b: pa.RecordBatch) -> pa.RecordBatch:
+        got = [t for _, t in shingle_sets(b.column(0), width)]
+        own = [digest_of(t) for t in got]
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([t.astype("<u8").tobytes() for t in got], pa.binary())], ["set_id", "tokens"])
+
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(chosen, "id")
     # Rows of equal id may hold other texts: a set is taken only under its own digest.
     sets = map_arrow(texts.select("set_id", "text"), tokens, "set_id bigint, tokens binary")
-    sets = stored(own_digest(sets).groupBy("set_id").agg(F.first("tokens").alias("tokens")), f"{work}/sets")
+    # Sets whose rows all lack an id are found by their digest.
+    nameless = map_arrow(docs.where(docs[id_col].isNull()).select(docs[text_col].alias("text")), digested, "set_id bigint, tokens binary")
+    nameless = nameless.join(chosen.where("id is null").select("set_id"), "set_id", "left_semi")
+    sets = stored(own_digest(sets).unionByName(nameless).groupBy("set_id").agg(F.first("tokens").alias("tokens")), f"{work}/sets")
     edges = stored(compared(star.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), sets, similarity), f"{work}/edges")
     first = components(edges, f"{work}/first")
     known = wanted.join(first, wanted["set_id"] == first["node"], "left").select("set_id", F.coalesce("component", "set_id").alias("component"))
@@ -252,7 +264,7 @@ def own_digest(sets: DataFrame) -> DataFrame:
     """The rows whose tokens have the digest they are filed under."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        mine = [mix(np.array([mix(t).sum() + np.uint64(len(t))], np.uint64)).view(np.int64)[0] for t in unpacked(b.column(1))]
+        mine = [digest_of(t) for t in unpacked(b.column(1))]
         return b.filter(pa.array(np.array(mine, np.int64) == b.column(0).to_numpy()))
 
     return map_arrow(sets, run, "set_id bigint, tokens binary")

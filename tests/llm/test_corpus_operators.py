@@ -82,6 +82,14 @@ def test_representatives_and_odd_rows(spark):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_rows_without_id_keep_their_links(spark):
+    w = [f"w{k}" for k in range(100)]
+    texts = {i: " ".join(f"e{j}" if j < i else x for j, x in enumerate(w)) for i in (0, 6, 11)}  # 6 links 0 and 11
+    docs = spark.createDataFrame([(1, texts[0]), (None, texts[6]), (2, texts[11])], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs, 3, 85).collect()}
+    assert got == {1: 1, None: 1, 2: 1}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges, scratch(spark)).collect()}
