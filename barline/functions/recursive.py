@@ -5,8 +5,6 @@ A symbol's bars are bounded by its trading days, so a group is small however man
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,7 +73,7 @@ def features(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> dict[str,
     gap = np.zeros(n)
     if n - at >= 3:
         d = (close[at:] - psar(high[at:], low[at:], close[at:])) / close[at:]
-        gap[at:] = 2 / (1 + np.exp(-10 * d)) - 1
+        gap[at:] = np.tanh(5 * d)
     return {"atr14": atr[14], "atr10": atr[10], "ema20": ewm(close, 2 / 21), "macd_hist": line - ewm(line, 2 / 10), "kama10": kama(close), "psar_score": gap}
 
 
@@ -126,8 +124,10 @@ def hurst(close: np.ndarray, window: int = 504, top: int = 20) -> np.ndarray:
 PATH = {"hurst504": lambda c: hurst(c, 504), "vol_pctile": vol_percentile} | {f"max_drawdown{k}": (lambda c, k=k: drawdown(c, k)) for k in (21, 63, 126, 252)}
 
 
-def add_recursive(bars: DataFrame, *more: str) -> DataFrame:
-    """``bars`` with atr14, atr10, ema20, macd_hist, kama10, psar_score, and the named columns of PATH; missing highs and lows count as the close."""
+def add_recursive(bars: DataFrame, *more: str, last: int | None = None) -> DataFrame:
+    """``bars`` with atr14, atr10, ema20, macd_hist, kama10, psar_score, and the named columns of PATH; missing highs and lows count as the close.
+
+    All history is read; with ``last``, only so many of each symbol's last bars are given back."""
     columns = (*COLUMNS, *more)
 
     def run(table):
@@ -136,8 +136,8 @@ def add_recursive(bars: DataFrame, *more: str) -> DataFrame:
         high, low = (np.where(np.isnan(x := table.column(c).to_numpy(zero_copy_only=False)), close, x) for c in ("high", "low"))
         found = features(high.astype(float), low.astype(float), close.astype(float))
         for name, values in (found | {m: PATH[m](close.astype(float)) for m in more}).items():
-            table = table.append_column(name, pa.array([None if math.isnan(v) else float(v) for v in values], pa.float64()))
-        return table
+            table = table.append_column(name, pa.array(values, pa.float64(), mask=np.isnan(values)))
+        return table if last is None else table.slice(max(0, table.num_rows - last))
 
     schema = ", ".join(f"{n} {t}" for n, t in bars.dtypes) + "".join(f", {c} double" for c in columns)
     return bars.groupBy("symbol").applyInArrow(run, schema)

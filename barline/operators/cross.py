@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,20 +56,19 @@ def filtered(table: DataFrame, only_buys: bool = False, ranks_above: int = 0) ->
 
 
 def actions(table: DataFrame) -> DataFrame:
-    """(symbol, short_rank, medium_rank, action): the better of two ranks for each term, 5 where there is none."""
-    wide = table.groupBy("symbol").agg(*[F.max(F.when(F.col("period") == p, F.col("rank"))).alias(f"r{p}") for p in ("1w", "1m", "6m", "1y")])
+    """(symbol, short_rank, medium_rank, action, timing): the better of two ranks for each term, 5 where there is none; timing by the shortest score there is."""
+    ranks = [F.max(F.when(F.col("period") == p, F.col("rank"))).alias(f"r{p}") for p in ("1w", "1m", "6m", "1y")]
+    scores = [F.max(F.when(F.col("period") == p, F.col("score"))).alias(f"s{p}") for p in ("1d", "1w")]
+    wide = table.groupBy("symbol").agg(*ranks, *scores)
     short, medium = (F.least(F.coalesce(F.col(f"r{a}"), F.lit(5)), F.coalesce(F.col(f"r{b}"), F.lit(5))) for a, b in (("1w", "1m"), ("6m", "1y")))
-    wide = wide.select("symbol", short.cast("int").alias("short_rank"), medium.cast("int").alias("medium_rank"))
+    wide = wide.select("symbol", short.cast("int").alias("short_rank"), medium.cast("int").alias("medium_rank"), entry_timing(F.coalesce("s1d", "s1w")).alias("timing"))
     s, m = F.col("short_rank"), F.col("medium_rank")
     action = F.when((s <= 3) & (m <= 3), "STRONG BUY").when((s <= 3) | (m <= 3), "BUY").when((s >= 8) & (m >= 8), "STRONG SELL").when((s >= 8) | (m >= 8), "SELL").otherwise("HOLD")
     return wide.withColumn("action", action)
 
 
-def entry_timing(table: DataFrame) -> DataFrame:
-    """(symbol, timing) from the shortest score there is."""
-    wide = table.groupBy("symbol").agg(*[F.max(F.when(F.col("period") == p, F.col("score"))).alias(f"s{p}") for p in ("1d", "1w")])
-    s = F.coalesce("s1d", "s1w")
-    return wide.select("symbol", F.when(s >= 15, "enter").when(s <= -15, "wait").otherwise("ok").alias("timing"))
+def entry_timing(score: Column) -> Column:
+    return F.when(score >= 15, "enter").when(score <= -15, "wait").otherwise("ok")
 
 
 def positions_value(positions: DataFrame, bars: DataFrame) -> DataFrame:
@@ -79,7 +76,3 @@ def positions_value(positions: DataFrame, bars: DataFrame) -> DataFrame:
     last = bars.groupBy("symbol").agg(F.max_by("close", "date").alias("last"))
     value, cost = F.col("shares") * F.col("last"), F.col("shares") * F.col("entry_price")
     return positions.join(last, "symbol").select("symbol", value.alias("value"), cost.alias("cost"), (value - cost).alias("pnl"), (100 * F.try_divide(value - cost, cost)).alias("pnl_pct"))
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

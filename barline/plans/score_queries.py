@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indicators import add
 from ..functions.recursive import add_recursive
 from ..operators import cross
-from ..operators.score import HORIZONS, SLEEVES, WEIGHTS, Horizon, features, legacy_score, manual_vote, scan, score, tilted
+from ..operators.score import HORIZONS, LOOK_BACK, SLEEVES, WEIGHTS, Horizon, features, legacy_score, manual_vote, scan, score, tilted
 from ..sources.bars import derive_bars
 from . import indicator_sql as sql
 
-#: mean of what isn't null, within -1 and 1
-MEAN = "coalesce(least(1, greatest(-1, list_avg(list_filter([{}], lambda v: v IS NOT NULL)))), 0)"
+#: mean of what isn't null, within -1 and 1; 0 if nothing is (least and greatest skip nulls, so the guard stands inside)
+MEAN = "least(1, greatest(-1, coalesce(list_avg(list_filter([{}], lambda v: v IS NOT NULL)), 0)))"
 
 
 def clip(x: str) -> str:
@@ -70,6 +70,21 @@ BEFORE = """before AS (SELECT symbol, period, CAST(least(10, greatest(1, floor((
     FROM (SELECT symbol, mom21 AS m FROM f QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 64) CROSS JOIN (SELECT DISTINCT period FROM scan)))"""
 
 
+#: Stop-and-reverse points over each symbol's last 252 bars, bar by bar: up, the next stop before the turn is tested, extreme and step.
+PSAR = """tail AS MATERIALIZED (SELECT symbol, date, high, low, row_number() OVER w AS i, lag(high) OVER w AS h1, lag(high, 2) OVER w AS h2, lag(low) OVER w AS l1, lag(low, 2) OVER w AS l2
+  FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 252) WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+stops AS (
+  SELECT symbol, date, i, true AS up, low AS stop, high AS ep, 0.02::DOUBLE AS af FROM tail WHERE i = 1
+  UNION ALL
+  SELECT symbol, date, i, CASE WHEN up THEN low >= s ELSE high > s END AS up,
+    CASE WHEN (up AND low < s) OR (NOT up AND high > s) THEN ep ELSE s END AS stop,
+    CASE WHEN up AND low < s THEN low WHEN up THEN greatest(high, ep) WHEN high > s THEN high ELSE least(low, ep) END AS ep,
+    CASE WHEN (up AND low < s) OR (NOT up AND high > s) THEN 0.02::DOUBLE WHEN (up AND high > ep) OR (NOT up AND low < ep) THEN least(af + 0.02::DOUBLE, 0.2::DOUBLE) ELSE af END AS af
+  FROM (SELECT t.*, p.up, p.ep, p.af, CASE WHEN p.up THEN least(p.stop + p.af * (p.ep - p.stop), l1, l2) ELSE greatest(p.stop + p.af * (p.ep - p.stop), h1, CASE WHEN t.i > 2 THEN h2 END) END AS s
+    FROM (SELECT * REPLACE (CASE WHEN i > 2 THEN l1 END AS l1, CASE WHEN i > 2 THEN h1 END AS h1) FROM tail) t JOIN stops p ON p.symbol = t.symbol AND t.i = p.i + 1)
+)"""
+
+
 def _scan(spark, sf_dir) -> DataFrame:
     return scan(derive_bars(spark, sf_dir))
 
@@ -100,8 +115,6 @@ def percentiles_query(spark, sf_dir) -> DataFrame:
 
 
 def _before(spark, sf_dir, periods: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     bars = add(derive_bars(spark, sf_dir), "mom21").withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))))
     old = bars.where("back = 64").select("symbol", F.col("mom21").alias("m"), F.explode(F.array(*map(F.lit, HORIZONS))).alias("period"))
     return cross.percentile_rank(old, "m").select("symbol", "period", "rank")
@@ -117,14 +130,14 @@ def filter_query(spark, sf_dir) -> DataFrame:
 
 
 def actions_query(spark, sf_dir) -> DataFrame:
-    ranked = _ranked(spark, sf_dir)
-    return cross.actions(ranked).join(cross.entry_timing(ranked), "symbol")
+    return cross.actions(_ranked(spark, sf_dir))
 
 
 def legacy_query(spark, sf_dir) -> DataFrame:
-    bars = add(add_recursive(derive_bars(spark, sf_dir)), "rsi14", "bbp20", "stoch_k", "stoch_d", "adx14", "obv_scaled", "ma_crossover")
-    flat = bars.withColumn("psar_score", F.lit(0.0))
-    return flat.select("symbol", "date", F.round(legacy_score(), 4).alias("legacy_score"), manual_vote().alias("vote"))
+    """The old score of each symbol's last 252 bars: as far as its stop-and-reverse points reach."""
+    bars = add(add_recursive(derive_bars(spark, sf_dir), last=LOOK_BACK), "rsi14", "bbp20", "stoch_k", "stoch_d", "adx14", "obv_scaled", "ma_crossover")
+    bars = bars.withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("back <= 252")
+    return bars.select("symbol", "date", F.round("psar_score", 5).alias("psar_score"), F.round(legacy_score(), 4).alias("legacy_score"), manual_vote().alias("vote"))
 
 
 def scan_min_query(spark, sf_dir) -> DataFrame:
@@ -151,10 +164,10 @@ def build() -> tuple[dict, dict]:
   CASE WHEN short_rank <= 3 AND medium_rank <= 3 THEN 'STRONG BUY' WHEN short_rank <= 3 OR medium_rank <= 3 THEN 'BUY' WHEN short_rank >= 8 AND medium_rank >= 8 THEN 'STRONG SELL' WHEN short_rank >= 8 OR medium_rank >= 8 THEN 'SELL' ELSE 'HOLD' END AS action,
   CASE WHEN s >= 15 THEN 'enter' WHEN s <= -15 THEN 'wait' ELSE 'ok' END AS timing
 FROM (SELECT symbol, min(CASE WHEN period IN ('1w', '1m') THEN rank END) AS short_rank, min(CASE WHEN period IN ('6m', '1y') THEN rank END) AS medium_rank, coalesce(max(CASE WHEN period = '1d' THEN score END), max(CASE WHEN period = '1w' THEN score END)) AS s FROM ranked GROUP BY symbol)""", RANKED),
-        "legacy_scores": sql.with_bars(("rsi14", "bbp20", "stoch_k", "stoch_d", "adx14", "obv_scaled", "ma_crossover"), """SELECT symbol, date,
-  round(least(100, greatest(-100, 100 * (0.5 + adx14 / 100) * (-20 * (rsi14 - 50) / 50 - 15 * (bbp20 - 0.5) * 2 + 20 * tanh(macd_hist * 5) - 10 * ((stoch_k + stoch_d) / 2 - 50) / 50 + 5 * (obv_scaled - 50) / 50 + 15 * ma_crossover))), 4) AS legacy_score,
+        "legacy_scores": sql.with_bars(("rsi14", "bbp20", "stoch_k", "stoch_d", "adx14", "obv_scaled", "ma_crossover"), """SELECT symbol, date, round(ps, 5) AS psar_score,
+  round(least(100, greatest(-100, 100 * (0.5 + adx14 / 100) * (-20 * (rsi14 - 50) / 50 - 15 * (bbp20 - 0.5) * 2 + 20 * tanh(macd_hist * 5) - 10 * ((stoch_k + stoch_d) / 2 - 50) / 50 + 5 * (obv_scaled - 50) / 50 + 15 * ma_crossover + 15 * ps))), 4) AS legacy_score,
   CASE WHEN v >= 2 THEN 'BUY (Strong)' WHEN v = 1 THEN 'BUY (Weak)' WHEN v = 0 THEN 'HOLD' WHEN v = -1 THEN 'SELL (Weak)' ELSE 'SELL (Strong)' END AS vote
-FROM (SELECT *, CASE WHEN rsi14 < 30 THEN 1 WHEN rsi14 > 70 THEN -1 ELSE 0 END + CASE WHEN bbp20 < 0.2 THEN 1 WHEN bbp20 > 0.8 THEN -1 ELSE 0 END + CASE WHEN macd_hist > 0 THEN 1 ELSE -1 END AS v FROM f)""", True),
+FROM (SELECT f.*, tanh(5 * (f.close - stops.stop) / f.close) AS ps, CASE WHEN rsi14 < 30 THEN 1 WHEN rsi14 > 70 THEN -1 ELSE 0 END + CASE WHEN bbp20 < 0.2 THEN 1 WHEN bbp20 > 0.8 THEN -1 ELSE 0 END + CASE WHEN macd_hist > 0 THEN 1 ELSE -1 END AS v FROM f JOIN stops USING (symbol, date))""", True, PSAR),
     }
     for name, h in HORIZONS.items():
         queries[f"score_{name}"], oracles[f"score_{name}"] = score_query(h)
