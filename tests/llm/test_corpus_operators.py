@@ -111,7 +111,7 @@ def test_vantage_trees_are_exact_at_factor_one(spark, monkeypatch):
     g = np.random.default_rng(1)
     rows = [(i, [float(x) for x in g.normal(size=6)], "s") for i in range(300)]
     rows += [(1000 + i, rows[5][1], "s") for i in range(60)]  # many copies of one vector
-    rows += [(2000, None, "s"), (2001, [0.0] * 6, "s"), (2002, [float("nan")] * 6, "s"), (2003, [1.0, None, 1, 1, 1, 1], "s"), (2020, [1.0, 2.0], "s"), (2040, [float("inf")] * 6, "s")]
+    rows += [(2000, None, "s"), (2001, [0.0] * 6, "s"), (2002, [float("nan")] * 6, "s"), (2003, [1.0, None, 1.0, 1.0, 1.0, 1.0], "s"), (2020, [1.0, 2.0], "s"), (2040, [float("inf")] * 6, "s")]
     got = vptree.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, k=9, shard_rows=90).collect()
     want = brute_nearest(rows, [i for i, _, _ in rows if i % 20 == 0], 9)
     found = {}
@@ -152,6 +152,19 @@ def test_smaller_factors_keep_recall(spark):
     assert recall[1.0] == 1 and recall[0.6] >= 0.9
 
 
+def test_vectors_with_repeated_ids_and_clashing_names(spark):
+    g = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in g.normal(size=3)]) for i in range(40)]
+    again = [(i, [x + 1.0 for x in v]) for i, v in rows[:10]]  # later in order, so not counted
+    docs = spark.createDataFrame([(i, v, "a", 1.0, 2) for i, v in rows + again + rows[5:8]], "id long, v array<double>, kind string, score double, slot int")
+    got = vptree.nearest(docs, F.col("id") % 20 == 0, k=50, id_col="id", vector_col="v").collect()
+    first = {i: min([v] + [w for j, w in again if j == i]) for i, v in rows}
+    for q in (0, 20):
+        want = sorted((-sum(a * b for a, b in zip(first[q], v, strict=True)), i) for i, v in first.items() if i != q)
+        assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [i for _, i in want]
+    assert len(got) == 2 * 39
+
+
 def test_no_vectors(spark):
     assert vptree.nearest(vectors(spark, [(1, None, "")]), F.lit(True)).count() == 0
 
