@@ -47,6 +47,7 @@ class Codec:
         self.trie.make_automaton()
         self.by_text = {t.decode("latin-1"): i for t, i in ranks.items() if self.parts[i] is not None}
         self.size = {i: len(t) for t, i in ranks.items()}
+        self.longest = max(map(len, ranks))
         self.sizes = np.zeros(max(self.size) + 1, np.int64)
         self.sizes[list(self.size)] = list(self.size.values())
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -96,7 +97,7 @@ class Codec:
         return self.parts[token][0] != token
 
     def _longest(self, text: str, at: int) -> int:
-        rest = text[at:]
+        rest = text[at : at + self.longest]  # a slice of the whole rest would make long units quadratic
         n = self.trie.longest_prefix(rest)
         while (i := self.by_text.get(rest[:n])) is None:  # the trie path may run past the last whole token
             n -= 1

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -47,6 +48,18 @@ def test_bpe_is_exact(codec):
         assert codec.decode(ids) == t.encode()
 
 
+def test_bpe_is_linear_in_a_unit(codec):
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    g = random.Random(6)
+    text = "".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    began = time.process_time()
+    short = codec.unit(text[:50_000].encode())
+    mid = time.process_time()
+    whole = codec.unit(text.encode())
+    assert time.process_time() - mid < 12 * (mid - began) + 0.5
+    assert short == library.encode_ordinary(text[:50_000]) and b"".join(codec.tokens[i] for i in whole) == text.encode()
+
+
 def test_bpe_rows(spark, codec):
     docs = spark.createDataFrame([(1, "one two", "x"), (1, "one two", "y"), (2, None, None), (None, "", "z")], "doc_id long, text string, n_tokens string")
     got = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, with_ids=True).collect()
