@@ -22,15 +22,17 @@ ROWS_PER_BATCH = 512
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches of this session: texts can be long, so few rows and few bytes go at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared folder of ``spark.checkpoint.dir``; only where that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder name in the shared folder of ``spark.checkpoint.dir``; where that is unset, a local master (tests) gets a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='barline-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='barline-')}"
     return f"{base.rstrip('/')}/barline-{uuid.uuid4().hex}"
 
 
@@ -44,6 +46,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key is hot if it holds one row in so many, so there are at most so many hot keys: what is broadcast is bounded.
+HOT_ONE_IN = 4096
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row for each key and a column ``n``: how many rows of ``left`` have it.
+
+    Hot keys are joined by broadcasting their few rows, and their rows of ``left`` are dealt evenly in the exchange that the
+    others need, so no task gets a key that a third of all rows hold. ``right`` is read three times: give a stored table.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    values = [c for c in right.columns if c not in (key, n)]
+    hot = right.where(F.col(n) * HOT_ONE_IN >= max(total, HOT_ONE_IN * 64))
+    hot = F.broadcast(hot.select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot")))
+    marked = left.join(hot, F.col(key) == F.col("_hot_key"), "left")
+    marked = marked.withColumn("_spread", F.when(F.col("_hot_key").isNull(), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id()))
+    rest = right.select(F.col(key).alias("_key"), F.struct(*values).alias("_value"), F.lit(0).cast("long").alias("_none"))
+    joined = marked.join(rest, (F.col("_spread") == F.col("_none")) & (F.col(key) == F.col("_key")), "left")
+    joined = joined.withColumn("_got", F.coalesce("_hot", "_value")).where(F.col("_got").isNotNull())
+    return joined.select(*left.columns, *[F.col(f"_got.{v}").alias(v) for v in values])
+
+
 def remainder(doc_id: str, mod: int):
     """crc32 of the id as text, modulo ``mod``; a null id gives 0 (held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(mod), F.lit(0).cast("long"))
@@ -87,8 +122,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def pieces(buf: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``limit``, each but the last ending at white space: no word is cut."""
+    lo, n = 0, len(buf)
+    while lo < n:
+        hi = min(lo + limit, n)
+        while hi < n and not _SPACE[buf[hi]]:
+            found = np.flatnonzero(_SPACE[buf[hi : hi + 65536]])
+            hi = hi + int(found[0]) if len(found) else min(hi + 65536, n)
+        yield lo, hi
+        lo = hi
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash (uint64), row, first byte and end byte of every word, in order."""
+    """Hash (uint64), row, first byte and end byte of every word, in order. Very long texts are hashed in pieces."""
+    if len(buf) <= 2 * SLICE_BYTES:
+        return _words(buf, off)
+    parts = []
+    for lo, hi in pieces(buf):
+        first, last = int(np.searchsorted(off, lo, "right")) - 1, int(np.searchsorted(off, hi, "left"))
+        h, row, start, end = _words(buf[lo:hi], np.clip(off[first : last + 1] - lo, 0, hi - lo))
+        parts.append((h, row + first, start + lo, end + lo))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
