@@ -5,7 +5,9 @@ repeats, keyboard walks and brute-force characters, found by dynamic programming
 ``min_cost`` is no placeholder and becomes a span of kind ``guess``, unless one pattern span covers all of it.
 
 Contract: null text counts as empty and gives a row without spans; rows stay one for one, whatever their ids; offsets are
-code points, end exclusive, over the whole text. Spans of equal start come in the order assign, access, hex, guess.
+code points, end exclusive, over the whole text. Spans of equal start come in the order assign, access, hex, guess. Values of any
+length are judged: beyond some hundred characters no segmentation is cheap, so the time is linear. Other columns are ignored by
+the scan and kept by the redaction, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import base64
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -77,21 +80,34 @@ def word_cost(text: str, ranks: dict[str, int]) -> float | None:
     return math.log10(rank + 2) + (math.log10(2) * (upper > 0) if plain else math.log10(2) * len(text))
 
 
+def segment_cost(part: str, ranks: dict[str, int]) -> float | None:
+    """Cost of a part as a word, walk, repeat or date, whichever is least; None if it is none of them."""
+    costs = [word_cost(part, ranks), walk_cost(part), repeat_cost(part)]
+    if DATE.fullmatch(part):
+        costs.append(math.log10(365 * 120) + (not part.isdigit()) * math.log10(4))
+    elif YEAR.fullmatch(part):
+        costs.append(math.log10(120))
+    return min((c for c in costs if c is not None), default=None)
+
+
+#: No segment costs less than the commonest word and its border.
+CHEAPEST = 2 * math.log10(2)
+
+
+def costs_at_least(value: str, ranks: dict[str, int], least: float) -> bool:
+    """Whether the guess cost reaches ``least``. Segments are of bounded length and each costs CHEAPEST or more, so a long value does without a search."""
+    return len(value) / LONGEST_SEGMENT * CHEAPEST >= least or guess_cost(value, ranks) >= least
+
+
 def guess_cost(value: str, ranks: dict[str, int]) -> float:
     """Least log10 guesses over all segmentations; linear in the value, as segments are of bounded length."""
     best = [0.0]
     for end in range(1, len(value) + 1):
         least = best[end - 1] + brute(value[end - 1])
         for start in range(max(0, end - LONGEST_SEGMENT), end - 2):
-            part = value[start:end]
-            costs = [word_cost(part, ranks), walk_cost(part), repeat_cost(part)]
-            if DATE.fullmatch(part):
-                costs.append(math.log10(365 * 120) + (not part.isdigit()) * math.log10(4))
-            elif YEAR.fullmatch(part):
-                costs.append(math.log10(120))
-            known = [c for c in costs if c is not None]
-            if known:
-                least = min(least, best[start] + min(known) + NEW_SEGMENT)
+            known = segment_cost(value[start:end], ranks)
+            if known is not None:
+                least = min(least, best[start] + known + NEW_SEGMENT)
         best.append(least)
     return best[-1]
 
@@ -123,11 +139,26 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], ranks: dict[str, in
     if not any(h in text.lower() for h in HINTS):
         return []
     found = []
+    wide = []  # furthest end of the pattern spans up to each one
+
+    for _, _, e in base:
+        wide.append(max(e, wide[-1]) if wide else e)
+    starts = [s for s, _, _ in base]
+
+    def covered(start: int, end: int) -> bool:
+        """One pattern span covers the value whole: as spans are few and sorted, those that begin before it are looked at from the last."""
+        k = bisect_right(starts, start) - 1
+        while k >= 0 and wide[k] >= end:
+            if base[k][2] >= end:
+                return True
+            k -= 1
+        return False
+
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:!?)]}")
         start = m.start(1)
         end = start + len(value)
-        if len(value) >= 8 and not any(s <= start and end <= e for s, _, e in base) and guess_cost(value, ranks) >= min_cost:
+        if len(value) >= 8 and not covered(start, end) and costs_at_least(value, ranks, min_cost):
             found.append((start, 3, end))
     return found
 
