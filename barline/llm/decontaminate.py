@@ -12,7 +12,8 @@ windows aligned to such a shared run are embedded. This skips no pair that the v
 
 Contract: a document holds an item if a window of it lies within ``floor((1 - similarity) * words)`` word edits of the
 item. Null and empty texts or items hold and are held nowhere. Rows of equal id are judged together; null ids are
-kept. Items are taken in blocks of a bounded size, so any number of them works.
+kept. Items are taken in blocks of a bounded size, one pass over the documents for each, so any number of them works. Equal
+items each have their rows. Other columns are ignored and kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix, prepare, raw, slices, words
+from .common import fresh, map_arrow, mix, prepare, raw, scratch, slices, stored, words
 
 BLOCK_BYTES = 16 << 20
+#: Alignments that are looked at together, so that a run which many items share takes no more memory than others.
+ALIGNMENTS = 1 << 18
 STEPS_PER_WORD = 2
 SAMPLED = 3
 #: How meeting probabilities are measured: kinds of edits, copies of each, walks of each copy, samples of each walk; lengths; part of the allowed misses.
@@ -198,9 +201,8 @@ class Index:
             for key, i in zip(got.tolist(), some.tolist(), strict=True):
                 self.tables[walk].setdefault(key, []).append(i)
 
-    def windows(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, item and row of the windows whose alignment shares a run with an item."""
-        found = [(np.zeros(0, np.int64),) * 3]
+    def windows(self, h: np.ndarray, row: np.ndarray):
+        """First word, item and row of the windows whose alignment shares a run with an item, in parts of a bounded size."""
         for g, (known, item, q) in self.grams.items():
             if len(h) < g:
                 continue
@@ -208,18 +210,27 @@ class Index:
             m = len(h) - g + 1
             p = np.flatnonzero(self.hit[g][(code[:m] >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] & (row[:m] == row[g - 1 : g - 1 + m]))
             lo, hi = np.searchsorted(known, code[p], "left"), np.searchsorted(known, code[p], "right")
-            k = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-            found.append((np.repeat(p, hi - lo) - q[k], item[k], np.repeat(row[p], hi - lo)))
-        each = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
-        return each[:, 0], each[:, 1], each[:, 2]
+            p, lo, n = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            total = np.cumsum(n)
+            at = 0
+            while at < len(p):
+                to = max(at + 1, int(np.searchsorted(total, total[at] - n[at] + ALIGNMENTS, "right")))
+                m = n[at:to]
+                k = np.repeat(lo[at:to], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                yield np.unique(np.stack([np.repeat(p[at:to], m) - q[k], item[k], np.repeat(row[p[at:to]], m)], 1), axis=0).T
+                at = to
 
     def search(self, h: np.ndarray, row: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, end word, distance) of verified items: the closest, then earliest, for a row and item."""
-        anchor, item, at_row = self.windows(h, row)
-        if not len(anchor):
-            return []
         first_of = np.searchsorted(row, np.arange(row[-1] + 1), "left")
         end_of = np.searchsorted(row, np.arange(row[-1] + 1), "right")
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for anchor, item, at_row in self.windows(h, row):
+            self.verify(h, anchor, item, at_row, first_of, end_of, best)
+        return [(r, i, s, e, d) for (r, i), (d, s, e) in sorted(best.items())]
+
+    def verify(self, h, anchor, item, at_row, first_of, end_of, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+        """Looks the windows up in the tables and keeps the closest, then earliest, verified one of each row and item."""
         met = np.zeros(len(anchor), bool)
         low = first_of[at_row]  # a window may begin before its row: foreign words are read there, so that the rest stays aligned
         end = np.minimum(anchor + self.size[item], end_of[at_row])
@@ -229,7 +240,6 @@ class Index:
                 break
             got = keys(h, anchor[rest], end[rest], self.steps[item[rest]], self.sampled[item[rest]], walk, low[rest])
             met[rest] = [i in tab.get(k, ()) for k, i in zip(got.tolist(), item[rest].tolist(), strict=True)]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for a, i, r in zip(anchor[met], item[met], at_row[met], strict=True):
             d = self.edits[i]
             lo, hi = max(first_of[r], a - d), min(end_of[r], a + self.size[i] + d)
@@ -239,7 +249,6 @@ class Index:
             if distance <= d:
                 key, got = (int(r), int(i)), (distance, int(lo + s), int(lo + e))
                 best[key] = min(best.get(key, got), got)
-        return [(r, i, s, e, d) for (r, i), (d, s, e) in sorted(best.items())]
 
 
 def gram_hash(h: np.ndarray, g: int) -> np.ndarray:
@@ -256,6 +265,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rec
     picked_items = items.where(items[item_text_col].isNotNull()).select(items[item_col].alias("item"), items[item_text_col].alias("text"))
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, item {dict(items.dtypes)[item_col]}, start bigint, end bigint, distance bigint, item_words bigint"
+    work = scratch(spark)
     total = picked_items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     out = None
@@ -281,11 +291,17 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rec
 
         picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
         got = map_arrow(picked, run, schema)
+        if blocks > 1:  # one block's index at a time on the executors
+            got = stored(got, f"{work}/block{k}")
+            shared.unpersist()
         out = got if out is None else out.unionByName(got)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
 def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that hold no item; those of null id stay unless a document of null id holds one."""
-    held = contaminated(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("held_id")).distinct()
-    return docs.join(held, F.col("held_id").eqNullSafe(docs[id_col]), "left_anti")
+    (held_id,) = fresh(docs, "held_id")
+    held = contaminated(docs, items, id_col=id_col, **options).select(F.col(id_col).alias(held_id)).distinct()
+    # Written, so that its size is known: Spark broadcasts it only if that is small, and the documents are not shuffled then.
+    held = stored(held, f"{scratch(docs.sparkSession)}/held")
+    return docs.join(held, F.col(held_id).eqNullSafe(docs[id_col]), "left_anti")
