@@ -6,7 +6,8 @@ windows' log-probabilities, weighted by their bytes, over the whole text.
 
 Contract: null texts and texts without a letter give ``und`` with score 0. Rows stay one for one. With no labelled row to
 learn from, every text gives ``und``. Ties between languages go to the first in alphabetical order. Texts are judged
-alone: language, source and id columns are never inputs.
+alone: language, source and id columns are never inputs. A text of any length is read whole, some windows at a time. The
+network's size is bounded by ``max_labels``: of more languages than that, the commonest are learned.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ class Network:
         tops, places = [], []
         for kernel, bias in zip(self.kernels, self.biases, strict=True):
             w = len(kernel)
-            acts = sum(self.tables(kernel)[k][x[:, k : x.shape[1] - w + 1 + k]] for k in range(w))
+            tables = self.tables(kernel)
+            acts = sum(tables[k][x[:, k : x.shape[1] - w + 1 + k]] for k in range(w))
             at = acts.argmax(1)
             tops.append(np.maximum(np.take_along_axis(acts, at[:, None, :], 1)[:, 0] + bias, 0))
             places.append(at)
@@ -191,8 +193,8 @@ def fit(docs: DataFrame, learn, per_label: int = 500, windows_each: int = 3, id_
     return train(x, np.array([labels.index(label) for label, _ in sample]), labels)
 
 
-def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` with lang_pred and score."""
+def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` with the prediction and its score, under ``names``."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(net)
     cache: dict = {}
@@ -210,4 +212,4 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str], text_col: str
     picked = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text_col].alias("text"))
     schema = "".join(f"k{i} {dict(docs.dtypes)[c]}, " for i, c in enumerate(keep)) + "lang_pred string, score double"
     got = map_arrow(picked, run, schema)
-    return got.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return got.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
