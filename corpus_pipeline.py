@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm import bpe, decontaminate, jaccard, language_id, secret_scan
-from barline.llm.common import remainder, scratch, stored, table
+from barline.llm.common import fresh, remainder, scratch, stored, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Mean-window probability under which a text is taken for no language that was learned.
@@ -25,8 +25,9 @@ LEAST_SCORE = 0.4
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the texts whose language the network can tell; learned from the labelled rows with crc32(doc_id) mod 5 <> 0."""
     net = language_id.fit(docs, remainder("doc_id", 5) != 0)
-    judged = language_id.predict(docs, net, docs.columns)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred", "score")
+    judged = language_id.predict(docs, net, docs.columns, names=(lang, score))
+    return judged.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
