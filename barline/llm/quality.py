@@ -1,28 +1,32 @@
 """Quality classifier: supervised subword embeddings.
 
 A text is a bag of hashed features: words, pairs of neighbouring words (all pairs of a word with itself count as one
-feature, so repetition is learned in general) and byte n-grams. Each feature has a learned vector; a document is the mean
+feature, so repetition is learned in general) and character n-grams within words. Each feature has a learned vector; a document is the mean
 of its features' vectors, and a softmax over that gives the label's probability. Training is stochastic gradient descent
 in numpy over a bounded sample of labelled rows, whose features are hashed on the executors.
 
-Contract: null text counts as empty; a text without features gets the learned bias alone. Rows stay one for one. If no
-labelled row can be learned from, every score is 0.5. Labels, language, source and ids are never inputs of a score.
+Contract: null text counts as empty; a text without features gets the learned bias alone. Rows stay one for one, repeated and
+null ids included. If no labelled row can be learned from, every score is 0.5. Labels, language, source and ids are never inputs
+of a score. A text of any length is read whole, in pieces. Other columns are ignored, so clashing names don't matter.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix, prepare, raw, slices, words
+from .common import map_arrow, mix, pieces, prepare, raw, slices, words
 
 BUCKETS = 1 << 15
 DIMS = 8
 GRAMS = (3, 5)
+#: Bytes of text whose features are held at once.
+PIECE = 1 << 18
 REPEAT = BUCKETS - 1
 
 
@@ -37,34 +41,63 @@ def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
     return (mix(h ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(REPEAT)).astype(np.int32)
 
 
-def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of every feature occurrence of the rows."""
-    h, row, _, _ = words(buf, off)
-    same = row[:-1] == row[1:]
-    pair = _bucket(h[:-1] * np.uint64(3) + h[1:], 2)
-    pair[h[:-1] == h[1:]] = REPEAT
-    ids, rows = [_bucket(h, 1), pair[same]], [row, row[:-1][same]]
-    wide = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
-    of = np.repeat(np.arange(len(off) - 1), np.diff(off))
+def features(buf: np.ndarray, off: np.ndarray):
+    """Bucket and row of every feature occurrence of the rows, in parts of a bounded size: long texts come in pieces."""
+    before, before_row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for lo, hi in pieces(buf, PIECE):
+        part, at = buf[lo:hi], np.clip(off - lo, 0, hi - lo)
+        h, row, start, end = words(part, at)
+        if not len(h):
+            continue
+        yield _bucket(h, 1), row
+        both, both_row = np.concatenate([before, h]), np.concatenate([before_row, row])
+        same = both_row[:-1] == both_row[1:]
+        pair = _bucket(both[:-1] * np.uint64(3) + both[1:], 2)
+        pair[both[:-1] == both[1:]] = REPEAT
+        yield pair[same], both_row[1:][same]
+        before, before_row = h[-1:], row[-1:]
+        yield from grams(part, row, start, end)
+
+
+def grams(buf: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """Bucket and row of the character n-grams within words."""
+    size = end - start
+    at = np.cumsum(size) - size
+    solid = buf[np.repeat(start - at, size) + np.arange(size.sum())]
+    lead = np.flatnonzero((solid & 0xC0) != 0x80)
+    word = np.repeat(np.arange(len(start)), size)[lead]
+    stop = np.append(lead[1:], len(solid))
+    power, back = _powers(1 << int(len(solid)).bit_length())
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((solid + np.uint64(1)) * power[: len(solid)])])
     for n in GRAMS:
-        if len(buf) >= n:
-            m = len(buf) - n + 1
-            code = np.zeros(m, np.uint64)
-            for k in range(n):
-                code = (code << np.uint64(8)) | wide[k : k + m]
-            inside = of[: m] == of[n - 1 : n - 1 + m]
-            ids.append(((code[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int32) % REPEAT)
-            rows.append(of[:m][inside])
-    return np.concatenate(ids), np.concatenate(rows)
+        m = len(lead) - n + 1
+        if m > 0:
+            inside = np.flatnonzero(word[:m] == word[n - 1 : n - 1 + m])
+            first = lead[inside]
+            code = (sums[stop[inside + n - 1]] - sums[first]) * back[first]
+            yield _bucket(code, n + 2), row[word[inside]]
+
+
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse: the hash of any range of bytes is then a difference of running sums."""
+    base = 0xD6E8FEB86659FD93
+    return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(b))])) for b in (base, pow(base, -1, 1 << 64)))
 
 
 def means(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """(rows, DIMS): the mean vector of each row's features."""
-    ids, rows = features(buf, off)
     n = len(off) - 1
-    v = model.vectors[ids]
-    total = np.stack([np.bincount(rows, v[:, d], n) for d in range(DIMS)], 1) if len(ids) else np.zeros((n, DIMS))
-    return total / np.maximum(np.bincount(rows, minlength=n), 1)[:, None]
+    total, count = np.zeros((n, DIMS)), np.zeros(n)
+    for ids, rows in features(buf, off):
+        if not len(ids):
+            continue
+        # The rows come in order, so each one's vectors are one range.
+        v = np.take(model.vectors, ids, 0)
+        first = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
+        total[rows[first]] += np.add.reduceat(v, first)
+        count += np.bincount(rows, minlength=n)
+    return total / np.maximum(count, 1)[:, None]
 
 
 def probability(model: Model, mean: np.ndarray) -> np.ndarray:
@@ -75,7 +108,7 @@ def probability(model: Model, mean: np.ndarray) -> np.ndarray:
 def train(bags: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.5, seed: int = 5) -> Model:
     """``bags``: distinct buckets and their shares, for each document. AdaGrad steps over mini-batches."""
     g = np.random.default_rng(seed)
-    model = Model(g.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS)), np.zeros((DIMS, 2)), np.zeros(2))
+    model = Model(g.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS)).astype(np.float32), np.zeros((DIMS, 2)), np.zeros(2))
     model.out[:, 1] = g.normal(0, 0.1, DIMS)
     seen = [np.full_like(p, 1e-4) for p in (model.vectors, model.out, model.bias)]
     for _ in range(epochs):
@@ -101,7 +134,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, label_col: str = "quality", sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, learn, label_col: str = "quality", sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Train on at most about ``sample`` labelled rows where ``learn`` holds, drawn by a hash of the id.
 
     The bound holds for the driver: it gets the hashed features of the sample, at most BUCKETS for a row.
@@ -119,10 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label_col: str = "quality", s
         buf, off = raw(b.column(1))
         ids, shares = [], []
         for lo in range(b.num_rows):
-            own, _ = features(buf[off[lo] : off[lo + 1]], np.array([0, off[lo + 1] - off[lo]]))
-            got, count = np.unique(own, return_counts=True)
+            count = np.zeros(BUCKETS, np.int64)
+            for own, _ in features(buf[off[lo] : off[lo + 1]], np.array([0, off[lo + 1] - off[lo]])):
+                count += np.bincount(own, minlength=BUCKETS)
+            got = np.flatnonzero(count)
             ids.append(got.astype(np.int32))
-            shares.append((count / max(1, len(own))).astype(np.float32))
+            shares.append((count[got] / max(1, count.sum())).astype(np.float32))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["id", "ids", "shares"])
 
     got = map_arrow(drawn, run, f"id {dict(docs.dtypes)[id_col]}, ids array<int>, shares array<float>").join(marks, "id")
@@ -131,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label_col: str = "quality", s
     unpacked = [rows.column(k).combine_chunks() for k in range(2)]
     at = unpacked[0].offsets.to_numpy()
     flat = [u.values.to_numpy() for u in unpacked]
-    bags = [(flat[0][a:b], flat[1][a:b].astype(np.float64)) for a, b in zip(at, at[1:], strict=False)]
+    bags = [(flat[0][a:b], flat[1][a:b]) for a, b in zip(at, at[1:], strict=False)]
     return train(bags, rows.column(2).to_numpy().astype(np.float64)) if bags else None
 
 
@@ -146,7 +181,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text_col: str =
             got = np.full(b.num_rows, 0.5)
         else:
             buf, off = raw(texts)
-            got = np.concatenate([probability(shared.value, means(shared.value, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])) for lo, hi in slices(off)])
+            got = np.concatenate([probability(shared.value, means(shared.value, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])) for lo, hi in slices(off, PIECE)])
         return pa.RecordBatch.from_arrays([*rest, pa.array(got, pa.float64())], [*b.schema.names[:-1], "score"])
 
     picked = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text_col].alias("text"))
