@@ -5,13 +5,15 @@ of a token is that of its class given hashed features of the two tokens before i
 it, both), times that of the word within its class given its own features; a tail word's is its smoothed share of the
 tail. So the model is a distribution over all words, unseen ones included.
 
-Corpus counts cover every training token. The weights start at the unigram model and are trained in rounds: each task makes
-gradient steps on all of its tokens from the shared weights, and the changes are averaged by weight row, by the number of
-steps that touched it. Texts are scored in batches of numpy gathers. Counts of
+Corpus counts cover every training token. The weights start at the unigram model and are trained in rounds, each over
+another part of the training texts (dealt by a hash of the text), so every token makes one gradient step: each task makes steps
+on all of the round's tokens that it has, from the shared weights, and the changes are averaged by weight row, by the number
+of steps that touched it. Texts are scored in batches of numpy gathers. Counts of
 the DICTIONARY most frequent words go to every task; those of rarer ones are joined.
 
-Contract: null text counts as empty, which is one end token. Rows stay one for one, repeated ids included. Without training
-rows every token has the same smoothed base probability. Words are compared by 64-bit hashes.
+Contract: null text counts as empty, which is one end token. Rows stay one for one, repeated ids included; a null id is held
+out. Without training rows every token has the same smoothed base probability. Words are compared by 64-bit hashes. Very long
+texts are hashed in pieces and scored in blocks. Other columns are ignored, so clashing names don't matter.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ ROWS = 4096
 DICTIONARY = 1 << 18
 END, BEGIN = np.uint64(0x1234567), np.uint64(0x7654321)
 COUNTS_AT_ONCE = 1 << 20
-BATCH = 512
+BATCH = 1024
+#: Logits within this range need no shift before they are raised to powers.
+SAFE = 60.0
 BLOCK = 64
 UNUSED = -30.0
 
@@ -147,9 +151,10 @@ def word_rows(one: np.ndarray, two: np.ndarray, cls: np.ndarray) -> list[np.ndar
     return [bucket(one ^ c, 4), ROWS + bucket(two ^ c, 5)]
 
 
-def softmax_log(z: np.ndarray) -> np.ndarray:
+def softmax_log(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log probability of one outcome ``at`` for each row of logits."""
     z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(1))
 
 
 def train_task(w: Weights, h: np.ndarray, row: np.ndarray, v: Vocabulary, rate: float, seen: list[np.ndarray], hits: list[np.ndarray]) -> None:
@@ -169,18 +174,26 @@ def train_task(w: Weights, h: np.ndarray, row: np.ndarray, v: Vocabulary, rate:
 
 
 def step(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, target: np.ndarray, rate: float, seen: np.ndarray, hits: np.ndarray) -> None:
-    d = sum(table[r] for r in rows) + bias
-    d = np.exp(d - d.max(1, keepdims=True))
+    d = np.take(table, rows[0], 0)
+    for r in rows[1:]:
+        d += np.take(table, r, 0)
+    d += bias
+    n = len(target)
+    if np.abs(d).max() > SAFE:
+        d -= d.max(1, keepdims=True)
+    np.exp(d, out=d)
     d /= d.sum(1, keepdims=True)
-    d[np.arange(len(target)), target] -= 1
-    size = (d * d).mean(1)
-    for r in rows:
-        by = np.argsort(r, kind="stable")
-        first = np.flatnonzero(np.diff(r[by], prepend=-1))
-        own = r[by[first]]
-        seen[own] += np.add.reduceat(size[by], first)
-        hits[own] += np.diff(first, append=len(r))
-        table[own] -= rate * np.add.reduceat(d[by], first) / np.sqrt(seen[own] + 0.1)[:, None]
+    d[np.arange(n), target] -= 1
+    size = np.einsum("ij,ij->i", d, d) / d.shape[1]
+    # The features' rows lie in different ranges of the table, so one sort adds up all of them.
+    r = np.concatenate(rows).astype(np.uint16)
+    by = np.argsort(r, kind="stable")
+    r, by = r[by], by % n
+    first = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1])
+    own = r[first].astype(np.int64)
+    seen[own] += np.add.reduceat(size[by], first)
+    hits[own] += np.diff(first, append=len(r))
+    table[own] -= np.add.reduceat(np.take(d, by, 0), first) * (rate / np.sqrt(seen[own] + 0.1))[:, None]
 
 
 def train_round(docs: DataFrame, w: Weights, v: Vocabulary, rate: float) -> None:
@@ -232,11 +245,11 @@ def score_rows(h: np.ndarray, row: np.ndarray, n: int, w: Weights, v: Vocabulary
     for lo in range(0, len(h), 8192):
         s = slice(lo, lo + 8192)
         z = w.class_bias + sum(w.classes[r] for r in class_rows(one[s], two[s]))
-        model[s] += softmax_log(z)[np.arange(len(z)), cls[s]] / np.log(10)
+        model[s] += softmax_log(z, cls[s]) / np.log(10)
         inner = lo + np.flatnonzero(place[s] >= 0)
         if len(inner):
             z = w.word_bias[cls[inner]] + sum(w.words[r] for r in word_rows(one[inner], two[inner], cls[inner]))
-            model[inner] += softmax_log(z)[np.arange(len(z)), place[inner] % SLOTS] / np.log(10)
+            model[inner] += softmax_log(z, place[inner] % SLOTS) / np.log(10)
     return np.bincount(row, c > 0, n), np.bincount(row, base, n), np.bincount(row, model, n), rare
 
 
@@ -250,7 +263,7 @@ def score(docs: DataFrame, held_mod: int = 10, rounds: int = 2, rate: float = 0.
     v, least = vocabulary(counts)
     w = Weights(v)
     for k in range(rounds if v.total else 0):
-        train_round(learn, w, v, rate / (1 + k))
+        train_round(learn.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k), w, v, rate)
     shared = spark.sparkContext.broadcast((w, v))
 
     def run(batches):

@@ -208,7 +208,7 @@ def test_small_dictionary_gives_the_same_base(spark):
 def test_model_is_a_distribution():
     v = language_model.Vocabulary(np.array([5, 9], np.uint64), np.array([3, 1]), np.array([0, 1]), 6, 4, 2 + 0.1 * 3)
     w = language_model.Weights(v)
-    assert abs(np.exp(language_model.softmax_log(w.class_bias[None].astype(float))).sum() - 1) < 1e-9
+    assert abs(np.exp(language_model.softmax_log(np.repeat(w.class_bias[None].astype(float), 32, 0), np.arange(32))).sum() - 1) < 1e-9
 
 
 def test_vocabulary_order():
