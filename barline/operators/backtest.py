@@ -5,29 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rolling import ratio
 from .asof import pad
 from .cross import average_rank
+from .portfolio import by_risk, capped, classify_risk
 
 START, STALE_DAYS, MIN_NAMES, MIN_IC, MIN_DECILE = 300, 10, 5, 8, 10
 
 
 def calendar(mkt: DataFrame, step: int = 5, years: float = 10) -> DataFrame:
-    """(k, date, next_date): every ``step``-th benchmark date of the last years, from bar 300 on, that has a next one."""
-    # The benchmark is one short series; its window is no skew.
-    at = mkt.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("pos"), F.lead("date", step).over(Window.orderBy("date")).alias("next_date"))
-    n = mkt.agg(F.count("*").alias("n"))
-    first = F.greatest(F.lit(START), F.col("n") - int(years * 252))
-    at = at.join(F.broadcast(n)).where((F.col("pos") >= first) & (F.col("pos") < F.col("n") - step) & ((F.col("pos") - first) % step == 0))  # one row
-    return at.select(((F.col("pos") - first) / step).cast("int").alias("k"), "date", "next_date")
-
-
-def panel(features: DataFrame, dates: DataFrame, values: list[str]) -> DataFrame:
-    """(k, date, symbol, values, fwd): what was known at each date, and the return to the next one."""
-    names = features.select("symbol").distinct()
+    """(k, date, next_date, bench_ret): every ``step``-th benchmark date of the last years, from bar 300 on, that has a next one; the benchmark's return to it."""
+    n = F.count("*").over(Window.partitionBy())
+    return _every(mkt, F.greatest(F.lit(START), n - int(years * 252)), n, step)
+
+
+def calendar_between(mkt: DataFrame, step: int, begin: str | None = None, end: str | None = None) -> DataFrame:
+    """As :func:`calendar`, from the last date up to ``begin`` (bar 300 if None) to the last one up to ``end`` (all if None)."""
+    whole = Window.partitionBy()
+
+    def place(day: str):
+        return F.sum((F.col("date") <= F.to_date(F.lit(day))).cast("int")).over(whole) - 1
+
+    return _every(mkt, F.lit(START) if begin is None else place(begin), F.count("*").over(whole) if end is None else place(end), step)
+
+
+def _every(mkt: DataFrame, first, stop, step: int) -> DataFrame:
+    # The benchmark is one short series; its windows are no skew.
+    order = Window.orderBy("date")
+    ahead = F.when(F.col("close") > 0, F.lead("close", step).over(order) / F.col("close") - 1).otherwise(0.0)
+    at = mkt.select("date", (F.row_number().over(order) - 1).alias("pos"), F.lead("date", step).over(order).alias("next_date"), ahead.alias("bench_ret"), first.alias("first"), stop.alias("stop"))
+    at = at.where((F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("stop") - step) & ((F.col("pos") - F.col("first")) % step == 0))
+    return at.select(((F.col("pos") - F.col("first")) / step).cast("int").alias("k"), "date", "next_date", "bench_ret")
+
+
+def panel(features: DataFrame, dates: DataFrame, values: list[str], bars: DataFrame | None = None) -> DataFrame:
+    """(k, date, symbol, values, fwd): what was known at each date, and the return to the next one.
+
+    ``bars`` (symbol, date, close, n_bar): where costly features are derived from, so that names and next closes don't derive them again.
+    """
+    bars = features if bars is None else bars
+    names = bars.select("symbol").distinct()
     asked = names.join(F.broadcast(dates))  # the calendar is bounded by trading days
     now = pad(features, asked.select("symbol", "date", "k", "next_date"), [*values, "close", "n_bar"])
     now = now.where((F.col("n_bar") >= START) & (F.date_diff("date", "bar_date") <= STALE_DAYS))
-    ahead = pad(features, now.select("symbol", F.col("next_date").alias("date"), "k"), ["close", "n_bar"], "next_")
+    ahead = pad(bars, now.select("symbol", F.col("next_date").alias("date"), "k"), ["close", "n_bar"], "next_")
     both = now.join(ahead.select("symbol", "k", "next_close", "next_n_bar"), ["symbol", "k"])
     both = both.where((F.col("next_n_bar") > F.col("n_bar")) & (F.col("close") > 0))
     return both.select("k", "date", "symbol", *values, (F.col("next_close") / F.col("close") - 1).alias("fwd"))
@@ -38,18 +59,31 @@ def melted(table: DataFrame, strategies: list[str]) -> DataFrame:
     return table.unpivot(["k", "date", "symbol", "fwd"], strategies, "strategy", "value").where("value IS NOT NULL")
 
 
-def holdings(table: DataFrame, strategies: list[str], top: float = 0.2) -> DataFrame:
-    """(strategy, k, symbol, fwd) of the best ``top`` share of names, on dates with enough of them."""
-    long = melted(table, strategies)
+def holdings(table: DataFrame, strategies: list[str], top: float = 0.2, more: tuple[str, ...] = ()) -> DataFrame:
+    """(strategy, k, symbol, fwd, more) of the best ``top`` share of names, on dates with enough of them."""
+    long = table.unpivot(["k", "date", "symbol", "fwd", *more], strategies, "strategy", "value").where("value IS NOT NULL")
     by = Window.partitionBy("strategy", "k")
     long = long.withColumns({"n": F.count("*").over(by), "at": F.row_number().over(by.orderBy(F.desc("value"), "symbol"))})
-    return long.where((F.col("n") >= MIN_NAMES) & (F.col("at") <= F.greatest(F.lit(1), F.floor(F.col("n") * top)))).select("strategy", "k", "symbol", "fwd")
+    return long.where((F.col("n") >= MIN_NAMES) & (F.col("at") <= F.greatest(F.lit(1), F.floor(F.col("n") * top)))).select("strategy", "k", "symbol", "fwd", *more)
+
 
+def holding_weights(held: DataFrame) -> DataFrame:
+    """Adds weight: inverse to ``vol`` (percent a year; 20 where it is missing), capped as a recommended book is."""
+    vol = F.coalesce(F.nullif(F.col("vol"), F.lit(0.0)), F.lit(20.0))
+    return capped(held.withColumn("raw", 1 / F.greatest(vol, F.lit(1e-6))), ("strategy", "k")).drop("raw")
 
-def strategy_returns(table: DataFrame, strategies: list[str], top: float = 0.2) -> DataFrame:
-    """(strategy, k, date, ret, turnover): dates without enough names return 0 and keep what was held."""
-    held = holdings(table, strategies, top)
-    used = held.groupBy("strategy", "k").agg(F.avg("fwd").alias("ret"), F.count("*").alias("n"))
+
+def strategy_returns(table: DataFrame, strategies: list[str], top: float = 0.2, weighting: str = "equal", exposure: DataFrame | None = None) -> DataFrame:
+    """(strategy, k, date, ret, turnover): dates without enough names return 0 and keep what was held.
+
+    ``weighting``: "equal", or "inv_vol" by the panel's column ``vol``. ``exposure`` (date, exposure): the invested share at each date.
+    """
+    if weighting == "inv_vol":
+        held = holding_weights(holdings(table, strategies, top, ("vol",)))
+        used = held.groupBy("strategy", "k").agg(F.sum(F.col("fwd") * F.col("weight")).alias("ret"), F.count("*").alias("n"))
+    else:
+        held = holdings(table, strategies, top)
+        used = held.groupBy("strategy", "k").agg(F.avg("fwd").alias("ret"), F.count("*").alias("n"))
     order = Window.partitionBy("strategy").orderBy("k")
     used = used.withColumn("before", F.lag("k").over(order))
     old = held.select("strategy", F.col("k").alias("before"), "symbol", F.lit(1).alias("kept"))
@@ -57,35 +91,70 @@ def strategy_returns(table: DataFrame, strategies: list[str], top: float = 0.2)
     used = used.join(kept, ["strategy", "k"], "left")
     used = used.select("strategy", "k", "ret", F.when(F.col("before").isNull(), 0.0).otherwise((F.col("n") - F.coalesce("kept", F.lit(0))) / F.col("n")).alias("turnover"))
     every = table.select("k", "date").distinct().join(F.broadcast(table.sparkSession.createDataFrame([(s,) for s in strategies], "strategy string")))
-    return every.join(used, ["strategy", "k"], "left").select("strategy", "k", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"), F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
+    got = every.join(used, ["strategy", "k"], "left").select("strategy", "k", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"), F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
+    if exposure is None:
+        return got
+    return got.join(exposure, "date", "left").withColumn("ret", F.col("ret") * F.coalesce("exposure", F.lit(1.0))).select("strategy", "k", "date", "ret", "turnover")
+
+
+def benchmarks(table: DataFrame, dates: DataFrame) -> DataFrame:
+    """(strategy, k, date, ret, turnover) of all names at equal weight, and of the benchmark itself: bought and held, without costs."""
+    mean = table.groupBy("k").agg(F.avg("fwd").alias("ret"))
+    equal = dates.select("k", "date").join(mean, "k", "left").select(F.lit("equal_weight").alias("strategy"), "k", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"), F.lit(0.0).alias("turnover"))
+    return equal.unionByName(dates.select(F.lit("market").alias("strategy"), "k", "date", F.col("bench_ret").alias("ret"), F.lit(0.0).alias("turnover")))
+
+
+def exposures(mkt: DataFrame) -> DataFrame:
+    """(date, exposure) by the benchmark's mean over 200 bars (100 needed) and its volatility's place in five years (253 values needed)."""
+    w = Window.orderBy("date")  # one benchmark series
+    m = mkt.select("date", "close", F.ln(ratio(F.col("close"), F.lag("close").over(w))).alias("r"), F.count("close").over(w.rowsBetween(-199, 0)).alias("n"), F.avg("close").over(w.rowsBetween(-199, 0)).alias("mean"))
+    m = m.withColumn("vol", F.when(F.count("r").over(w.rowsBetween(-20, 0)) >= 21, F.stddev_samp("r").over(w.rowsBetween(-20, 0))))
+    m = m.withColumns({"seen": F.collect_list("vol").over(w.rowsBetween(-1259, 0)), "known": F.count("vol").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    pct = F.when(F.col("vol").isNotNull() & (F.col("known") > 252), 100 * F.size(F.filter("seen", lambda v: v <= F.col("vol"))) / F.size("seen"))
+    m = m.select("date", classify_risk(F.when(F.col("n") >= 100, F.col("close") > F.col("mean")), pct).alias("risk"))
+    return m.select("date", by_risk(1.0, 0.6, 0.3, 1.0).alias("exposure"))
 
 
 def after_costs(returns: DataFrame, bps: float) -> DataFrame:
     return returns.withColumn("ret", F.col("ret") - 2 * F.col("turnover") * bps / 1e4)
 
 
-def equity(returns: DataFrame) -> DataFrame:
+def equity(returns: DataFrame, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """Adds log_equity and equity, the running product of 1 + ret; needs returns above -1. Logs keep long products in range."""
-    order = Window.partitionBy("strategy").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     return returns.withColumn("log_equity", F.sum(F.ln(1 + F.col("ret"))).over(order)).withColumn("equity", F.exp("log_equity"))
 
 
-def stats(returns: DataFrame, step: int = 5) -> DataFrame:
-    """(strategy, log_cagr, log_total, cagr, vol, sharpe, max_dd, hit, total, turnover, n), rates in percent; the peak starts at the first equity."""
-    order = Window.partitionBy("strategy").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    e = equity(returns).withColumn("peak", F.max("log_equity").over(order))
+def stats(returns: DataFrame, step: int = 5, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
+    """(by, log_cagr, log_total, cagr, vol, sharpe, max_dd, hit, total, turnover, n), rates in percent; the peak starts at the first equity."""
+    order = Window.partitionBy(*by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    e = equity(returns, by).withColumn("peak", F.max("log_equity").over(order))
     per = 252 / step
-    got = e.groupBy("strategy").agg(
+    got = e.groupBy(*by).agg(
         F.max_by("log_equity", "k").alias("log_total"), F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"), F.min(F.exp(F.col("log_equity") - F.col("peak")) - 1).alias("dd"),
         F.avg((F.col("ret") > 0).cast("double")).alias("up"), F.avg(F.when(F.col("k") > 0, F.col("turnover"))).alias("turnover"),
     )
     got = got.withColumn("log_cagr", F.col("log_total") * per / F.col("n"))
     return got.select(
-        "strategy", "log_cagr", "log_total", (100 * (F.exp("log_cagr") - 1)).alias("cagr"), (100 * F.col("sd") * per**0.5).alias("vol"), (F.try_divide("mean", "sd") * per**0.5).alias("sharpe"),
+        *by, "log_cagr", "log_total", (100 * (F.exp("log_cagr") - 1)).alias("cagr"), (100 * F.col("sd") * per**0.5).alias("vol"), (F.try_divide("mean", "sd") * per**0.5).alias("sharpe"),
         (100 * F.col("dd")).alias("max_dd"), (100 * F.col("up")).alias("hit"), (100 * (F.exp("log_total") - 1)).alias("total"), "turnover", "n",
     )
 
 
+def by_regime(returns: DataFrame, labels: DataFrame, step: int = 5, least: int = 8) -> DataFrame:
+    """:func:`stats` for each strategy and label (bull, bear) of ``least`` periods or more, as if the label's periods followed each other."""
+    joined = returns.join(labels.where(F.col("label").isin("bull", "bear")), "date")
+    return stats(joined, step, ("strategy", "label")).where(F.col("n") >= least)
+
+
+def verdict(found: DataFrame, base: float = 10_000.0) -> DataFrame:
+    """(strategy, end_value, max_dd, points): what ``base`` became, and the composite's lead over each benchmark in points of total return."""
+    rows = found.where(F.col("strategy").isin("composite", "equal_weight", "market"))
+    own = F.max(F.when(F.col("strategy") == "composite", F.col("total"))).over(Window.partitionBy())  # three rows
+    points = F.when(F.col("strategy") != "composite", own - F.col("total"))
+    return rows.select("strategy", (base * (1 + F.col("total") / 100)).alias("end_value"), "max_dd", points.alias("points"))
+
+
 def information_coefficients(table: DataFrame, strategies: list[str]) -> DataFrame:
     """(strategy, k, ic): rank correlation of value and forward return, average ties, on dates of enough names."""
     long = melted(table, strategies)

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import by, ratio
-from .backtest import MIN_IC, melted, sharpe_parts
-from .cross import average_rank
+from .backtest import MIN_IC, sharpe_parts
 
 HORIZONS = (5, 10, 21)
 LEAST_EVENTS = 20
+SQUEEZE_ON = "coalesce(bb_up < ema20 + 1.5 * atr10 AND bb_low > ema20 - 1.5 * atr10, false)"
 #: Fixed value: the Euler-Mascheroni constant.
 GAMMA = 0.5772156649015329
 
@@ -29,6 +28,12 @@ def events() -> dict[str, Column]:
     }
 
 
+def squeeze(bars: DataFrame) -> DataFrame:
+    """squeeze_on: Bollinger inside Keltner; squeeze_fired: on at the bar before and no longer."""
+    bars = bars.withColumn("squeeze_on", F.expr(SQUEEZE_ON))
+    return bars.withColumn("squeeze_fired", F.expr("coalesce(lag(squeeze_on) OVER (PARTITION BY symbol ORDER BY date), false) AND NOT squeeze_on"))
+
+
 def event_study(bars: DataFrame, years: float = 3, start: int = 300) -> DataFrame:
     """(event, n, d5, d10, d21): mean forward returns in percent after each event, and of all bars as ``baseline``.
 
@@ -46,8 +51,8 @@ def event_study(bars: DataFrame, years: float = 3, start: int = 300) -> DataFram
 
 def expected_max_sharpe(trials: int, spread: float = 1.0) -> float:
     """Largest Sharpe ratio to expect of ``trials`` strategies without skill."""
-    n, ppf = max(2, trials), NormalDist().inv_cdf
-    return spread * ((1 - GAMMA) * ppf(1 - 1 / n) + GAMMA * ppf(1 - 1 / (n * math.e)))
+    n = max(2, trials)
+    return spread * ((1 - GAMMA) * normal_ppf(1 - 1 / n) + GAMMA * normal_ppf(1 - 1 / (n * math.e)))
 
 
 def expected_max_t(trials: int) -> float:
@@ -57,44 +62,71 @@ def expected_max_t(trials: int) -> float:
 def deflated_sharpe(returns: DataFrame, trials: int, spread: float | None = None) -> DataFrame:
     """(strategy, sharpe, sr0, deflated, passes): probability that the Sharpe ratio beats the best of the trials by skill.
 
-    One row for each strategy; the normal distribution function is applied to those few rows by an Arrow function.
+    One row for each strategy.
     """
     parts = sharpe_parts(returns).withColumn("spread", F.lit(spread).cast("double") if spread else F.greatest(F.abs("sharpe"), F.lit(1e-9)))
     sr0 = F.col("spread") * expected_max_sharpe(trials)
     base = 1 - F.col("skew") * F.col("sharpe") + (F.col("kurt") - 1) / 4 * F.col("sharpe") * F.col("sharpe")
     z = F.when(base > 0, (F.col("sharpe") - sr0) * F.sqrt(F.col("n") - 1) / F.sqrt(base))
     t = parts.select("strategy", "sharpe", sr0.alias("sr0"), z.alias("z"))
-    return t.withColumn("deflated", normal_cdf(F.col("z"))).withColumn("passes", F.col("deflated") >= 0.95).drop("z")
+    return t.withColumn("deflated", normal_cdf("z")).withColumn("passes", F.col("deflated") >= 0.95).drop("z")
+
+
+def _series(x: str) -> str:
+    """erf(x) for 0 <= x <= 3 as a sum of positive terms, by their ratio: good to the last digits of a double."""
+    terms = 60
+    nested = "1.0"
+    for k in range(terms, 0, -1):
+        nested = f"(1.0 + 2.0 * {x} * {x} / {2 * k + 1}.0 * {nested})"
+    return f"(2.0 / sqrt(pi()) * {x} * exp(-{x} * {x}) * {nested})"
+
+
+def _fraction(x: str) -> str:
+    """1 - erf(x) for x > 3 as a continued fraction."""
+    nested = x
+    for k in range(40, 0, -1):
+        nested = f"({x} + {k / 2} / {nested})"
+    return f"(exp(-{x} * {x}) / sqrt(pi()) / {nested})"
+
+
+def normal_cdf_sql(z: str) -> str:
+    """The normal distribution function as an SQL expression over a column, to about 1e-15: Spark and DuckDB have no error function."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    short, tail = _series(f"CAST(least({x}, 3.0) AS DOUBLE)"), _fraction(f"CAST(greatest({x}, 3.0) AS DOUBLE)")
+    upper = f"CASE WHEN {x} <= 3 THEN 0.5 * (1.0 - {short}) ELSE 0.5 * {tail} END"
+    return f"(CASE WHEN {z} IS NULL THEN NULL WHEN {z} < 0 THEN {upper} ELSE 1.0 - {upper} END)"
+
+
+def normal_cdf(z: str) -> Column:
+    """The normal distribution function of a column."""
+    return F.expr(normal_cdf_sql(z))
+
+
+def normal_ppf(p: float) -> float:
+    """The inverse; ValueError outside (0, 1)."""
+    return NormalDist().inv_cdf(p)
 
 
-def normal_cdf(z: Column) -> Column:
-    """The normal distribution function by a rational approximation of the error function; within 1.5e-7."""
-    # A published approximation's coefficients.
-    p, a = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + p * x)
-    poly = reduce(lambda acc, c: acc * t + c, reversed(a), F.lit(0.0)) * t
-    erf = 1 - poly * F.exp(-x * x)
-    return 0.5 * (1 + F.signum(z) * erf)
+def deflated_t(stats: DataFrame, trials: int) -> DataFrame:
+    """Adds hurdle, passes (two-sided) and clears_positive to (strategy, t): the largest t to expect of that many trials without signal."""
+    hurdle = F.lit(expected_max_t(trials))
+    return stats.select("strategy", "t", hurdle.alias("hurdle"), (F.abs("t") > hurdle).alias("passes"), (F.col("t") > hurdle).alias("clears_positive"))
 
 
 def null_ic(panel: DataFrame, strategies: list[str], permutations: int = 200, seed: int = 1) -> DataFrame:
-    """(mean, p95, p99, most) of the best strategy's mean IC when forward returns are shuffled within each date.
+    """(permutations, mean, p95, p99, most) of the best strategy's mean IC when forward returns are shuffled within each date.
 
-    A permutation deals the date's return ranks anew in the order of a hash, so it is repeatable and needs no driver loop.
+    The names of a date in the order of a hash are a permutation of its return ranks: repeatable, the same for all strategies,
+    and no join. Ranks are ordinal, ties by symbol. One row for each name, date and permutation.
     """
-    ranked = melted(panel, strategies)
-    by = Window.partitionBy("strategy", "k")
-    ranked = ranked.withColumns({"rv": average_rank("value", "strategy", "k"), "rf": average_rank("fwd", "strategy", "k"), "n": F.count("*").over(by)}).where(F.col("n") >= MIN_IC)
-    many = ranked.select("strategy", "k", "symbol", "rv", "rf", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    group = Window.partitionBy("perm", "strategy", "k")
-    # Values keep their order by symbol, returns are dealt by hash: two ranks that meet at equal places.
-    many = many.withColumns({"place": F.row_number().over(group.orderBy("symbol")), "drawn": F.row_number().over(group.orderBy(F.xxhash64(F.lit(seed), "perm", "k", "symbol"), "symbol"))})
-    left = many.select("perm", "strategy", "k", "place", "rv")
-    right = many.select("perm", "strategy", "k", F.col("drawn").alias("place"), "rf")
-    ics = left.join(right, ["perm", "strategy", "k", "place"]).groupBy("perm", "strategy", "k").agg(F.try_divide(F.covar_pop("rv", "rf"), F.stddev_pop("rv") * F.stddev_pop("rf")).alias("ic"))
-    best = ics.groupBy("perm", "strategy").agg(F.avg("ic").alias("ic")).groupBy("perm").agg(F.max("ic").alias("ic"))
-    return best.agg(F.avg("ic").alias("mean"), F.percentile("ic", F.lit(0.95)).alias("p95"), F.percentile("ic", F.lit(0.99)).alias("p99"), F.max("ic").alias("most"))
+    day = Window.partitionBy("k")
+    ranked = panel.withColumns({f"_r{i}": F.row_number().over(day.orderBy(s, "symbol")) for i, s in enumerate(strategies)} | {"n": F.count("*").over(day)})
+    many = ranked.where(F.col("n") >= MIN_IC).select("k", "symbol", *[f"_r{i}" for i in range(len(strategies))], F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    drawn = F.md5(F.concat_ws("|", F.lit(seed), "perm", "k", "symbol"))
+    many = many.withColumn("y", F.row_number().over(Window.partitionBy("perm", "k").orderBy(drawn, "symbol")))
+    ics = many.groupBy("perm", "k").agg(*[F.corr(f"_r{i}", "y").alias(f"ic{i}") for i in range(len(strategies))])
+    best = ics.groupBy("perm").agg(F.greatest(*[F.avg(f"ic{i}") for i in range(len(strategies))], F.lit(None)).alias("ic"))
+    return best.agg(F.count("*").alias("permutations"), F.avg("ic").alias("mean"), F.percentile("ic", F.lit(0.95)).alias("p95"), F.percentile("ic", F.lit(0.99)).alias("p99"), F.max("ic").alias("most"))
 
 
 def state_summary(labels: DataFrame) -> DataFrame:

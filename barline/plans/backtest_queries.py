@@ -80,24 +80,55 @@ def pbo_query(spark, sf_dir) -> DataFrame:
 CAL = f"""cal AS MATERIALIZED (SELECT CAST((pos - first) / {STEP} AS INT) AS k, date, next_date FROM (
   SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, lead(date, {STEP}) OVER (ORDER BY date) AS next_date, greatest(300, count(*) OVER () - {YEARS * 252}) AS first, count(*) OVER () AS n FROM mkt)
   WHERE pos >= first AND pos < n - {STEP} AND (pos - first) % {STEP} = 0)"""
-PANEL = f"""{sql.MARKET}, {CAL},
-sig AS MATERIALIZED (SELECT *, mom21 AS momentum, -zscore20 AS reversion, cmf20 AS flow FROM f),
+
+
+def panel_sql(signals: dict[str, str], strategies: list[str], source: str = "f") -> str:
+    """CTEs up to ``panel`` and ``long``: named expressions over ``source`` at each date, with the return to the next one."""
+    names = ", ".join(signals)
+    made = ", ".join(f"{e} AS {n}" for n, e in signals.items())
+    return f"""{sql.MARKET}, {CAL},
+sig AS MATERIALIZED (SELECT symbol, date, close, n_bar, {made} FROM {source}),
 ask AS (SELECT s.symbol, c.* FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN cal c),
-p0 AS (SELECT a.k, a.date, a.symbol, a.next_date, b.date AS d0, b.n_bar AS n0, b.close AS c0, momentum, reversion, flow FROM ask a ASOF JOIN sig b ON a.symbol = b.symbol AND a.date >= b.date),
-panel AS MATERIALIZED (SELECT p.k, p.date, p.symbol, p.momentum, p.reversion, p.flow, b.close / c0 - 1 AS fwd FROM p0 p ASOF JOIN sig b ON p.symbol = b.symbol AND p.next_date >= b.date
+p0 AS (SELECT a.k, a.date, a.symbol, a.next_date, b.date AS d0, b.n_bar AS n0, b.close AS c0, {names} FROM ask a ASOF JOIN sig b ON a.symbol = b.symbol AND a.date >= b.date),
+panel AS MATERIALIZED (SELECT p.k, p.date, p.symbol, {", ".join(f"p.{n}" for n in signals)}, b.close / c0 - 1 AS fwd FROM p0 p ASOF JOIN sig b ON p.symbol = b.symbol AND p.next_date >= b.date
   WHERE n0 >= 300 AND date_diff('day', d0, p.date) <= 10 AND b.n_bar > n0 AND c0 > 0),
-long AS MATERIALIZED (SELECT k, date, symbol, fwd, strategy, value FROM panel UNPIVOT (value FOR strategy IN (momentum, reversion, flow)))"""
-RETURNS = """held AS MATERIALIZED (SELECT strategy, k, symbol, fwd FROM (SELECT *, count(*) OVER (PARTITION BY strategy, k) AS n, row_number() OVER (PARTITION BY strategy, k ORDER BY value DESC, symbol) AS i FROM long)
-  WHERE n >= 5 AND i <= greatest(1, floor(n * 0.2))),
-used AS (SELECT strategy, k, avg(fwd) AS ret, list(symbol) AS names, lag(list(symbol)) OVER (PARTITION BY strategy ORDER BY k) AS old FROM held GROUP BY strategy, k),
+long AS MATERIALIZED (SELECT k, date, symbol, fwd, {"vol, " if "vol" in signals else ""}strategy, value FROM panel UNPIVOT (value FOR strategy IN ({", ".join(strategies)})))"""
+
+
+def returns_sql(strategies: list[str], weighting: str = "equal") -> str:
+    """CTEs up to ``ret``: each strategy's return and turnover at each date."""
+    caps = ""
+    mean = "avg(fwd)"
+    if weighting == "inv_vol":
+        by = "OVER (PARTITION BY strategy, k)"
+        caps = f""",
+w0 AS (SELECT *, greatest(0.15::DOUBLE, 1.0::DOUBLE / count(*) {by}) AS c, raw / sum(raw) {by} AS w FROM (SELECT *, 1 / greatest(coalesce(nullif(vol, 0), 20), 1e-6) AS raw FROM held))""" + "".join(
+            f""",
+e{j} AS (SELECT strategy, k, symbol, fwd, c, w, sum(CASE WHEN w > c THEN w - c ELSE 0 END) {by} AS x, sum(CASE WHEN w < c THEN w ELSE 0 END) {by} AS u FROM w{j}),
+w{j + 1} AS (SELECT strategy, k, symbol, fwd, c, CASE WHEN x <= 1e-9 THEN w WHEN w > c THEN c WHEN u > 0 THEN w + x * w / u ELSE w END AS w FROM e{j})"""
+            for j in range(5)
+        )
+        mean = "sum(fwd * w) / sum(w)"
+    source = "w5" if caps else "held"
+    more = ", vol" if caps else ""
+    listed = ", ".join(f"'{s}'" for s in strategies)
+    return f"""held AS MATERIALIZED (SELECT strategy, k, symbol, fwd{more} FROM (SELECT *, count(*) OVER (PARTITION BY strategy, k) AS n, row_number() OVER (PARTITION BY strategy, k ORDER BY value DESC, symbol) AS i FROM long)
+  WHERE n >= 5 AND i <= greatest(1, floor(n * 0.2))){caps},
+used AS (SELECT strategy, k, {mean} AS ret, list(symbol) AS names, lag(list(symbol)) OVER (PARTITION BY strategy ORDER BY k) AS old FROM {source} GROUP BY strategy, k),
 ret AS MATERIALIZED (SELECT s.strategy, d.k, d.date, coalesce(u.ret, 0) AS ret, CASE WHEN u.old IS NULL THEN 0 ELSE len(list_filter(u.names, lambda x: NOT list_contains(u.old, x))) / len(u.names) END AS turnover
-  FROM (SELECT DISTINCT k, date FROM panel) d CROSS JOIN (SELECT unnest(['momentum', 'reversion', 'flow']) AS strategy) s LEFT JOIN used u ON u.k = d.k AND u.strategy = s.strategy)"""
-IC = """ic AS MATERIALIZED (SELECT strategy, k, corr(rv, rf) AS ic FROM (SELECT strategy, k,
+  FROM (SELECT DISTINCT k, date FROM panel) d CROSS JOIN (SELECT unnest([{listed}]) AS strategy) s LEFT JOIN used u ON u.k = d.k AND u.strategy = s.strategy)"""
+
+
+def ic_sql() -> str:
+    return """ic AS MATERIALIZED (SELECT strategy, k, corr(rv, rf) AS ic FROM (SELECT strategy, k,
     rank() OVER (PARTITION BY strategy, k ORDER BY value) + (count(*) OVER (PARTITION BY strategy, k, value) - 1) / 2.0::DOUBLE AS rv,
     rank() OVER (PARTITION BY strategy, k ORDER BY fwd) + (count(*) OVER (PARTITION BY strategy, k, fwd) - 1) / 2.0::DOUBLE AS rf FROM long)
   GROUP BY strategy, k HAVING count(*) >= 8 AND stddev_pop(rv) > 0 AND stddev_pop(rf) > 0)"""
 
 
+PANEL, RETURNS, IC = panel_sql({"momentum": "mom21", "reversion": "-zscore20", "flow": "cmf20"}, STRATEGIES), returns_sql(STRATEGIES), ic_sql()
+
+
 def query(select: str, *more: str) -> str:
     return sql.with_bars(("n_bar", *SIGNALS), select, more=",\n".join((PANEL, *more)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indicators import DEFS, add
 from ..functions.recursive import add_recursive
+from ..operators.evaluate import SQUEEZE_ON, squeeze
 from ..sources.bars import derive_bars
 from . import indicator_sql as sql
 
@@ -29,7 +30,6 @@ SCALED = {
 NEEDS = {"bollinger": ("bb_up", "bb_low")}
 RECURSIVE = {"atr14": "atr14 / close", "atr_percent": "100 * atr14 / close", "macd_hist": "macd_hist / close", "kama10": "kama10 / close", "ema20": "ema20 / close"}
 KELTNER = "(ema20 + 1.5 * atr10 - (ema20 - 1.5 * atr10)) / close"
-SQUEEZE_ON = "coalesce(bb_up < ema20 + 1.5 * atr10 AND bb_low > ema20 - 1.5 * atr10, false)"
 
 
 def _simple(name: str, expression: str, needs: tuple[str, ...], recursive: bool):
@@ -42,12 +42,6 @@ def _simple(name: str, expression: str, needs: tuple[str, ...], recursive: bool)
     return run, text
 
 
-def squeeze(bars: DataFrame) -> DataFrame:
-    """squeeze_on: Bollinger inside Keltner; squeeze_fired: on at the bar before and no longer."""
-    bars = bars.withColumn("squeeze_on", F.expr(SQUEEZE_ON))
-    return bars.withColumn("squeeze_fired", F.expr("coalesce(lag(squeeze_on) OVER (PARTITION BY symbol ORDER BY date), false) AND NOT squeeze_on"))
-
-
 def squeeze_query(spark, sf_dir) -> DataFrame:
     return squeeze(add(add_recursive(derive_bars(spark, sf_dir)), "bb_up", "bb_low")).select("symbol", "date", "squeeze_on", "squeeze_fired")
 

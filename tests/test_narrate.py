@@ -30,7 +30,7 @@ def test_facts_signals_and_beta(spark):
     from barline.functions.indicators import add
 
     t = beta(add(features(bars, h), "bb_up", "bb_low", "half_life126", "don_break"), twice)
-    t = squeeze(score(t, h)).withColumn("signals", signals(h))
+    t = score(latest(squeeze(t).withColumns({"_fired": F.lit(False), "_below": F.lit(False), "_above": F.lit(False)})), h).withColumn("signals", signals())
     rows = {r.symbol: r for r in latest(t.select("symbol", "date", "beta", "alpha", "signals")).collect()}
     assert abs(rows["A"].beta - 252 / 251) < 1e-6 and len(rows["A"].signals) <= 5
     assert t.where(F.size("signals") > 5).count() == 0
