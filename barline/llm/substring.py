@@ -6,7 +6,8 @@ each sentence begins one span: the shortest run of at least ``run`` sentences an
 hashed and joined globally; the first by (id, place) stays, and the sentences that any other one covers are removed.
 
 Contract: null and empty texts have no spans. Comparison ignores A-Z case and the kind of white space. Rows of equal
-id count as one document at equal places: they don't displace each other. Null ids come first. Other columns are ignored.
+id count as one document at equal places: they don't displace each other. Null ids come first. Other columns are ignored and
+kept, whatever their names. Very long texts are hashed in pieces; a document's own spans are all that one task holds.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _COEF, map_arrow, mix, prepare, raw, slices, words
+from .common import _COEF, fresh, join_hot, map_arrow, mix, prepare, raw, scratch, slices, stored, words
 
 LONG_WORDS = 24
 #: Long sentences are cut after one word in so many: a passage of 51 words set anywhere then holds whole spans but in rare cases.
@@ -80,11 +81,11 @@ def span_table(docs: DataFrame, run: int, run_words: int, id_col: str, text_col:
 
 def repeated_spans(docs: DataFrame, run: int = 2, run_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, span_start, span_end, n_words): the stretches to remove, code points, end exclusive; documents without any have no row."""
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     table = span_table(docs, run, run_words, id_col, text_col)
-    # Only sums cross the network for a span that a third of all rows hold.
-    firsts = table.groupBy("hash").agg(F.min(F.struct("id", "word")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    later = table.join(firsts, "hash").where(~(F.struct("id", "word").eqNullSafe(F.col("first"))))
+    # Only sums cross the network for a span that a third of all rows hold, and the join deals its rows evenly.
+    firsts = table.groupBy("hash").agg(F.min(F.struct("id", "word")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = join_hot(table, stored(firsts, f"{scratch(spark)}/firsts"), "hash").where(~(F.struct("id", "word").eqNullSafe(F.col("first"))))
     # A span of the same place may be read twice where rows share an id.
     later = later.select("id", "word", "word_end", "start", "end").distinct()
     order = Window.partitionBy("id").orderBy("word", "word_end")
@@ -97,11 +98,12 @@ def repeated_spans(docs: DataFrame, run: int = 2, run_words: int = 12, id_col: s
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with their repeated stretches cut out; untouched ones stay as they are."""
+    cut_id, cut_at = fresh(docs, "cut_id", "cuts")
     cuts = repeated_spans(docs, id_col=id_col, text_col=text_col, **options)
-    cuts = cuts.groupBy(F.col(id_col).alias("cut_id")).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("cuts"))
-    joined = docs.join(cuts, F.col("cut_id").eqNullSafe(docs[id_col]), "left")
+    cuts = cuts.groupBy(F.col(id_col).alias(cut_id)).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias(cut_at))
+    joined = docs.join(cuts, F.col(cut_id).eqNullSafe(docs[id_col]), "left")
     text = docs[text_col]
-    ends = F.concat(F.transform("cuts", lambda c: c["span_start"]), F.array(F.char_length(text)))
-    begins = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["span_end"]))
+    ends = F.concat(F.transform(cut_at, lambda c: c["span_start"]), F.array(F.char_length(text)))
+    begins = F.concat(F.array(F.lit(0)), F.transform(cut_at, lambda c: c["span_end"]))
     kept = F.array_join(F.zip_with(begins, ends, lambda b, e: F.substring(text, b + 1, e - b)), "")
-    return joined.select(*[F.when(F.col("cuts").isNull(), text).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(F.col(cut_at).isNull(), text).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns])
