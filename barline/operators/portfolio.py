@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import by, ratio
+from .cross import entry_timing
 
 RET_WINDOW, MIN_PAIR, MAX_CORR, KEEP, CAP, MAX_NAMES = 126, 40, 0.92, 1.5, 0.15, 20
 
@@ -77,11 +78,17 @@ def rebalance(target: DataFrame, held: DataFrame, prices: DataFrame, base: float
     return both.withColumns({"delta_shares": shares, "action": F.when(F.col("delta_value") > 0, "buy").otherwise("sell")}).drop("shares")
 
 
+def fit(returns: DataFrame) -> DataFrame:
+    """The returns of names that have one on 60 % of the dates or more."""
+    n = returns.select("date").distinct().agg(F.count("*").alias("dates"))
+    names = returns.groupBy("symbol").agg(F.count("ret").alias("n")).join(F.broadcast(n)).where(F.col("n") >= F.floor(F.col("dates") * 0.6)).select("symbol")  # one row
+    return returns.join(names, "symbol", "left_semi")
+
+
 def portfolio_returns(returns: DataFrame, weights: DataFrame) -> DataFrame:
     """(date, ret) of fixed weights; names with under 60 % of the dates go, the rest are reweighted, gaps return 0."""
-    n = returns.select("date").distinct().agg(F.count("*").alias("dates"))
-    fit = returns.groupBy("symbol").agg(F.count("ret").alias("n")).join(F.broadcast(n)).where(F.col("n") >= F.floor(F.col("dates") * 0.6)).select("symbol")
-    used = weights.join(fit, "symbol")
+    known = fit(returns)
+    used = weights.join(known.select("symbol").distinct(), "symbol")
     used = used.withColumn("weight", ratio(F.col("weight"), F.sum("weight").over(Window.partitionBy())))  # one row for each name
     return returns.join(used, "symbol").groupBy("date").agg(F.sum(F.col("ret") * F.col("weight")).alias("ret"))
 
@@ -118,21 +125,47 @@ def by_risk(on: float, neutral: float, off: float, unknown: float) -> Column:
     return F.when(r == "on", on).when(r == "neutral", neutral).when(r == "off", off).otherwise(unknown)
 
 
-def check_concentration(weights: DataFrame) -> DataFrame:
-    """One row: hhi, effective, worst, status (a name over 15 % fails, an index over 0.12 warns)."""
-    got = weights.agg(F.sum(F.col("weight") * F.col("weight")).alias("hhi"), F.max("weight").alias("worst"))
-    status = F.when(F.col("worst") > 0.15, "fail").when(F.col("hhi") > 0.12, "warn").otherwise("pass")
-    return got.select("hhi", ratio(F.lit(1.0), F.col("hhi")).alias("effective"), "worst", status.alias("status"))
+def risk_summary(returns: DataFrame, bench: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row: :func:`risk`, and top_symbol, top_weight, avg_corr, pair_a, pair_b, pair_corr of a book (symbol, weight)."""
+    top = weights.agg(F.max_by("symbol", F.struct("weight", "symbol")).alias("top_symbol"), F.max("weight").alias("top_weight"))
+    held = fit(returns.join(weights.select("symbol"), "symbol", "left_semi"))
+    pairs = pair_correlations(held, 2).where(F.col("corr").isNotNull())
+    most = F.max_by(F.struct("a", "b", "corr"), F.struct("corr", "a", "b"))
+    close = pairs.agg(F.avg("corr").alias("avg_corr"), most.alias("p")).select("avg_corr", F.col("p.a").alias("pair_a"), F.col("p.b").alias("pair_b"), F.col("p.corr").alias("pair_corr"))
+    return risk(portfolio_returns(returns, weights), bench, weights).join(top).join(close)  # one row each
+
 
+def portfolio_risk(positions: DataFrame, bars: DataFrame, bench: DataFrame) -> DataFrame:
+    """:func:`risk_summary` of held shares (symbol, shares) at their last closes."""
+    held = book(positions, bars)
+    weights = held.select("symbol", (F.col("value") / F.sum("value").over(Window.partitionBy())).alias("weight"))  # one row for each name
+    return risk_summary(recent_returns(bars), recent_returns(bench), weights)
 
-def check_separation(scores: DataFrame, held: DataFrame) -> DataFrame:
-    """One row: (mean score of held names - mean of the rest) / spread; needs 10 names, warns under 0.5."""
-    marked = scores.join(held.select("symbol", F.lit(True).alias("held")), "symbol", "left").withColumn("held", F.coalesce("held", F.lit(False)))
-    got = marked.agg(F.count("*").alias("n"), F.avg(F.when(F.col("held"), F.col("score"))).alias("inside"), F.avg(F.when(~F.col("held"), F.col("score"))).alias("outside"), F.stddev_pop("score").alias("sd"))
-    sep = F.when(F.col("n") >= 10, F.try_divide(F.col("inside") - F.col("outside"), F.col("sd")))
-    return got.select("n", sep.alias("separation"), F.when(sep.isNull(), "skip").when(sep < 0.5, "warn").otherwise("pass").alias("status"))
 
+def recommend(scan: DataFrame, bars: DataFrame, positions: DataFrame, exposure: float = 1.0, previous: tuple[str, ...] = (), base: float | None = None, most: int = MAX_NAMES, limit: float = MAX_CORR, period: str = "1m") -> dict:
+    """The recommended book from a scan: holdings, trades and changes.
 
-def check_turnover(trades: DataFrame, base: float, bps: float = 10.0) -> DataFrame:
-    got = trades.agg((F.coalesce(F.sum(F.abs("delta_value")), F.lit(0.0)) / base).alias("turnover"))
-    return got.select("turnover", (F.col("turnover") * bps / 1e4 * base).alias("cost"), F.when(F.col("turnover") > 0.4, "warn").otherwise("pass").alias("status"))
+    holdings (symbol, weight, score, timing, price, target_value, target_shares); trades as :func:`rebalance`; base: the value that
+    targets are sized by (that of the positions if not given), exposure, cash_weight (percent), added, dropped. Only the chosen
+    names, 20 at most, and the book's value reach the driver.
+    """
+    spark = bars.sparkSession
+    exposure = min(1.0, max(0.0, exposure))
+    returns = recent_returns(bars)
+    scores = scan.where(F.col("period") == period).select("symbol", "score")
+    chosen = select_names(scores, pair_correlations(returns), list(previous), most, limit)
+    names = scores.where(F.col("symbol").isin(chosen))
+    weights = capped(inverse_vol(returns, names)).select("symbol", "weight")
+    held = book(positions, bars)
+    base = base or held.agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0]
+    prices = bars.groupBy("symbol").agg(F.max_by("close", "date").alias("price"))
+    short = scan.groupBy("symbol").agg(*[F.max(F.when(F.col("period") == p, F.col("score"))).alias(f"s{p}") for p in ("1d", "1w")])
+    holdings = weights.join(names, "symbol").join(prices, "symbol", "left").join(short, "symbol", "left")
+    value = F.col("weight") * base * exposure
+    holdings = holdings.select("symbol", "weight", "score", entry_timing(F.coalesce("s1d", "s1w")).alias("timing"), "price", value.alias("target_value"), ratio(value, F.col("price")).alias("target_shares"))
+    gone = sorted(set(previous) - set(chosen)) if previous else []
+    new = sorted(set(chosen) - set(previous)) if previous else []
+    return {
+        "holdings": holdings if chosen else spark.createDataFrame([], holdings.schema), "trades": rebalance(weights, held, prices, base * exposure), "weights": weights, "base": base, "exposure": exposure,
+        "cash_weight": 100 * (1 - exposure), "added": new, "dropped": gone,
+    }

@@ -9,6 +9,7 @@ from ..functions import factors
 from ..functions.indicators import add
 from ..operators import backtest as bt
 from ..operators import cross
+from ..operators import checks
 from ..operators import portfolio as pf
 from ..sources import bars as src
 from ..sources.bars import derive_bars, market
@@ -153,7 +154,7 @@ def market_query(spark, sf_dir) -> DataFrame:
 def concentration_query(spark, sf_dir) -> DataFrame:
     held = pf.book(_positions(spark, sf_dir), derive_bars(spark, sf_dir))
     w = held.select("symbol", (F.col("value") / F.sum("value").over(Window.partitionBy())).alias("weight"))
-    return rounded(pf.check_concentration(w))
+    return rounded(checks.concentration(w).select("status", "value"))
 
 
 def factor_query(spark, sf_dir) -> DataFrame:
@@ -228,7 +229,7 @@ c AS (SELECT *, list(vol) FILTER (vol IS NOT NULL) OVER (ORDER BY date ROWS BETW
 d AS (SELECT date, CASE WHEN n >= 200 THEN close > m END AS above_200, CASE WHEN n >= 200 THEN 100 * (close / m - 1) END AS dist, CASE WHEN vol IS NOT NULL AND len(s) >= 252 THEN 100.0::DOUBLE * len(list_filter(s, lambda v: v <= vol)) / len(s) END AS p FROM c),
 e AS (SELECT *, CASE WHEN above_200 IS NULL AND p IS NULL THEN 'unknown' WHEN above_200 = false AND p >= 80 THEN 'off' WHEN above_200 = false OR p >= 80 THEN 'neutral' ELSE 'on' END AS risk FROM d)
 SELECT date, above_200, round(dist, 5) AS dist_200, round(p, 5) AS vol_pctile, risk, CASE risk WHEN 'neutral' THEN 0.6::DOUBLE WHEN 'off' THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS exposure, CASE risk WHEN 'neutral' THEN 0.95::DOUBLE WHEN 'off' THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS multiplier FROM e""",
-        "check_concentration": f"WITH {B}, {last}, {pos}, w AS (SELECT shares * price / sum(shares * price) OVER () AS w FROM pos JOIN lastp USING (symbol)) SELECT round(sum(w * w), 5) AS hhi, round(1 / sum(w * w), 5) AS effective, round(max(w), 5) AS worst, CASE WHEN max(w) > 0.15 THEN 'fail' WHEN sum(w * w) > 0.12 THEN 'warn' ELSE 'pass' END AS status FROM w",
+        "check_concentration": f"WITH {B}, {last}, {pos}, w AS (SELECT shares * price / sum(shares * price) OVER () AS w FROM pos JOIN lastp USING (symbol)) SELECT round(sum(w * w), 5) AS value, CASE WHEN max(w) > 0.15 THEN 'fail' WHEN sum(w * w) > 0.12 THEN 'warn' ELSE 'pass' END AS status FROM w",
         "factor_values": sql.with_bars(("simple_ret", "cmf20"), f"""SELECT symbol, date, round(-z, 4) AS reversal, round(tr - 0.5, 4) AS trend_rank, round(tanh(c5 * 3) + sign(dv), 4) AS squashed_flow, round(least(1, greatest(-1, pc21)) / nullif(sd + 0.01, 0), 4) AS calm_momentum, round(ln(greatest(hi / lo, 1e-9)) - s10, 4) AS range_log
 FROM (SELECT *, CASE WHEN n20 >= 20 THEN {z} END AS z, CASE WHEN len(l10) >= 10 THEN len(list_filter(l10, lambda v: v <= close)) / 10.0::DOUBLE END AS tr FROM g)""",
             more=f"""g AS (SELECT *, count(close) {sql.over(20)} AS n20, list(close) {sql.over(10)} AS l10, {sql.roll('avg', 'cmf20', 5)} AS c5, volume - {sql.lag('volume', 5)} AS dv, close / {sql.lag('close', 21)} - 1 AS pc21, {sql.roll('stddev_samp', 'simple_ret', 21)} AS sd, {sql.roll('max', 'high', 10)} AS hi, {sql.roll('min', 'low', 10)} AS lo, {sql.roll('sum', 'simple_ret', 10)} AS s10 FROM f)"""),
