@@ -15,6 +15,7 @@ import hashlib
 import os
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import map_arrow, prepare, stored
+from .common import join_hot, map_arrow, prepare, scratch, stored
 
 CACHE_CHUNKS = 400_000
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
@@ -79,14 +80,19 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 2048, id_c
         return table.where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        digests, got = b.column(0), counter(shared.value).counts(pc.fill_null(b.column(1), "").to_pylist())
-        return pa.RecordBatch.from_arrays([digests, pa.array([version] * len(got), pa.string()), pa.array(got, pa.int64())], ["content_digest", "tokenizer_digest", "n_tokens"])
+        """Counts of the texts that the cache lacks; the others come without text and with their count."""
+        new = pc.is_null(b.column(3))
+        got = b.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+        at = np.flatnonzero(new.to_numpy(zero_copy_only=False))
+        got[at] = counter(shared.value).counts(pc.fill_null(b.column(1).take(pa.array(at)), "").to_pylist())
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got.astype(np.int64)), new], ["content_digest", "n", "n_tokens", "new"])
 
     # Copies meet map-side first, so a text that a third of all rows hold crosses the network once a task.
-    distinct = texts.groupBy("content_digest").agg(F.first("text").alias("text"))
-    missing = distinct.join(stored_counts(), "content_digest", "left_anti").select("content_digest", "text")
-    map_arrow(missing, run, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    out = rows.join(stored_counts(), "content_digest")
+    distinct = texts.groupBy("content_digest").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    known = distinct.join(stored_counts(), "content_digest", "left").select("content_digest", F.when(F.col("n_tokens").isNull(), F.col("text")).alias("text"), "n", "n_tokens")
+    counted = stored(map_arrow(known, run, "content_digest binary, n bigint, n_tokens bigint, new boolean"), f"{scratch(spark)}/counted")
+    counted.where("new").select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
+    out = join_hot(rows, counted.select("content_digest", "n", "n_tokens"), "content_digest")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
