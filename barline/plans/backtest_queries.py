@@ -77,16 +77,20 @@ def pbo_query(spark, sf_dir) -> DataFrame:
     return rounded(bt.overfitting(_returns(spark, sf_dir), BLOCKS), 5)
 
 
-CAL = f"""cal AS MATERIALIZED (SELECT CAST((pos - first) / {STEP} AS INT) AS k, date, next_date FROM (
-  SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, lead(date, {STEP}) OVER (ORDER BY date) AS next_date, greatest(300, count(*) OVER () - {YEARS * 252}) AS first, count(*) OVER () AS n FROM mkt)
-  WHERE pos >= first AND pos < n - {STEP} AND (pos - first) % {STEP} = 0)"""
+def cal_sql(step: int, years: int) -> str:
+    return f"""cal AS MATERIALIZED (SELECT CAST((pos - first) / {step} AS INT) AS k, date, next_date FROM (
+  SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, lead(date, {step}) OVER (ORDER BY date) AS next_date, greatest(300, count(*) OVER () - {years * 252}) AS first, count(*) OVER () AS n FROM mkt)
+  WHERE pos >= first AND pos < n - {step} AND (pos - first) % {step} = 0)"""
 
 
-def panel_sql(signals: dict[str, str], strategies: list[str], source: str = "f") -> str:
+CAL = cal_sql(STEP, YEARS)
+
+
+def panel_sql(signals: dict[str, str], strategies: list[str], source: str = "f", cal: str = CAL) -> str:
     """CTEs up to ``panel`` and ``long``: named expressions over ``source`` at each date, with the return to the next one."""
     names = ", ".join(signals)
     made = ", ".join(f"{e} AS {n}" for n, e in signals.items())
-    return f"""{sql.MARKET}, {CAL},
+    return f"""{sql.MARKET}, {cal},
 sig AS MATERIALIZED (SELECT symbol, date, close, n_bar, {made} FROM {source}),
 ask AS (SELECT s.symbol, c.* FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN cal c),
 p0 AS (SELECT a.k, a.date, a.symbol, a.next_date, b.date AS d0, b.n_bar AS n0, b.close AS c0, {names} FROM ask a ASOF JOIN sig b ON a.symbol = b.symbol AND a.date >= b.date),

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import factors
 from ..functions.indicators import add
-from ..operators import backtest as bt
 from ..operators import cross
 from ..operators import checks
 from ..operators import portfolio as pf
 from ..sources import bars as src
+from ..sources import store
 from ..sources.bars import derive_bars, market
 from . import indicator_sql as sql
 from .backtest_queries import rounded
@@ -61,7 +61,7 @@ def runs(spark, sf_dir) -> DataFrame:
 
 def runs_kept_query(spark, sf_dir) -> DataFrame:
     r = runs(spark, sf_dir)
-    newest = r.select("run_id").distinct().orderBy(F.desc("run_id")).limit(5)
+    newest = r.select("run_id").distinct().orderBy(F.desc("run_id")).limit(store.KEPT_RUNS)
     return rounded(r.join(newest, "run_id", "left_semi"))
 
 
@@ -77,10 +77,83 @@ def history_query(spark, sf_dir) -> DataFrame:
     return rounded(runs(spark, sf_dir).withColumn("i", F.row_number().over(by)).where("i <= 8").drop("i"))
 
 
+def trial_log(spark, sf_dir) -> DataFrame:
+    """A log of trials as text: a JSON line for each event, one in ten of them cut off."""
+    e = table(spark, sf_dir, "events")
+    digest = F.substring(F.sha2(F.concat_ws("|", "event_type", "props"), 256), 1, 12)
+    line = F.to_json(F.struct(digest.alias("hash"), F.col("event_type").alias("expression"), F.when(F.col("value") > 50, "pass").otherwise("weak").alias("verdict")))
+    return e.select(F.when(F.col("event_id") % 10 == 3, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+
+
 def ledger_query(spark, sf_dir) -> DataFrame:
     """Trials in all, and distinct ones by the digest of their configuration."""
-    e = table(spark, sf_dir, "events").select("event_type", F.substring(F.sha2(F.concat_ws("|", "event_type", "props"), 256), 1, 12).alias("hash"))
-    return e.groupBy("event_type").agg(F.count("*").alias("total"), F.greatest(F.lit(1), F.countDistinct("hash")).cast("long").alias("distinct_trials"))
+    return store.trials(store.lines(trial_log(spark, sf_dir)))
+
+
+def candidates_query(spark, sf_dir) -> DataFrame:
+    return store.sound(store.lines(trial_log(spark, sf_dir))).groupBy("verdict", "expression").agg(F.count("*").alias("n"))
+
+
+NOW = 1_000_000.0
+
+
+def metadata(spark, sf_dir) -> DataFrame:
+    """When each symbol was fetched, and fetched whole; one in seven never."""
+    n = table(spark, sf_dir, "nation").where("n_nationkey % 7 <> 6")
+    keys = F.array(F.struct(F.lit("fetch").alias("kind"), (NOW - F.col("n_nationkey") * 300).alias("at")), F.struct(F.lit("full").alias("kind"), (NOW - F.col("n_nationkey") * 50_000).alias("at")))
+    return n.select("n_name", F.inline(keys)).select(F.concat_ws(":", "kind", "n_name").alias("key"), F.col("at").cast("string").alias("value"))
+
+
+def _plan(spark, sf_dir) -> DataFrame:
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("symbol")).unionByName(spark.createDataFrame([("NEW",)], "symbol string"))
+    return store.fetch_plan(derive_bars(spark, sf_dir), metadata(spark, sf_dir), names, NOW)
+
+
+def fetched_query(spark, sf_dir) -> DataFrame:
+    """Histories after each symbol's plan has brought the last 20 days at other prices."""
+    bars = derive_bars(spark, sf_dir)
+    late = bars.withColumn("last", F.max("date").over(Window.partitionBy("symbol"))).where(F.date_diff("last", "date") <= 20).withColumn("close", F.col("close") + 1).drop("last")
+    got = store.fetched(bars, _plan(spark, sf_dir), late)
+    return rounded(got.groupBy("symbol").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.sum("close").alias("total")), 2)
+
+
+def meta_query(spark, sf_dir) -> DataFrame:
+    fresh = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("symbol"))
+    return store.marked(metadata(spark, sf_dir), fresh, NOW, full=False)
+
+
+def backfill_query(spark, sf_dir) -> DataFrame:
+    bars = derive_bars(spark, sf_dir)
+    cut = bars.where((F.col("date") >= "1993-06-01") | (F.substring("symbol", -1, 1) > "4"))
+    return store.backfill_plan(cut, bars.select("symbol"), "1999-04-01")
+
+
+def _history(spark, sf_dir) -> DataFrame:
+    return runs(spark, sf_dir).select(F.col("run_id").cast("long").alias("run_id"), (F.col("run_id") * 86400.0).alias("ts"), "symbol", F.lit("1m").alias("period"), "score", "rank", cross.rank_label(F.col("rank")).alias("recommendation"))
+
+
+def _saved(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The runs so far as stored documents, and one run more: the last one's scores turned round."""
+    history = _history(spark, sf_dir)
+    row = F.struct("symbol", "period", "score", "rank", "recommendation")
+    stored = history.groupBy(F.col("run_id").alias("id"), "ts").agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("universe"), F.to_json(F.array_sort(F.collect_list(row))).alias("results"))
+    last = history.withColumn("top", F.max("run_id").over(Window.partitionBy())).where("run_id = top")  # a run's few rows
+    return store.saved_run(stored, history, last.withColumn("score", -F.col("score")).withColumn("rank", 11 - F.col("rank")), NOW)
+
+
+def saved_query(spark, sf_dir) -> DataFrame:
+    kept, history = _saved(spark, sf_dir)
+    return kept.select(F.col("id").alias("run_id"), F.size(F.split("universe", ",")).alias("names")).join(history.groupBy("run_id").agg(F.count("*").alias("rows")), "run_id", "full")
+
+
+def latest_run_query(spark, sf_dir) -> DataFrame:
+    return rounded(store.latest_run(_saved(spark, sf_dir)[0], NOW + 60, 3600).drop("ts"), 5)
+
+
+def stored_fundamentals_query(spark, sf_dir) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("symbol"), F.to_json(F.struct(F.col("n_nationkey").alias("pe"))).alias("data"), (NOW - F.col("n_nationkey") * 40_000.0).alias("fetched_at"))
+    fresh = n.where("symbol LIKE '%1%'").select("symbol", F.lit('{"pe":-1}').alias("data"))
+    return store.fundamentals_of(store.saved_fundamentals(n, fresh, NOW), NOW)
 
 
 def medians_query(spark, sf_dir) -> DataFrame:
@@ -164,23 +237,6 @@ def factor_query(spark, sf_dir) -> DataFrame:
     return rounded(bars.select("symbol", "date", *EXPRESSIONS), 4)
 
 
-def factor_gate_query(spark, sf_dir) -> DataFrame:
-    """Each expression's information coefficients by date, summed up, with the gate's verdict."""
-    bars = factors.prepared(add(derive_bars(spark, sf_dir), "n_bar"), *EXPRESSIONS.values())
-    for name, text in EXPRESSIONS.items():
-        bars = factors.add_factor(bars, text, name)
-    panel = bt.panel(bars, bt.calendar(market(spark, sf_dir), 21, 10), list(EXPRESSIONS))
-    ics = bt.information_coefficients(panel, list(EXPRESSIONS))
-    by = Window.partitionBy("strategy")
-    halves = ics.withColumn("late", F.row_number().over(by.orderBy("k")) > F.floor(F.count("*").over(by) / 2))
-    got = halves.groupBy("strategy").agg(
-        F.avg("ic").alias("mean_ic"), (F.try_divide(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.count("*"))).alias("t"), F.count("*").alias("n"), F.try_divide(F.avg(F.when(F.col("late"), F.col("ic"))), F.avg(F.when(~F.col("late"), F.col("ic")))).alias("decay"),
-        F.avg((F.col("ic") > 0).cast("double")).alias("up"),
-    )
-    agree = F.when(F.col("mean_ic") >= 0, F.col("up")).otherwise(1 - F.col("up"))
-    return rounded(got.withColumn("verdict", F.coalesce(factors.gate(F.col("t"), F.lit(1.0), F.col("decay"), agree, F.lit(0.0)), F.lit("pass"))), 4)
-
-
 def build() -> tuple[dict, dict]:
     B, M = sql.BARS, sql.MARKET
     ret = "r AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM bars), rr AS MATERIALIZED (SELECT * FROM r WHERE ret IS NOT NULL AND date IN (SELECT DISTINCT date FROM r WHERE ret IS NOT NULL ORDER BY date DESC LIMIT 126))"
@@ -195,10 +251,15 @@ runs AS MATERIALIZED (SELECT CAST(round(date_diff('day', DATE '1970-01-01', quar
         f"e{k} AS (SELECT symbol, c, w, sum(CASE WHEN w > c THEN w - c ELSE 0 END) OVER () AS x, sum(CASE WHEN w < c THEN w ELSE 0 END) OVER () AS u FROM w{k}), w{k + 1} AS (SELECT symbol, c, CASE WHEN x <= 1e-9 THEN w WHEN w > c THEN c WHEN u > 0 THEN w + x * w / u ELSE w END AS w FROM e{k})"
         for k in range(5)
     )
+    log = "WITH lg AS (SELECT event_type, value, event_id % 10 <> 3 AS ok, substr(sha256(event_type || '|' || props), 1, 12) AS h FROM events)"
+    plan = f"""hb AS (SELECT symbol, max(date) AS last FROM bars GROUP BY symbol), nm AS (SELECT n_name AS symbol, n_nationkey AS k FROM nation UNION ALL SELECT 'NEW', NULL),
+pl AS MATERIALIZED (SELECT symbol, plan, CASE WHEN plan = 'recent' THEN CAST(last - INTERVAL {store.OVERLAP_DAYS} DAY AS DATE) END AS start FROM (
+  SELECT symbol, last, CASE WHEN last IS NOT NULL AND k % 7 <> 6 AND k * 300 < {store.TTL_SECONDS} THEN 'cache' WHEN last IS NULL OR k % 7 = 6 OR k * 50000 > {store.FULL_SECONDS} THEN 'full' ELSE 'recent' END AS plan FROM nm LEFT JOIN hb USING (symbol)))"""
     queries = {
         "store_point": point_query, "store_upsert": upsert_query, "store_stale": stale_query, "store_universe": universe_query, "runs_kept": runs_kept_query, "runs_previous_ranks": previous_ranks_query, "runs_history": history_query,
-        "ledger": ledger_query, "fundamental_medians": medians_query, "pf_correlations": pairs_query, "pf_weights": weights_query, "pf_selection": selection_query, "pf_risk": risk_query, "pf_positions": positions_query, "pf_rebalance": rebalance_query,
-        "market_state": market_query, "check_concentration": concentration_query, "factor_values": factor_query, "factor_gate": factor_gate_query,
+        "ledger": ledger_query, "candidates": candidates_query, "store_fetch_plan": _plan, "store_fetched": fetched_query, "store_meta": meta_query, "store_backfill": backfill_query, "runs_saved": saved_query, "runs_latest": latest_run_query, "fundamental_stored": stored_fundamentals_query,
+        "fundamental_medians": medians_query, "pf_correlations": pairs_query, "pf_weights": weights_query, "pf_selection": selection_query, "pf_risk": risk_query, "pf_positions": positions_query, "pf_rebalance": rebalance_query,
+        "market_state": market_query, "check_concentration": concentration_query, "factor_values": factor_query,
     }
     z = "(close - avg(close) {0}) / nullif(stddev_samp(close) {0}, 0)".format(sql.over(20))
     oracles = {
@@ -208,10 +269,18 @@ nw AS (SELECT * FROM fr UNION ALL SELECT symbol, sector, CAST(date + INTERVAL 7
 SELECT * FROM nw UNION ALL SELECT * FROM bars b WHERE NOT EXISTS (SELECT 1 FROM nw WHERE nw.symbol = b.symbol AND nw.date = b.date)""",
         "store_stale": f"WITH {B} SELECT symbol, min(date) AS first_date FROM bars GROUP BY symbol HAVING min(date) >= DATE '{CUTOFF}'",
         "store_universe": f"WITH {B} SELECT symbol, count(*) AS n FROM bars GROUP BY symbol HAVING count(*) >= 600",
-        "runs_kept": f"WITH {B}, {run} SELECT run_id, symbol, round(score, 5) AS score, rank FROM runs WHERE run_id IN (SELECT DISTINCT run_id FROM runs ORDER BY run_id DESC LIMIT 5)",
+        "runs_kept": f"WITH {B}, {run} SELECT run_id, symbol, round(score, 5) AS score, rank FROM runs WHERE run_id IN (SELECT DISTINCT run_id FROM runs ORDER BY run_id DESC LIMIT 50)",
         "runs_previous_ranks": f"WITH {B}, {run} SELECT symbol, max(run_id) AS run_id, max_by(rank, run_id) AS rank FROM runs WHERE run_id < (SELECT max(run_id) FROM runs) GROUP BY symbol",
         "runs_history": f"WITH {B}, {run} SELECT run_id, symbol, round(score, 5) AS score, rank FROM runs QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY run_id DESC) <= 8",
-        "ledger": "SELECT event_type, count(*) AS total, greatest(1, count(DISTINCT substr(sha256(event_type || '|' || props), 1, 12))) AS distinct_trials FROM events GROUP BY event_type",
+        "ledger": f"{log} SELECT count(*) AS total, greatest(1, count(DISTINCT CASE WHEN ok THEN h END)) AS distinct_trials FROM lg",
+        "candidates": f"{log} SELECT CASE WHEN value > 50 THEN 'pass' ELSE 'weak' END AS verdict, event_type AS expression, count(*) AS n FROM lg WHERE ok GROUP BY ALL",
+        "store_fetch_plan": f"WITH {B}, {plan} SELECT symbol, plan, start FROM pl",
+        "store_fetched": f"WITH {B}, {plan}, lt AS (SELECT symbol, date, close + 1 AS close FROM bars QUALIFY date_diff('day', date, max(date) OVER (PARTITION BY symbol)) <= 20), pu AS MATERIALIZED (SELECT lt.*, plan FROM lt JOIN pl USING (symbol) WHERE plan = 'full' OR (plan = 'recent' AND date >= start)), nw AS (SELECT symbol, date, close FROM pu UNION ALL SELECT symbol, date, close FROM bars b WHERE NOT EXISTS (SELECT 1 FROM pu WHERE pu.symbol = b.symbol AND (pu.plan = 'full' OR pu.date = b.date))) SELECT symbol, count(*) AS n, min(date) AS first_date, round(sum(close), 2) AS total FROM nw GROUP BY symbol",
+        "store_meta": f"SELECT kind || ':' || n_name AS key, CAST(CASE WHEN kind = 'fetch' AND n_nationkey % 3 = 0 THEN {NOW} WHEN kind = 'fetch' THEN {NOW} - n_nationkey * 300 ELSE {NOW} - n_nationkey * 50000 END AS VARCHAR) AS value FROM nation, (SELECT unnest(['fetch', 'full']) AS kind) WHERE n_nationkey % 7 <> 6 OR (kind = 'fetch' AND n_nationkey % 3 = 0)",
+        "store_backfill": f"WITH {B}, c AS (SELECT symbol, min(date) AS have_from FROM bars WHERE date >= DATE '1993-06-01' OR symbol[-1] > '4' GROUP BY symbol), w AS (SELECT DISTINCT symbol FROM bars UNION SELECT 'MKT') SELECT symbol, have_from FROM w LEFT JOIN c USING (symbol) WHERE have_from IS NULL OR have_from >= CAST(DATE '1999-04-01' - INTERVAL {365 * store.BACKFILL_YEARS} DAY AS DATE)",
+        "runs_saved": f"WITH {B}, {run}, l AS (SELECT max(run_id) AS m FROM runs), al AS (SELECT run_id, symbol FROM runs UNION ALL SELECT m + 1, symbol FROM runs, l WHERE run_id = m), n AS (SELECT run_id::BIGINT AS run_id, count(*) AS rows FROM al GROUP BY run_id) SELECT run_id, CASE WHEN run_id IN (SELECT run_id FROM n ORDER BY run_id DESC LIMIT {store.KEPT_RUNS}) THEN rows::INT END AS names, rows FROM n",
+        "runs_latest": f"WITH {B}, {run} SELECT (run_id + 1)::BIGINT AS id, symbol, '1m' AS period, round(-score, 5) AS score, 11 - rank AS rank, CASE WHEN rank = 1 THEN 'STRONG BUY' WHEN rank IN (2, 3) THEN 'BUY' WHEN rank = 4 THEN 'WEAK BUY' WHEN rank = 7 THEN 'WEAK SELL' WHEN rank IN (8, 9) THEN 'SELL' WHEN rank = 10 THEN 'STRONG SELL' ELSE 'HOLD' END AS recommendation FROM runs WHERE run_id = (SELECT max(run_id) FROM runs)",
+        "fundamental_stored": f"SELECT n_name AS symbol, CASE WHEN n_name LIKE '%1%' THEN '{{\"pe\":-1}}' ELSE '{{\"pe\":' || n_nationkey || '}}' END AS data, CASE WHEN n_name LIKE '%1%' THEN 0.0::DOUBLE ELSE n_nationkey * 40000.0::DOUBLE END AS age FROM nation WHERE n_name LIKE '%1%' OR n_nationkey * 40000 <= {store.FULL_SECONDS}",
         "fundamental_medians": "WITH p AS (SELECT p_brand, p_retailprice / p_size AS pe FROM part), m AS (SELECT p_brand, quantile_cont(pe, 0.5) AS m FROM p WHERE pe > 0 AND pe < 10000 GROUP BY p_brand) SELECT p_brand, round(any_value(m), 4) AS median_pe, count(*) FILTER (pe > 2 * m) AS rich, count(*) FILTER (pe < 0.5 * m) AS cheap FROM p JOIN m USING (p_brand) GROUP BY p_brand",
         "pf_correlations": f"WITH {B}, {ret} SELECT x.symbol AS a, y.symbol AS b, round(corr(x.ret, y.ret), 5) AS corr FROM rr x JOIN rr y ON x.date = y.date AND x.symbol < y.symbol GROUP BY ALL HAVING count(*) >= 40",
         "pf_weights": sql.with_bars(("zscore20",), "SELECT symbol, round(w / sum(w) OVER (), 5) AS weight FROM w5", more=f"{ret}, {names}, v AS (SELECT symbol, CASE WHEN count(ret) >= 20 AND stddev_samp(ret) > 0 THEN stddev_samp(ret) ELSE 0.02 END AS sd FROM rr GROUP BY symbol), rw AS (SELECT symbol, (1 + greatest(0, score) / 200) / coalesce(sd, 0.02) AS raw FROM nm LEFT JOIN v USING (symbol)), w0 AS (SELECT symbol, greatest(0.15::DOUBLE, 1.0::DOUBLE / count(*) OVER ()) AS c, raw / sum(raw) OVER () AS w FROM rw), {caps}"),
