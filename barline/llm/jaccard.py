@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _COEF, map_arrow, mix, prepare, raw, scratch, slices, stored, words
+from .common import _COEF, fresh, join_hot, map_arrow, mix, prepare, raw, scratch, slices, stored, words
 from .components import components
 
 GROUP_SETS = 64
@@ -252,12 +252,15 @@ def join(docs: DataFrame, width: int = 3, similarity: int = 90, id_col: str = "d
     more = stored(across_groups(met, groups, sets, similarity, work), f"{work}/more")
     last = components(edges.unionByName(more), f"{work}/last")
     # The smallest id of each set, then of each component.
-    named = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("least"))
-    named = named.join(last, F.col("node") == F.col("set_id"), "left").select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
-    final = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = named.join(final, "component").select("set_id", "component_id")
-    out = rows.select("id", "n_shingles", "set_id").join(label, "set_id", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    named = named.join(last, F.col("node") == F.col("set_id"), "left").select("set_id", "least", "n", F.coalesce("component", "set_id").alias("component"))
+    named = stored(named, f"{work}/named")
+    final = stored(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("sets")), f"{work}/final")
+    label = stored(join_hot(named, final, "component", "sets").select("set_id", "component_id", "n"), f"{work}/label")
+    bare = rows.select("id", "n_shingles", "set_id")
+    out = join_hot(bare.where("n_shingles > 0"), label, "set_id").select("id", "n_shingles", "component_id")
+    out = out.unionByName(bare.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return out.withColumnRenamed("id", id_col)
 
 
 def own_digest(sets: DataFrame) -> DataFrame:
@@ -273,6 +276,9 @@ def own_digest(sets: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, width: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each component: that of the smallest id. Rows of equal id are one document
     and stay together; rows without words or id stay."""
-    found = join(docs, width, similarity, id_col, text_col).where("n_shingles > 0").select(F.col(id_col).alias("found_id"), F.col("component_id"))
-    later = found.where(F.col("found_id") > F.col("component_id")).select("found_id").distinct()
-    return docs.join(later, F.col("found_id") == docs[id_col], "left_anti")
+    (found_id,) = fresh(docs, "found_id")
+    found = join(docs, width, similarity, id_col, text_col).where("n_shingles > 0")
+    later = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias(found_id)).distinct()
+    # Written, so that its size is known: Spark broadcasts it only if that is small.
+    later = stored(later, f"{scratch(docs.sparkSession)}/later")
+    return docs.join(later, F.col(found_id) == docs[id_col], "left_anti")
