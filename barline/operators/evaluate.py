@@ -90,7 +90,7 @@ def _fraction(x: str) -> str:
 
 
 def normal_cdf_sql(z: str) -> str:
-    """The normal distribution function as an SQL expression over a column, to about 1e-15: Spark and DuckDB have no error function."""
+    """The normal distribution function as an SQL expression over a column, within 1e-15: Spark and DuckDB have no error function."""
     x = f"(abs({z}) / sqrt(2.0))"
     short, tail = _series(f"CAST(least({x}, 3.0) AS DOUBLE)"), _fraction(f"CAST(greatest({x}, 3.0) AS DOUBLE)")
     upper = f"CASE WHEN {x} <= 3 THEN 0.5 * (1.0 - {short}) ELSE 0.5 * {tail} END"
