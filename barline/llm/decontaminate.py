@@ -31,6 +31,7 @@ from .common import fresh, map_arrow, mix, prepare, raw, scratch, slices, stored
 BLOCK_BYTES = 16 << 20
 #: Alignments that are looked at together, so that a run which many items share takes no more memory than others.
 ALIGNMENTS = 1 << 18
+LOOKED_UP = 1 << 12
 STEPS_PER_WORD = 2
 SAMPLED = 3
 #: How meeting probabilities are measured: kinds of edits, copies of each, walks of each copy, samples of each walk; lengths; part of the allowed misses.
@@ -128,25 +129,35 @@ def cgk(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: int, wal
     return out
 
 
-@lru_cache(4096)
-def sampled_steps(steps: int, walk: int, sampled: int) -> np.ndarray:
-    return np.random.default_rng([walk, steps]).choice(steps, min(sampled, steps), replace=False)
+@lru_cache(65536)
+def sampled_steps(steps: int, walk: int, sampled: int) -> tuple[int, ...]:
+    """The steps that a key samples, in order; filled with -1."""
+    drawn = np.random.default_rng([walk, steps]).choice(steps, min(sampled, steps), replace=False)
+    return (*sorted(drawn.tolist()), *[-1] * (SAMPLED - len(drawn)))
 
 
-def keys(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: np.ndarray, sampled: np.ndarray, walk: int, low: np.ndarray | None = None) -> np.ndarray:
-    """One LSH key for each sequence in table ``walk``; ``steps``: how much of the walk each may sample, ``sampled``: how often.
+def keys(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: np.ndarray, sampled: np.ndarray, walk: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
+    """One LSH key for each sequence in its table ``walk``; ``steps``: how much of the walk it may sample, ``sampled``: how often.
 
-    A walk's beginning doesn't depend on its length, so sequences of all sizes are walked together.
+    Sequences of all sizes and tables walk together, step by step; each takes up its sampled symbols as it passes them.
     """
-    path = cgk(symbols, begin, end, int(steps.max()), walk, low)
-    out = np.zeros(len(begin), np.uint64)
-    for n in np.unique(steps):
-        rows = np.flatnonzero(steps == n)
-        key = np.full(len(rows), walk * 100003 + int(n), np.uint64)
-        for t in sampled_steps(int(n), walk, int(sampled[rows[0]])):
-            key = mix(key * np.uint64(31) + path[rows, t])
-        out[rows] = key
-    return out
+    kinds, of = np.unique(np.stack([steps, walk, sampled], 1), axis=0, return_inverse=True)
+    sample = np.array([sampled_steps(*map(int, k)) for k in kinds], np.int64).reshape(-1, SAMPLED)[of.ravel()]
+    who, which = np.nonzero(sample >= 0)
+    at_step = sample[who, which]
+    by = np.argsort(at_step, kind="stable")
+    who, last = who[by], int(at_step.max(initial=-1))
+    cuts = np.searchsorted(at_step[by], np.arange(last + 2))
+    key, at = (walk * 100003 + steps).astype(np.uint64), begin.copy()
+    for t in range(last + 1):
+        inside = at < end
+        s = np.where(inside, symbols[np.clip(at, 0, len(symbols) - 1)], np.uint64(0))
+        if low is not None:
+            s = np.where(at < low, mix(at.astype(np.uint64) ^ _SEEDS[0]), s)
+        now = who[cuts[t] : cuts[t + 1]]
+        key[now] = mix(key[now] * np.uint64(31) + s[now])
+        at += inside & ((mix(s ^ _SEEDS[(walk * 613 + t) % 4096] ^ np.uint64(t)) & np.uint64(1)) == 1)
+    return key
 
 
 def infix_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -194,12 +205,11 @@ class Index:
         self.hit = {g: np.zeros(1 << _FILTER_BITS, bool) for g in self.grams}
         for g, (h, _, _) in self.grams.items():
             self.hit[g][(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        self.tables = [{} for _ in range(self.walks.max(initial=0))]
-        for walk in range(len(self.tables)):
-            some = np.flatnonzero(self.walks > walk)
-            got = keys(self.symbols, self.begin[some], self.begin[some] + n[some], self.steps[some], self.sampled[some], walk)
-            for key, i in zip(got.tolist(), some.tolist(), strict=True):
-                self.tables[walk].setdefault(key, []).append(i)
+        # An item's key in each of its tables: a window meets it where the keys are equal.
+        self.keys = np.zeros((self.walks.max(initial=0), len(ids)), np.uint64)
+        item, walk = every(self.walks)
+        if len(item):
+            self.keys[walk, item] = keys(self.symbols, self.begin[item], self.begin[item] + n[item], self.steps[item], self.sampled[item], walk)
 
     def windows(self, h: np.ndarray, row: np.ndarray):
         """First word, item and row of the windows whose alignment shares a run with an item, in parts of a bounded size."""
@@ -234,21 +244,39 @@ class Index:
         met = np.zeros(len(anchor), bool)
         low = first_of[at_row]  # a window may begin before its row: foreign words are read there, so that the rest stays aligned
         end = np.minimum(anchor + self.size[item], end_of[at_row])
-        for walk, tab in enumerate(self.tables):
-            rest = np.flatnonzero(~met & (self.walks[item] > walk))
-            if not len(rest):
-                break
-            got = keys(h, anchor[rest], end[rest], self.steps[item[rest]], self.sampled[item[rest]], walk, low[rest])
-            met[rest] = [i in tab.get(k, ()) for k, i in zip(got.tolist(), item[rest].tolist(), strict=True)]
-        for a, i, r in zip(anchor[met], item[met], at_row[met], strict=True):
-            d = self.edits[i]
-            lo, hi = max(first_of[r], a - d), min(end_of[r], a + self.size[i] + d)
-            if (int(r), int(i)) in best and best[int(r), int(i)][0] == 0:
+        for lo in range(0, len(anchor), LOOKED_UP):
+            own, walk = every(self.walks[item[lo : lo + LOOKED_UP]])
+            own += lo
+            of = item[own]
+            got = keys(h, anchor[own], end[own], self.steps[of], self.sampled[of], walk, low[own])
+            met[own[got == self.keys[walk, of]]] = True
+        # Windows of one row and item that overlap are verified as one stretch.
+        anchor, item, at_row = anchor[met], item[met], at_row[met]
+        by = np.lexsort((anchor, item, at_row))
+        stretch: list[int] | None = None
+        for a, i, r in zip(anchor[by].tolist(), item[by].tolist(), at_row[by].tolist(), strict=True):
+            d = int(self.edits[i])
+            lo, hi = max(int(first_of[r]), a - d), min(int(end_of[r]), a + int(self.size[i]) + d)
+            if stretch and stretch[:2] == [r, i] and lo <= stretch[3]:
+                stretch[3] = max(stretch[3], hi)
                 continue
-            distance, s, e = infix_distance(self.symbols[self.begin[i] : self.begin[i] + self.size[i]], h[lo:hi])
-            if distance <= d:
-                key, got = (int(r), int(i)), (distance, int(lo + s), int(lo + e))
-                best[key] = min(best.get(key, got), got)
+            if stretch:
+                self.measure(h, *stretch, best)
+            stretch = [r, i, lo, hi]
+        if stretch:
+            self.measure(h, *stretch, best)
+
+    def measure(self, h, r: int, i: int, lo: int, hi: int, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+        distance, s, e = infix_distance(self.symbols[self.begin[i] : self.begin[i] + self.size[i]], h[lo:hi])
+        if distance <= self.edits[i]:
+            got = (distance, lo + s, lo + e)
+            best[r, i] = min(best.get((r, i), got), got)
+
+
+def every(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts n: each place n times, and 0 to n - 1."""
+    own = np.repeat(np.arange(len(counts)), counts)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def gram_hash(h: np.ndarray, g: int) -> np.ndarray:
