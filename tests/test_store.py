@@ -75,3 +75,19 @@ def test_config_and_summary(spark, tmp_path):
     assert store.load_config(spark, path) == store.DEFAULTS
     store.summary_json(spark.createDataFrame([("s", 1.0, 2.0)], "strategy string, sharpe double, equity double"), str(tmp_path / "summary"))
     assert json.loads(spark.read.text(str(tmp_path / "summary")).first()[0]) == {"strategy": "s", "sharpe": 1.0}
+
+
+def test_batches_merge_into_months(spark, tmp_path):
+    from barline.streaming.bars import current, upsert_into
+
+    path = str(tmp_path / "bars")
+    merge = upsert_into(path)
+    assert current(spark, path).count() == 0
+    merge(bars(spark, ("A", 0, 1.0), ("A", 40, 2.0), ("B", 0, 5.0)), 0)
+    for _ in range(2):  # a repeated batch changes nothing
+        merge(bars(spark, ("A", 0, 9.0), ("C", 1, 3.0)), 1)
+    merge(bars(spark), 2)
+    got = sorted((r.symbol, r.date, r.close) for r in current(spark, path).collect())
+    day = lambda k: DAY + datetime.timedelta(days=k)
+    assert got == [("A", day(0), 9.0), ("A", day(40), 2.0), ("B", day(0), 5.0), ("C", day(1), 3.0)]
+    assert not (tmp_path / "bars/v1/month=2024-02").exists()
