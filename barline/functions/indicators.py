@@ -11,6 +11,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .recursive import COLUMNS, PATH, add_recursive
 from .rolling import by, clip, lag, ratio, roll, roll2, rows
 
 C = F.col
@@ -27,17 +28,24 @@ def indicator(name: str, *needs: str):
 
 
 def add(bars: DataFrame, *names: str) -> DataFrame:
-    """``bars`` with the indicators and what they need."""
+    """``bars`` with the indicators and what they need; those of the recursive pass run first, in one Arrow group for each symbol."""
     level: dict[str, int] = {}
+    path: list[str] = []
 
     def depth(name: str) -> int:
         if name in BARS or name in bars.columns:
             return 0
+        if name in PATH or name in COLUMNS:
+            if name not in path:
+                path.append(name)
+            return 0
         if name not in level:
             level[name] = 1 + max((depth(n) for n in DEFS[name][0]), default=0)
         return level[name]
 
     top = max((depth(n) for n in names), default=0)
+    if path:
+        bars = add_recursive(bars, *(n for n in path if n in PATH))
     for k in range(1, top + 1):
         bars = bars.withColumns({n: DEFS[n][1]() for n, at in level.items() if at == k})
     return bars
@@ -67,8 +75,6 @@ def share_at_most(x: str, k: int, least: int) -> Column:
     return F.when(C(x).isNotNull() & (F.size(seen) >= least), F.size(F.filter(seen, lambda v: v <= C(x))) / F.size(seen))
 
 
-indicator("vol_pctile", "rv21")(lambda: 100 * share_at_most("rv21", 252, 21))
-
 # Trend and momentum
 for _k in (3, 5, 21, 63, 126, 252):
     indicator(f"mom{_k}")(lambda k=_k: ratio(C("close"), lag("close", k)) - 1)
@@ -113,29 +119,6 @@ def _dx() -> Column:
     return 100 * ratio(F.abs(plus - minus), plus + minus)
 
 
-for _k in range(2, 21):
-    indicator(f"_lagdiff{_k}", "log_close")(lambda k=_k: C("log_close") - F.lag("log_close", k).over(by()))
-    for _p in (1, 2):
-        # Running sums of the lagged differences and of their squares: a frame is then a difference of two of them.
-        indicator(f"_lagsum{_k}_{_p}", f"_lagdiff{_k}")(lambda k=_k, p=_p: F.sum(F.pow(f"_lagdiff{k}", F.lit(float(p)))).over(by().rowsBetween(Window.unboundedPreceding, 0)))
-for _w in (252, 504):
-    indicator(f"hurst{_w}", "n_bar", *[f"_lagsum{k}_{p}" for k in range(2, 21) for p in (1, 2)])(lambda w=_w: _hurst(w))
-
-
-def _hurst(w: int) -> Column:
-    """Slope of ln(std of lagged differences) on ln(lag), for lags 2 to 20, in closed form."""
-    x = [log(k) for k in range(2, 21)]
-    mean = sum(x) / len(x)
-    spread = sum((v - mean) ** 2 for v in x)
-    variances = []
-    for k in range(2, 21):
-        n = F.least(C("n_bar"), F.lit(w)) - k
-        m1, m2 = (ratio(C(f"_lagsum{k}_{p}") - F.coalesce(F.lag(f"_lagsum{k}_{p}", w - k).over(by()), F.lit(0.0)), n) for p in (1, 2))
-        variances.append(m2 - m1 * m1)
-    slope = sum(((v - mean) / spread) * 0.5 * F.ln(t) for v, t in zip(x, variances, strict=True))
-    return F.when((C("n_bar") >= 60) & (F.least(*variances) > 0), clip(slope, 0.0, 1.0))
-
-
 indicator("lag_log", "log_close")(lambda: F.lag("log_close").over(by()))
 indicator("_ar", "lag_log", "log_ret")(lambda: roll2(F.regr_slope, "log_ret", "lag_log", 125, 29))
 indicator("half_life126", "_ar")(lambda: F.when((C("_ar") < 0) & (-log(2) / C("_ar") < 1260), -log(2) / C("_ar")))
@@ -182,19 +165,10 @@ def _donchian_breakout() -> Column:
 # Trailing risk
 for _k in (21, 63, 126, 252):
     indicator(f"sharpe{_k}", "simple_ret")(lambda k=_k: F.when(F.count("simple_ret").over(rows(k)) >= 20, ratio(F.avg("simple_ret").over(rows(k)), F.stddev_pop("simple_ret").over(rows(k))) * sqrt(252)))
-    indicator(f"max_drawdown{_k}")(lambda k=_k: _drawdown(k))
 indicator("_neg_sq", "simple_ret")(lambda: F.when(C("simple_ret") < 0, C("simple_ret") * C("simple_ret")))
 indicator("sortino252", "_neg_sq")(lambda: F.when(F.count("simple_ret").over(rows(252)) >= 20, ratio(F.avg("simple_ret").over(rows(252)), F.sqrt(F.avg("_neg_sq").over(rows(252)))) * sqrt(252)))
 
 
-def _drawdown(k: int) -> Column:
-    """Deepest fall from a running peak, by one pass over the frame."""
-    seen = F.collect_list("close").over(rows(k))
-    start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst"))
-    fold = F.aggregate(seen, start, lambda a, x: F.struct(F.greatest(a["peak"], x).alias("peak"), F.least(a["worst"], x / F.greatest(a["peak"], x) - 1).alias("worst")))
-    return F.when(F.size(seen) >= 5, fold["worst"] * 100)
-
-
 indicator("calmar252", "max_drawdown252")(lambda: _calmar())
 
 

@@ -121,7 +121,7 @@ def hurst(close: np.ndarray, window: int = 504, top: int = 20) -> np.ndarray:
 
 
 #: Further columns that :func:`add_recursive` can give: quadratic in the frame for window functions, arrays here.
-PATH = {"hurst504": lambda c: hurst(c, 504), "vol_pctile": vol_percentile} | {f"max_drawdown{k}": (lambda c, k=k: drawdown(c, k)) for k in (21, 63, 126, 252)}
+PATH = {f"hurst{w}": (lambda c, w=w: hurst(c, w)) for w in (252, 504)} | {"vol_pctile": vol_percentile} | {f"max_drawdown{k}": (lambda c, k=k: drawdown(c, k)) for k in (21, 63, 126, 252)}
 
 
 def add_recursive(bars: DataFrame, *more: str, last: int | None = None) -> DataFrame:

@@ -99,7 +99,7 @@ def test_benchmarks_weights_and_gate(spark):
 
 def test_normal_distribution(spark):
     z = [float(x) for x in np.linspace(-9, 9, 181)] + [4.2426, -4.2427]
-    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", evaluate.normal_cdf("z").alias("p")).collect()
+    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", evaluate.normal_cdf(F.col("z")).alias("p")).collect()
     for r in got:
         assert r.p == pytest.approx(NormalDist().cdf(r.z) if r.z > -5 else 0.5 * math.erfc(-r.z / math.sqrt(2)), rel=1e-9, abs=1e-15)
     assert evaluate.normal_ppf(0.975) == pytest.approx(1.959963984540054)
