@@ -12,7 +12,8 @@
 Contract: the words are as in :mod:`common`; a text with fewer words than the width is one shingle, the whole sequence; a
 text without words has an empty set, size 0, and is linked with nothing. Rows stay one for one; rows of equal id share
 the smallest id of their component like any others. A null id never names a component of several texts unless all are null.
-Shingles and sets are compared by 64-bit hashes.
+Shingles and sets are compared by 64-bit hashes. Very long texts are hashed in pieces. Other columns are ignored, and kept by
+:func:`representatives`, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ windows' log-probabilities, weighted by their bytes, over the whole text.
 Contract: null texts and texts without a letter give ``und`` with score 0. Rows stay one for one. With no labelled row to
 learn from, every text gives ``und``. Ties between languages go to the first in alphabetical order. Texts are judged
 alone: language, source and id columns are never inputs. A text of any length is read whole, some windows at a time. The
-network's size is bounded by ``max_labels``: of more languages than that, the commonest are learned.
+network's size is bounded by ``max_labels``: of more languages than that, the commonest are learned. Rows of equal or null id
+are judged like any others; other columns may have any names.
 """
 
 from __future__ import annotations
