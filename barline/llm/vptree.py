@@ -33,6 +33,7 @@ from .common import prepare, scratch, stored
 LEAF = 512
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 1024
+PART_ROWS = 128
 #: Distances of points and queries are rounded; a subtree this little beyond the worst candidate is still visited.
 SLACK = 1e-6
 #: Pairs of a query and a point that are scored at once.
@@ -228,9 +229,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, factor: float = 1.0, shar
     if stats is None:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
     dim, shards = stats["dim"], max(1, math.ceil(stats["n"] / shard_rows))
-    ways = max(1, -(-spark.sparkContext.defaultParallelism // shards))
     rows = usable(vectors, id_col, vector_col).where(F.size("v") == dim)
     asked = usable(vectors.where(is_query), id_col, vector_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    # Points are copied only as far as task slots are free and each copy has PART_ROWS queries to answer.
+    ways = max(1, min(-(-spark.sparkContext.defaultParallelism // shards), asked.count() // PART_ROWS))
 
     def every(n: int, step: int = 1):
         return F.explode(F.sequence(F.lit(0), F.lit((n - 1) * step), F.lit(step)))
