@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, prepare
 
 MAX_VOCABULARY_BYTES = 64 << 20
-CACHE_UNITS = 500_000
+CACHE_UNITS = 1 << 17
 
 
 class Codec:
