@@ -36,9 +36,9 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/barline-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` and read it back: cuts the lineage, survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
+def stored(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """Write ``df`` (with the writer's ``options``) and read it back: cuts the lineage, survives lost executors."""
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

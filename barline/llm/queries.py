@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language_id, language_model, quality, secret_scan, substring, token_counts, vptree
+from . import bpe, decontaminate, filter_audit, jaccard, language_id, language_model, quality, secret_scan, substring, token_counts, vector_codes, vptree
 from .common import remainder, scratch, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -59,15 +59,71 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), f"{scratch(spark)}/counts")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_vantage_trees, op2_secret_scan, op3_language_model, op4_byte_bpe, op5_substring_dedup, op6_quality, op7_language_id, op8_decontaminate, op9_jaccard_join, op10_token_counts)
+    for f in (op1_vantage_trees, op2_secret_scan, op3_language_model, op4_byte_bpe, op5_substring_dedup, op6_quality, op7_language_id, op8_decontaminate, op9_jaccard_join, op10_token_counts, op12_filter_audit, op13_vector_codes)
 }
 
 #: Words as the operators take them, for a column ``text``.
 WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+
+def codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024, dims: int = 64) -> str:
+    """Every distance, in whole numbers; the rounds one after the other."""
+    width = dims // parts
+    down = "CAST((s - (((s % n) + n) % n)) // n AS BIGINT)"
+    sql = [
+        f"""WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * x::DOUBLE) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (SELECT r, vec_id, label, k AS part, w[k * {width} + 1:(k + 1) * {width}] AS x FROM v, range({parts}) t(k)),
+b0 AS (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= {entries})"""
+    ]
+    for k in range(rounds + 1):
+        sql.append(f"""d{k} AS (
+  SELECT p.r, p.vec_id, p.label, p.part, p.x, min(CAST(list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * {entries} + b.entry) AS best
+  FROM p JOIN b{k} b ON p.part = b.part GROUP BY ALL)""")
+        if k < rounds:
+            sql.append(f"""u{k} AS (SELECT part, best % {entries} AS entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM d{k}, range(1, {width + 1}) t(i) GROUP BY ALL)""")
+            sql.append(f"""n{k} AS (SELECT part, entry, list({down} ORDER BY i) AS c FROM u{k} GROUP BY ALL)""")
+            sql.append(f"""b{k + 1} AS (SELECT b.part, b.entry, coalesce(n.c, b.c) AS c FROM b{k} b LEFT JOIN n{k} n ON b.part = n.part AND b.entry = n.entry)""")
+    sql.append(f"""f AS (SELECT r, vec_id, label, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM d{rounds} GROUP BY ALL)""")
+    last = f"(SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b{rounds})"
+    return ",\n".join(sql) + f"\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, {last} AS codebooks_sha256 FROM f"
+
+
 ORACLES: dict[str, str] = {
+    "op12_filter_audit": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), m AS (
+  SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * len(x), regexp_matches(x, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false)] AS bad
+  FROM t
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, bad, len(list_filter(bad, lambda x: x)) AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM m LEFT JOIN l USING (doc_id)),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || f FROM o, unnest(['A', 'B', 'C', 'D', 'E']) u(f) WHERE NOT contains(filter_order, f)),
+s AS (
+  SELECT filter_order, k AS step, ascii(filter_order[k]) - 64 AS f, list_transform(range(1, k), lambda i: ascii(filter_order[i]) - 64) AS before
+  FROM o, range(1, 6) r(k) WHERE len(filter_order) = 5
+), c AS (
+  SELECT part, filter_order, step, f, bad[f] AS here, len(list_filter(before, lambda b: bad[b])) > 0 AS gone, fails, good, toxic FROM d, s
+), g AS (
+  SELECT part, filter_order, step, f, count(*) FILTER (NOT gone AND NOT here) AS kept, count(*) FILTER (NOT gone AND here) AS removed, count(*) FILTER (gone AND here) AS redundant,
+    count(*) FILTER (here AND fails = 1) AS unique_fails, count(*) FILTER (NOT gone AND here AND good) AS good_lost, count(*) FILTER (NOT gone AND here AND toxic) AS toxic_lost
+  FROM c GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g
+""",
+    "op13_vector_codes": codes_sql(),
     "op1_vantage_trees": """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
