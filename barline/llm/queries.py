@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, filter_audit, jaccard, language_id, language_model, quality, secret_scan, substring, token_counts, vector_codes, vptree
+from . import bpe, decontaminate, filter_audit, jaccard, language_id, language_model, quality, secret_scan, stream_bpe, substring, token_counts, vector_codes, vptree
 from .common import remainder, scratch, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -59,6 +59,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), f"{scratch(spark)}/counts")
 
 
+def op11_stream_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,7 +73,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_vantage_trees, op2_secret_scan, op3_language_model, op4_byte_bpe, op5_substring_dedup, op6_quality, op7_language_id, op8_decontaminate, op9_jaccard_join, op10_token_counts, op12_filter_audit, op13_vector_codes)
+    for f in (op1_vantage_trees, op2_secret_scan, op3_language_model, op4_byte_bpe, op5_substring_dedup, op6_quality, op7_language_id, op8_decontaminate, op9_jaccard_join, op10_token_counts, op11_stream_bpe, op12_filter_audit, op13_vector_codes)
 }
 
 #: Words as the operators take them, for a column ``text``.
