@@ -2,12 +2,13 @@
 
 The guess cost of a value is the least log10 number of guesses over all its segmentations into common words, dates,
 repeats, keyboard walks and brute-force characters, found by dynamic programming. A value whose cost reaches
-``min_cost`` is no placeholder and becomes a span of kind ``guess``, unless one pattern span covers all of it.
+``min_cost`` is no placeholder and becomes a span of kind ``guess``, unless one pattern span covers all of it. Walks may be of any
+length, and so may repeats of a block of at most LONGEST_BLOCK characters; a block costs what it costs as a value of its own.
 
 Contract: null text counts as empty and gives a row without spans; rows stay one for one, whatever their ids; offsets are
 code points, end exclusive, over the whole text. Spans of equal start come in the order assign, access, hex, guess. Values of any
-length are judged: beyond some hundred characters no segmentation is cheap, so the time is linear. Other columns are ignored by
-the scan and kept by the redaction, whatever their names.
+length are judged whole, in a time that grows with their length. Other columns are ignored by the scan and kept by the redaction,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
+from collections import deque
 from functools import lru_cache
 
 import pyarrow as pa
@@ -37,7 +39,10 @@ DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d
 YEAR = re.compile(r"(?:19|20)\d\d", re.A)
 #: The rows of a US keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-LONGEST_SEGMENT = 32
+#: A repeat is a block of so many characters at most, any number of times; longer blocks count as what they consist of.
+LONGEST_BLOCK = 64
+#: Longer entries of a vocabulary are no words.
+LONGEST_WORD = 32
 NEW_SEGMENT = math.log10(2)
 
 
@@ -64,11 +69,11 @@ def walk_cost(text: str) -> float | None:
     return math.log10(47 * len(text)) + turns * math.log10(4)
 
 
-def repeat_cost(text: str) -> float | None:
-    """Cost of the shortest block that repeated makes the whole text, None if there is none."""
+def repeat_cost(text: str, ranks: dict[str, int]) -> float | None:
+    """Cost of the shortest block that repeated makes the whole text, None if there is none or it is too long."""
     n = len(text)
     period = (text + text).find(text, 1)
-    return brute(text[:period]) + math.log10(n // period) if n >= 3 and period < n else None
+    return guess_cost(text[:period], ranks) + math.log10(n // period) if n >= 3 and period < n and period <= LONGEST_BLOCK else None
 
 
 def word_cost(text: str, ranks: dict[str, int]) -> float | None:
@@ -80,45 +85,105 @@ def word_cost(text: str, ranks: dict[str, int]) -> float | None:
     return math.log10(rank + 2) + (math.log10(2) * (upper > 0) if plain else math.log10(2) * len(text))
 
 
+def date_cost(text: str) -> float | None:
+    if len(text) in (8, 10) and DATE.fullmatch(text):
+        return math.log10(365 * 120) + (not text.isdigit()) * math.log10(4)
+    return math.log10(120) if len(text) == 4 and YEAR.fullmatch(text) else None
+
+
 def segment_cost(part: str, ranks: dict[str, int]) -> float | None:
     """Cost of a part as a word, walk, repeat or date, whichever is least; None if it is none of them."""
-    costs = [word_cost(part, ranks), walk_cost(part), repeat_cost(part)]
-    if DATE.fullmatch(part):
-        costs.append(math.log10(365 * 120) + (not part.isdigit()) * math.log10(4))
-    elif YEAR.fullmatch(part):
-        costs.append(math.log10(120))
+    costs = [word_cost(part, ranks), walk_cost(part), repeat_cost(part, ranks), date_cost(part)]
     return min((c for c in costs if c is not None), default=None)
 
 
-#: No segment costs less than the commonest word and its border.
-CHEAPEST = 2 * math.log10(2)
-
-
-def costs_at_least(value: str, ranks: dict[str, int], least: float) -> bool:
-    """Whether the guess cost reaches ``least``. Segments are of bounded length and each costs CHEAPEST or more, so a long value does without a search."""
-    return len(value) / LONGEST_SEGMENT * CHEAPEST >= least or guess_cost(value, ranks) >= least
-
-
-def guess_cost(value: str, ranks: dict[str, int]) -> float:
-    """Least log10 guesses over all segmentations; linear in the value, as segments are of bounded length."""
-    best = [0.0]
+def least_of(chain: list[tuple[float, int]], end: int) -> float:
+    """Least ``g + log10(end - start)`` over the starts of a chain, earlier ones first.
+
+    A start that an earlier one equals or beats stays beaten, as the difference of the logarithms shrinks with the end: it is dropped.
+    """
+    least, kept = math.inf, []
+    for g, start in chain:
+        cost = g + math.log10(end - start)
+        if cost < least:
+            least = cost
+            kept.append((g, start))
+    chain[:] = kept
+    return least
+
+
+def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> float:
+    """Least log10 guesses over all segmentations; exact below ``enough``, any figure from there on where it is more.
+
+    Words and dates end within the longest word's reach. Walks and repeats of any length are chains of starts that go on as long as the
+    walk or the period does.
+    """
+    low, best, below = value.lower(), [0.0], 0
+    walk: list[tuple[float, int]] = []
+    turns, came = [0], None  # changes of direction up to each character of the walk
+    periods: dict[int, tuple[int, dict[int, list[tuple[float, int]]]]] = {}  # matches in a row, and chains by the end's place in the period
+    seen: dict[str, deque[int]] = {}
     for end in range(1, len(value) + 1):
-        least = best[end - 1] + brute(value[end - 1])
-        for start in range(max(0, end - LONGEST_SEGMENT), end - 2):
-            known = segment_cost(value[start:end], ranks)
+        at = end - 1
+        c = value[at]
+        least = best[at] + brute(c)
+        for start in range(max(0, end - LONGEST_WORD), end - 2):
+            if best[start] < least and low[start:end] in ranks:
+                least = min(least, best[start] + word_cost(value[start:end], ranks) + NEW_SEGMENT)
+        for start in (end - 4, end - 8, end - 10) if c.isdigit() else ():
+            known = date_cost(value[start:end]) if start >= 0 else None
             if known is not None:
                 least = min(least, best[start] + known + NEW_SEGMENT)
+        step = _STEP.get((low[at - 1], low[at])) if at else None
+        if step is None:
+            walk, came = [], None
+            turns.append(turns[-1])
+        else:
+            turns.append(turns[-1] + (came is not None and step != came))
+            came = step
+            start = end - 3
+            if start >= 0 and _STEP.get((low[start], low[start + 1])):
+                walk.append((best[start] + math.log10(47) + math.log10(4) * (1 - turns[start + 2]), start))
+            if walk:
+                least = min(least, least_of(walk, end) + math.log10(4) * turns[end] + NEW_SEGMENT)
+        recent, going, shorter = seen.setdefault(c, deque()), {}, []
+        while recent and at - recent[0] > LONGEST_BLOCK:
+            recent.popleft()
+        for before in reversed(recent):
+            p = at - before
+            run, chains = periods.get(p, (0, {}))
+            run += 1
+            if any(p % q == 0 and of_q >= p - q for q, of_q in shorter):
+                continue  # the block repeats a shorter one, and its period ends where that one does
+            if run >= max(p, 3 - p):
+                chain, start = chains.setdefault(end % p, []), end - max(2 * p, 3)
+                chain.append((best[start] + block_cost(value[end - p : end], ranks) - math.log10(p), start))
+                least = min(least, least_of(chain, end) + NEW_SEGMENT)
+                shorter.append((p, run))
+            going[p] = (run, chains)
+            if p == 1 and run >= LONGEST_BLOCK:
+                break  # every other period is a multiple
+        periods = going
+        recent.append(at)
         best.append(least)
+        if least < enough:
+            below = end
+        elif end - below > max(LONGEST_WORD, 2 * LONGEST_BLOCK):  # nothing that ends later can begin where the cost was less
+            return least
     return best[-1]
 
 
+def block_cost(block: str, ranks: dict[str, int]) -> float:
+    return brute(block) if len(block) == 1 else guess_cost(block, ranks)
+
+
 @lru_cache(2)
 def word_ranks(content: bytes) -> dict[str, int]:
     """Words of a public vocabulary, commonest first: its order of merges follows frequency."""
     out: dict[str, int] = {}
     for line in filter(None, content.splitlines()):
         token = base64.b64decode(line.split()[0]).strip()
-        if len(token) >= 3 and token.isalpha() and token.isascii():
+        if 3 <= len(token) <= LONGEST_WORD and token.isalpha() and token.isascii():
             out.setdefault(token.decode().lower(), len(out))
     return out
 
@@ -158,7 +223,7 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], ranks: dict[str, in
         value = m[1].rstrip(".,;:!?)]}")
         start = m.start(1)
         end = start + len(value)
-        if len(value) >= 8 and not covered(start, end) and costs_at_least(value, ranks, min_cost):
+        if len(value) >= 8 and not covered(start, end) and guess_cost(value, ranks, min_cost) >= min_cost:
             found.append((start, 3, end))
     return found
 
@@ -168,7 +233,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, word_path: str, min_cost: float = 10.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_assign, n_access, n_hex, n_guess, base_sha256, spans) per row."""
+    """(id, n_assign, n_access, n_hex, base_sha256, spans, n_guess) per row."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(read_ranks(word_path))
     kind = dict(docs.dtypes)[id_col]
@@ -180,13 +245,13 @@ def scan(docs: DataFrame, word_path: str, min_cost: float = 10.0, id_col: str =
             base = base_spans(text)
             more = guess_spans(text, base, ranks, min_cost)
             n = [sum(k == i for _, k, _ in base) for i in range(3)]
-            rows.append((*n, len(more), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + more))))
+            rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + more)), len(more)))
         cols = list(zip(*rows, strict=True))
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"])
+        kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"])
 
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    got = map_arrow(picked, run, f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base_sha256 string, spans string")
+    got = map_arrow(picked, run, f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_guess bigint")
     return got.withColumnRenamed("id", id_col)
 
 

@@ -130,13 +130,31 @@ def test_guess_cost_is_the_least_over_all_segmentations():
         assert secret_scan.guess_cost(value, ranks) == pytest.approx(best)
 
 
-def test_long_values_are_judged_without_a_search():
+def test_repeats_and_walks_of_any_length_stay_cheap():
     ranks = secret_scan.word_ranks(bpe.read_ranks(RANKS))
-    for unit in ("the", "password", "a"):
-        value = unit * (700 // len(unit))
-        assert secret_scan.costs_at_least(value, ranks, 10.0) and secret_scan.guess_cost(value, ranks) >= 10
+    for value in ("x" * 100, "x" * 5000, "password" * 4, "qwertyuiop" * 10, "asdfghjkl" * 40, "2019-03-12" * 30):
+        assert secret_scan.guess_cost(value, ranks) < 10
+        assert secret_scan.guess_spans(f"password is {value}", [], ranks, 10.0) == []
     text = "token is " + "kX9#" * 300_000
     assert [e - s for s, _, e in secret_scan.guess_spans(text, [], ranks, 10.0)] == [1_200_000]
+    g = random.Random(9)
+    text = "token is " + "".join(chr(g.randint(33, 33 + 90)) for _ in range(400_000)).translate({ord(c): "a" for c in "\"'<>|"})
+    assert len(secret_scan.guess_spans(text, [], ranks, 10.0)) == 1
+
+
+def test_guess_cost_of_long_values_is_the_least_over_all_last_segments():
+    ranks = secret_scan.word_ranks(bpe.read_ranks(RANKS))
+    g = random.Random(10)
+    for _ in range(60):
+        value = "".join(g.choice(["pass", "word", "qwe", "rty", "19", "84", "aa", "x", "!", "cat", "asdf", "abab", "2019", "0312", "aaaa", "fdsa"]) * g.choice([1, 1, 2, 12]) for _ in range(g.randint(2, 9)))
+        best = [0.0]
+        for end in range(1, len(value) + 1):
+            parts = [(best[s], secret_scan.segment_cost(value[s:end], ranks)) for s in range(end - 2)]
+            best.append(min([best[end - 1] + secret_scan.brute(value[end - 1]), *(b + c + secret_scan.NEW_SEGMENT for b, c in parts if c is not None)]))
+        assert secret_scan.guess_cost(value, ranks) == pytest.approx(best[-1])
+        for enough in (4.0, 10.0):
+            got = secret_scan.guess_cost(value, ranks, enough)
+            assert got == pytest.approx(best[-1]) if best[-1] < enough else got >= enough
 
 
 def brute_spans(rows, run, run_words):
@@ -177,6 +195,27 @@ def test_repeated_spans_against_brute_force(spark, run, run_words):
     assert {(r.doc_id, r.span_start, r.span_end) for r in got} == want and len(want) > 5
 
 
+def test_texts_under_one_id_or_none_lose_only_their_own_repeats(spark):
+    """Texts that share an id, or have none, are cut each at its own stretches; brute force over keys of their own."""
+    g = random.Random(11)
+    shared, tail = prose(g, 14).replace(".", "") + ".", prose(g, 15).replace(".", "") + "."
+    texts = [f"{shared} {tail}", f"{prose(g, 40)}. It stands here once. {prose(g, 20)}", f"{shared} {prose(g, 25)}", f"{prose(g, 33)}. {tail} {shared}", f"{prose(g, 12)}. {tail} {prose(g, 50)}"]
+    for ids in ([1, 2, 2, 3, 3], [1, None, None, None, 2], [5, 5, 5, 5, 5], [None] * 5):
+        rows = list(zip(ids, texts, strict=True))
+        docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, doc_id long, text string").repartition(3)
+        got = {r.k: r.text for r in substring.without_repeats(docs, run=1, run_words=12).collect()}
+        own = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) AS d").collect()
+        order = sorted(range(5), key=lambda k: (ids[k] is not None, ids[k] or 0, own[k].d))
+        cuts = brute_spans([(place, texts[k]) for place, k in enumerate(order)], 1, 12)
+        for place, k in enumerate(order):
+            want, at = "", 0
+            for _, s, e in sorted(c for c in cuts if c[0] == place):
+                want, at = want + texts[k][at:s], e
+            assert got[k] == want + texts[k][at:]
+    again = spark.createDataFrame([(None, texts[0]), (None, texts[0])], "doc_id long, text string")
+    assert {r.text for r in substring.without_repeats(again).collect()} == {texts[0]}
+
+
 def test_hot_keys_join_like_any_others(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_ONE_IN", 4)
     rows = [(i, "hot" if i % 3 else f"k{i % 7}") for i in range(2000)] + [(5000, None), (5001, "lone")]
