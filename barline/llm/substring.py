@@ -5,9 +5,11 @@ Texts are cut into sentences (at ``.``, ``!``, ``?`` before white space and at l
 each sentence begins one span: the shortest run of at least ``run`` sentences and ``run_words`` words. Spans are
 hashed and joined globally; the first by (id, place) stays, and the sentences that any other one covers are removed.
 
-Contract: null and empty texts have no spans. Comparison ignores A-Z case and the kind of white space. Rows of equal
-id count as one document at equal places: they don't displace each other. Null ids come first. Other columns are ignored and
-kept, whatever their names. Very long texts are hashed in pieces; a document's own spans are all that one task holds.
+Contract: null and empty texts have no spans. Comparison ignores A-Z case and the kind of white space. Rows of equal id count as
+one document at equal places: they don't displace each other; with ``by_text`` only if their texts are equal too, so each text's
+stretches are its own, and cutting always works so. Rows without an id are always told apart by their texts, and come first. Other
+columns are ignored and kept, whatever their names. Very long texts are hashed in pieces; a document's own spans are all that one
+task holds. A repeated span of fewer than ``run_words`` words stays unless what follows it is repeated too.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-SCHEMA = "id {kind}, hash bigint, word int, word_end int, start int, end int"
+SCHEMA = "id {kind}, digest bigint, hash bigint, word int, word_end int, start int, end int"
 
 
 def spans(buf: np.ndarray, off: np.ndarray, run: int, run_words: int) -> tuple[np.ndarray, ...]:
@@ -65,7 +67,13 @@ def spans(buf: np.ndarray, off: np.ndarray, run: int, run_words: int) -> tuple[n
     return r, got.view(np.int64), first[i] - word0[r], last + 1 - word0[r], chars[start[first[i]]] - base, chars[end[last]] - base
 
 
-def span_table(docs: DataFrame, run: int, run_words: int, id_col: str, text_col: str) -> DataFrame:
+def text_digest(id_col: str, text_col: str, by_text: bool):
+    """Tells rows apart that share an id (or have none); 0 where the id alone does."""
+    digest = F.xxhash64(text_col)
+    return digest if by_text else F.when(F.col(id_col).isNull(), digest).otherwise(F.lit(0).cast("long"))
+
+
+def span_table(docs: DataFrame, run: int, run_words: int, id_col: str, text_col: str, by_text: bool) -> DataFrame:
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
         buf, off = raw(b.column(1))
         parts = []
@@ -73,35 +81,40 @@ def span_table(docs: DataFrame, run: int, run_words: int, id_col: str, text_col:
             r, *rest = spans(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], run, run_words)
             parts.append((r + lo, *rest))
         r, got, *places = (np.concatenate(p) for p in zip(*parts, strict=True))
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(got), *(pa.array(p.astype(np.int32)) for p in places)], ["id", "hash", "word", "word_end", "start", "end"])
+        r = pa.array(r)
+        return pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(2).take(r), pa.array(got), *(pa.array(p.astype(np.int32)) for p in places)], ["id", "digest", "hash", "word", "word_end", "start", "end"])
 
-    picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), text_digest(id_col, text_col, by_text).alias("digest"))
     return map_arrow(picked, make, SCHEMA.format(kind=dict(docs.dtypes)[id_col]))
 
 
-def repeated_spans(docs: DataFrame, run: int = 2, run_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, span_start, span_end, n_words): the stretches to remove, code points, end exclusive; documents without any have no row."""
+def stretches(docs: DataFrame, run: int, run_words: int, id_col: str, text_col: str, by_text: bool) -> DataFrame:
+    """(id, digest, span_start, span_end, n_words): what any span but the first of its hash covers."""
     spark = prepare(docs.sparkSession)
-    table = span_table(docs, run, run_words, id_col, text_col)
+    table, place = span_table(docs, run, run_words, id_col, text_col, by_text), F.struct("id", "digest", "word")
     # Only sums cross the network for a span that a third of all rows hold, and the join deals its rows evenly.
-    firsts = table.groupBy("hash").agg(F.min(F.struct("id", "word")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = join_hot(table, stored(firsts, f"{scratch(spark)}/firsts"), "hash").where(~(F.struct("id", "word").eqNullSafe(F.col("first"))))
+    firsts = table.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = join_hot(table, stored(firsts, f"{scratch(spark)}/firsts"), "hash").where(~(place.eqNullSafe(F.col("first"))))
     # A span of the same place may be read twice where rows share an id.
-    later = later.select("id", "word", "word_end", "start", "end").distinct()
-    order = Window.partitionBy("id").orderBy("word", "word_end")
+    later = later.select("id", "digest", "word", "word_end", "start", "end").distinct()
+    order = Window.partitionBy("id", "digest").orderBy("word", "word_end")
     reach = F.max("word_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.withColumn("fresh", F.coalesce(F.col("word") > reach, F.lit(True)).cast("int"))
     islands = islands.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("id", "island").agg(F.min("start").alias("span_start"), F.max("end").alias("span_end"), (F.max("word_end") - F.min("word")).alias("n_words"))
-    return merged.select(F.col("id").alias(id_col), "span_start", "span_end", "n_words")
+    return islands.groupBy("id", "digest", "island").agg(F.min("start").alias("span_start"), F.max("end").alias("span_end"), (F.max("word_end") - F.min("word")).alias("n_words")).drop("island")
+
+
+def repeated_spans(docs: DataFrame, run: int = 2, run_words: int = 12, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False) -> DataFrame:
+    """(id, span_start, span_end, n_words): the stretches to remove, code points, end exclusive; documents without any have no row."""
+    return stretches(docs, run, run_words, id_col, text_col, by_text).drop("digest").withColumnRenamed("id", id_col)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with their repeated stretches cut out; untouched ones stay as they are."""
-    cut_id, cut_at = fresh(docs, "cut_id", "cuts")
-    cuts = repeated_spans(docs, id_col=id_col, text_col=text_col, **options)
-    cuts = cuts.groupBy(F.col(id_col).alias(cut_id)).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias(cut_at))
-    joined = docs.join(cuts, F.col(cut_id).eqNullSafe(docs[id_col]), "left")
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, run_words: int = 12) -> DataFrame:
+    """The documents with their own repeated stretches cut out; untouched ones stay as they are."""
+    cut_id, cut_of, cut_at = fresh(docs, "cut_id", "cut_of", "cuts")
+    cuts = stretches(docs, run, run_words, id_col, text_col, True)
+    cuts = cuts.groupBy(F.col("id").alias(cut_id), F.col("digest").alias(cut_of)).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias(cut_at))
+    joined = docs.join(cuts, F.col(cut_id).eqNullSafe(docs[id_col]) & (F.col(cut_of) == F.xxhash64(docs[text_col])), "left")
     text = docs[text_col]
     ends = F.concat(F.transform(cut_at, lambda c: c["span_start"]), F.array(F.char_length(text)))
     begins = F.concat(F.array(F.lit(0)), F.transform(cut_at, lambda c: c["span_end"]))
