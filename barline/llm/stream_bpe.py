@@ -22,6 +22,7 @@ import heapq
 import json
 import struct
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,8 @@ class MergeList:
     def __init__(self, base: list[int], merges: list[tuple[int, int, int]], size: dict[int, int]):
         """``base``: the id of each byte; ``merges``: (left, right, made) by rank; ``size``: bytes of each id."""
         self.base, self.size = base, size
-        self.made = {(a, b): (rank, made) for rank, (a, b, made) in enumerate(merges)}
+        self.rank = {(a, b): rank for rank, (a, b, _) in enumerate(merges)}
+        self.token = [made for _, _, made in merges]
         made_by: dict[int, list[int]] = {i: [] for i in base}
         for a, b, made in merges:
             if a not in made_by or b not in made_by:
@@ -82,38 +84,38 @@ class MergeList:
     def merged(self, data: bytes) -> list[int]:
         """Ids of the bytes as they stand: the lowest rank first, the leftmost of equals."""
         ids = list(map(self.base.__getitem__, data))
-        return self._by_scan(ids) if len(ids) <= 24 else self._by_heap(ids)
+        return self._by_scan(ids) if len(ids) <= 64 else self._by_heap(ids)
 
     def _by_scan(self, ids: list[int]) -> list[int]:
-        made, none = self.made, (len(self.made), -1)
-        while len(ids) > 1:
-            best, k = none, -1
-            for at, pair in enumerate(zip(ids, ids[1:], strict=False)):
-                found = made.get(pair, none)
-                if found < best:
-                    best, k = found, at
-            if k < 0:
-                break
-            ids[k : k + 2] = [best[1]]
+        get, token, none = self.rank.get, self.token, len(self.token)
+        ranks = list(map(get, zip(ids, ids[1:], strict=False), repeat(none)))
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            ids[k : k + 2] = [token[best]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get((ids[k - 1], ids[k]), none)
+            if k < len(ranks):
+                ranks[k] = get((ids[k], ids[k + 1]), none)
         return ids
 
     def _by_heap(self, ids: list[int]) -> list[int]:
-        made, n = self.made, len(ids)
+        get, n = self.rank.get, len(ids)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        heap = [(*found, k) for k in range(n - 1) if (found := made.get((ids[k], ids[k + 1])))]
+        heap = [(rank, k) for k in range(n - 1) if (rank := get((ids[k], ids[k + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, token, k = heapq.heappop(heap)
+            rank, k = heapq.heappop(heap)
             right = after[k]
-            if ids[k] < 0 or right < 0 or made.get((ids[k], ids[right]), (-1,))[0] != rank:
+            if ids[k] < 0 or right < 0 or get((ids[k], ids[right])) != rank:
                 continue  # one of the two was merged meanwhile
-            ids[k], ids[right], after[k] = token, -1, after[right]
+            ids[k], ids[right], after[k] = self.token[rank], -1, after[right]
             if after[k] >= 0:
                 before[after[k]] = k
-                if found := made.get((token, ids[after[k]])):
-                    heapq.heappush(heap, (*found, k))
-            if before[k] >= 0 and (found := made.get((ids[before[k]], token))):
-                heapq.heappush(heap, (*found, before[k]))
+                if (later := get((ids[k], ids[after[k]]))) is not None:
+                    heapq.heappush(heap, (later, k))
+            if before[k] >= 0 and (later := get((ids[before[k]], ids[k]))) is not None:
+                heapq.heappush(heap, (later, before[k]))
         return [i for i in ids if i >= 0]
 
 
