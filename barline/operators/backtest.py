@@ -156,8 +156,10 @@ def verdict(found: DataFrame, base: float = 10_000.0) -> DataFrame:
 
 
 def information_coefficients(table: DataFrame, strategies: list[str]) -> DataFrame:
-    """(strategy, k, ic): rank correlation of value and forward return, average ties, on dates of enough names."""
-    long = melted(table, strategies)
+    """(strategy, k, ic): rank correlation of value and forward return, average ties, on dates of enough names.
+
+    Ranked are values of nine decimals, so that ties don't hang on the last bits of a sum."""
+    long = melted(table, strategies).withColumns({c: F.round(c, 9) for c in ("value", "fwd")})
     ranked = long.withColumns({"rv": average_rank("value", "strategy", "k"), "rf": average_rank("fwd", "strategy", "k")})
     got = ranked.groupBy("strategy", "k").agg(F.count("*").alias("n"), F.stddev_pop("rv").alias("sv"), F.stddev_pop("rf").alias("sf"), F.covar_pop("rv", "rf").alias("cov"))
     got = got.withColumn("ic", F.try_divide("cov", F.col("sv") * F.col("sf")))
@@ -165,9 +167,10 @@ def information_coefficients(table: DataFrame, strategies: list[str]) -> DataFra
 
 
 def ic_stats(ics: DataFrame) -> DataFrame:
+    """(strategy, mean, sd, ir, t, positive, n); a correlation of zero is not positive, whatever the last bits of its sums are."""
     sd = F.stddev_pop("ic")
     return ics.groupBy("strategy").agg(
-        F.avg("ic").alias("mean"), sd.alias("sd"), F.try_divide(F.avg("ic"), sd).alias("ir"), (F.try_divide(F.avg("ic"), sd) * F.sqrt(F.count("*"))).alias("t"), (100 * F.avg((F.col("ic") > 0).cast("double"))).alias("positive"), F.count("*").alias("n")
+        F.avg("ic").alias("mean"), sd.alias("sd"), F.try_divide(F.avg("ic"), sd).alias("ir"), (F.try_divide(F.avg("ic"), sd) * F.sqrt(F.count("*"))).alias("t"), (100 * F.avg((F.round("ic", 9) > 0).cast("double"))).alias("positive"), F.count("*").alias("n")
     )
 
 

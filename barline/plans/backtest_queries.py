@@ -11,6 +11,7 @@ from ..functions.indicators import add
 from ..operators import backtest as bt
 from ..operators.asof import pad
 from ..sources.bars import derive_bars, market
+from ..sources.scratch import held
 from . import indicator_sql as sql
 
 SIGNALS = ("mom21", "zscore20", "cmf20")
@@ -26,7 +27,7 @@ def _panel(spark, sf_dir) -> DataFrame:
 
 
 def _returns(spark, sf_dir) -> DataFrame:
-    return bt.strategy_returns(_panel(spark, sf_dir), STRATEGIES)
+    return bt.strategy_returns(held(_panel(spark, sf_dir)), STRATEGIES)
 
 
 def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
@@ -126,7 +127,7 @@ ret AS MATERIALIZED (SELECT s.strategy, d.k, d.date, coalesce(u.ret, 0) AS ret,
 def ic_sql() -> str:
     return """ic AS MATERIALIZED (SELECT strategy, k, corr(rv, rf) AS ic FROM (SELECT strategy, k,
     rank() OVER (PARTITION BY strategy, k ORDER BY value) + (count(*) OVER (PARTITION BY strategy, k, value) - 1) / 2.0::DOUBLE AS rv,
-    rank() OVER (PARTITION BY strategy, k ORDER BY fwd) + (count(*) OVER (PARTITION BY strategy, k, fwd) - 1) / 2.0::DOUBLE AS rf FROM long)
+    rank() OVER (PARTITION BY strategy, k ORDER BY fwd) + (count(*) OVER (PARTITION BY strategy, k, fwd) - 1) / 2.0::DOUBLE AS rf FROM (SELECT strategy, k, round(value, 9) AS value, round(fwd, 9) AS fwd FROM long))
   GROUP BY strategy, k HAVING count(*) >= 8 AND stddev_pop(rv) > 0 AND stddev_pop(rf) > 0)"""
 
 
@@ -177,7 +178,7 @@ FROM (SELECT s.symbol, c.k, c.date FROM (SELECT DISTINCT symbol FROM bars) s CRO
         "bt_panel": query(f"SELECT k, date, symbol, {r5('momentum')}, {r5('reversion')}, {r5('flow')}, {r5('fwd')} FROM panel"),
         "bt_returns": query(f"SELECT strategy, k, date, {r5('ret')}, {r5('turnover')} FROM ret", RETURNS),
         "bt_ic": query(f"SELECT strategy, k, {r5('ic')} FROM ic", IC),
-        "bt_ic_stats": query("SELECT strategy, round(avg(ic), 4) AS mean, round(stddev_pop(ic), 4) AS sd, round(avg(ic) / stddev_pop(ic), 4) AS ir, round(avg(ic) / stddev_pop(ic) * sqrt(count(*)), 4) AS t, round(100 * avg((ic > 0)::INT), 4) AS positive, count(*) AS n FROM ic GROUP BY strategy", IC),
+        "bt_ic_stats": query("SELECT strategy, round(avg(ic), 4) AS mean, round(stddev_pop(ic), 4) AS sd, round(avg(ic) / stddev_pop(ic), 4) AS ir, round(avg(ic) / stddev_pop(ic) * sqrt(count(*)), 4) AS t, round(100 * avg((round(ic, 9) > 0)::INT), 4) AS positive, count(*) AS n FROM ic GROUP BY strategy", IC),
         "bt_deciles": query(f"SELECT CAST(least(10, (i * 10) // n + 1) AS INT) AS decile, round(100 * avg(fwd) * 252 / {STEP}, 3) AS ann_return, count(*) AS n FROM (SELECT fwd, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY momentum, symbol) - 1 AS i FROM panel WHERE momentum IS NOT NULL) WHERE n >= 10 GROUP BY 1"),
         "bt_regimes": query("""SELECT strategy, label, count(*) AS n, round(avg(ret), 4) AS mean_ret, round(stddev_pop(ret), 4) AS sd FROM ret JOIN (
   SELECT date, CASE WHEN count(close) OVER w < 100 THEN 'unknown' WHEN close >= avg(close) OVER w THEN 'bull' ELSE 'bear' END AS label FROM mkt WINDOW w AS (ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)) USING (date) GROUP BY ALL HAVING count(*) >= 8""", RETURNS),

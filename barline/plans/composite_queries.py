@@ -11,6 +11,7 @@ from ..operators import calibrate
 from ..operators import evaluate as ev
 from ..operators.score import HORIZONS, SLEEVES, WEIGHTS, features, score
 from ..sources.bars import derive_bars, market
+from ..sources.scratch import held
 from . import indicator_sql as sql
 from .backtest_queries import CAL, STEP, YEARS, ic_sql, panel_sql, returns_sql, rounded
 from .score_queries import score_ctes
@@ -32,7 +33,8 @@ def composite_panel(bars: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def _panel(spark, sf_dir) -> DataFrame:
-    return composite_panel(*bars_and_dates(spark, sf_dir))
+    """Written once: k dates of each symbol are small beside the history that they come from, and are read in every branch."""
+    return held(composite_panel(*bars_and_dates(spark, sf_dir)))
 
 
 def _returns(spark, sf_dir, **options) -> DataFrame:
@@ -41,7 +43,7 @@ def _returns(spark, sf_dir, **options) -> DataFrame:
 
 def _with_benchmarks(spark, sf_dir) -> DataFrame:
     bars, dates = bars_and_dates(spark, sf_dir)
-    table = composite_panel(bars, dates)
+    table = held(composite_panel(bars, dates))
     return bt.strategy_returns(table, STRATEGIES).unionByName(bt.benchmarks(table, dates))
 
 
@@ -51,7 +53,7 @@ def as_text(df: DataFrame, *names: str) -> DataFrame:
 
 
 def panel_query(spark, sf_dir) -> DataFrame:
-    return rounded(_panel(spark, sf_dir))
+    return rounded(composite_panel(*bars_and_dates(spark, sf_dir)))
 
 
 def stats_query(spark, sf_dir) -> DataFrame:
@@ -155,7 +157,7 @@ tr AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY c) + (count(*) OVER (PARTI
         "bt_exposure": f"WITH {sql.MARKET}, {CAL}, {gate} SELECT date, exposure, k FROM gate JOIN cal USING (date)",
         "bt_composite_regimes": query(f"SELECT strategy, label, {r('log_cagr', 'vol', 'sharpe', 'max_dd', 'hit', 'log_total')}, n FROM st WHERE n >= 8", *whole, regimes, stats("strategy, label", "split")),
         "bt_verdict": query(f"SELECT strategy, {text('10000 * (1 + total / 100)', 'end_value')}, round(max_dd, 4) AS max_dd, {text('CASE WHEN strategy <> ' + repr('composite') + ' THEN own - total END', 'points')} FROM (SELECT *, max(CASE WHEN strategy = 'composite' THEN total END) OVER () AS own FROM st) WHERE strategy IN ('composite', 'equal_weight', 'market')", *whole, stats("strategy", "whole")),
-        "bt_composite_ic": query("SELECT strategy, round(avg(ic), 4) AS mean, round(stddev_pop(ic), 4) AS sd, round(avg(ic) / stddev_pop(ic), 4) AS ir, round(avg(ic) / stddev_pop(ic) * sqrt(count(*)), 4) AS t, round(100 * avg((ic > 0)::INT), 4) AS positive, count(*) AS n FROM ic GROUP BY strategy", ic_sql()),
+        "bt_composite_ic": query("SELECT strategy, round(avg(ic), 4) AS mean, round(stddev_pop(ic), 4) AS sd, round(avg(ic) / stddev_pop(ic), 4) AS ir, round(avg(ic) / stddev_pop(ic) * sqrt(count(*)), 4) AS t, round(100 * avg((round(ic, 9) > 0)::INT), 4) AS positive, count(*) AS n FROM ic GROUP BY strategy", ic_sql()),
         "audit_ic_hurdle": query(f"SELECT strategy, round(t, 4) AS t, round(h, 4) AS hurdle, abs(t) > h AS passes, t > h AS clears_positive FROM (SELECT strategy, avg(ic) / stddev_pop(ic) * sqrt(count(*)) AS t, sqrt(2 * ln({TRIALS}.0::DOUBLE)) AS h FROM ic GROUP BY strategy)", ic_sql()),
         "audit_null_ic": query("SELECT count(*) AS permutations, round(avg(ic), 5) AS mean, round(quantile_cont(ic, 0.95), 5) AS p95, round(quantile_cont(ic, 0.99), 5) AS p99, round(max(ic), 5) AS most FROM best", ranked),
         "audit_deflated_sharpe": query(f"""SELECT strategy, round(sharpe, 4) AS sharpe, round(spread * {ev.expected_max_sharpe(TRIALS)!r}, 4) AS sr0, round({ev.normal_cdf_sql('z')}, 4) AS deflated, {ev.normal_cdf_sql('z')} >= 0.95 AS passes
