@@ -33,7 +33,8 @@ from .bpe import read_ranks
 from .common import map_arrow, prepare
 
 CHUNK = 1 << 16
-CACHE_UNITS = 1 << 17
+#: Pre-tokens and units that are remembered in each of two generations: the newer one is filled, and takes over what is used of the older.
+CACHE_PIECES, CACHE_UNITS = 1 << 18, 1 << 17
 #: Fixed value: how the byte-level tokenizers cut text before their merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Runs that a pre-token goes on with, by the kind of its last character.
@@ -173,15 +174,22 @@ class Model:
         self.decimal = [str(i) for i in range(len(self.sizes))]
         self.known: dict[str, bytes] = {}  # of units after a blank
         self.short: dict[str, bytes] = {}  # of pre-tokens
+        self.older_known, self.older_short = self.known, self.short
 
     def piece(self, text: str) -> bytes:
         got = self.short.get(text)
         if got is None:
-            t = Transducer(self.merges)
-            got = pack(t.push(text.encode()) + t.finish())
+            got = self.older_short.get(text)
+            if got is None:
+                data = text.encode()
+                if len(data) < self.merges.window:  # nothing would be emitted before its end
+                    got = pack(self.merges.merged(data))
+                else:
+                    t = Transducer(self.merges)
+                    got = pack(t.push(data) + t.finish())
             if len(text) <= 32:
-                if len(self.short) >= CACHE_UNITS:
-                    self.short.clear()
+                if len(self.short) >= CACHE_PIECES:
+                    self.older_short, self.short = self.short, {}
                 self.short[text] = got
         return got
 
@@ -198,10 +206,10 @@ class Model:
             for k, ids in enumerate(got):
                 if ids is None:
                     w = rest[k]
-                    got[k] = ids = self.pieces(" " + w)
+                    got[k] = ids = self.older_known.get(w) or self.pieces(" " + w)
                     if len(w) <= 64:
                         if len(self.known) >= CACHE_UNITS:
-                            self.known.clear()
+                            self.older_known, self.known = self.known, {}
                         self.known[w] = ids
         return self.pieces(head) + b"".join(got)
 
