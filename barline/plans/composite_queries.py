@@ -9,6 +9,7 @@ from ..functions.indicators import add
 from ..operators import backtest as bt
 from ..operators import calibrate
 from ..operators import evaluate as ev
+from ..operators.regime import learned_weights
 from ..operators.score import HORIZONS, SLEEVES, WEIGHTS, features, score
 from ..sources.bars import derive_bars, market
 from ..sources.scratch import held
@@ -17,7 +18,7 @@ from .backtest_queries import CAL, STEP, YEARS, ic_sql, panel_sql, returns_sql,
 from .score_queries import score_ctes
 
 STRATEGIES = ["composite", *SLEEVES]
-TRIALS, PERMUTATIONS = 35, 200
+TRIALS, PERMUTATIONS, SHARE = 35, 200, 0.6
 H = HORIZONS["1m"]
 
 
@@ -105,8 +106,47 @@ def gram_query(spark, sf_dir) -> DataFrame:
     return rounded(calibrate.centered_sums(_panel(spark, sf_dir).withColumnRenamed("trend_state", "state")), 4)
 
 
+def weights_query(spark, sf_dir) -> DataFrame:
+    """Sleeve weights learned for each state from the earlier dates."""
+    panel = _panel(spark, sf_dir)
+    cut = int((panel.agg(F.max("k")).first()[0] or 0) * SHARE)
+    return learned_weights(panel.where(F.col("k") < cut).withColumnRenamed("trend_state", "state"), WEIGHTS)
+
+
 def calibration_query(spark, sf_dir) -> DataFrame:
-    return rounded(calibrate.calibration(_panel(spark, sf_dir), WEIGHTS, "trend_state", 0.6, STEP)["report"], 4)
+    return rounded(calibrate.calibration(_panel(spark, sf_dir), WEIGHTS, "trend_state", SHARE, STEP)["report"], 4)
+
+
+def weights_sql(shrinkage: float = 0.5, ridge: float = 1.0, least: int = 60) -> str:
+    """CTEs up to ``lw`` (weights learned for each state) and ``both_tables`` (composites by the fixed and the learned weights): a Cholesky factor column by column."""
+    k = range(len(SLEEVES))
+    sums = ", ".join([f"sum({s}) AS s{i}, sum({s} * fwd) AS y{i}" for i, s in enumerate(SLEEVES)] + [f"sum({SLEEVES[i]} * {SLEEVES[j]}) AS x{i}{j}" for i in k for j in range(i + 1)])
+    less = lambda start, parts: " - ".join([start, *parts])
+    entry = lambda i, j: f"(x{i}{j} - s{i} * s{j} / n{f' + {ridge}' if i == j else ''})"
+    parts, last = [], "g0"
+    for j in k:
+        parts.append(f"l{j} AS (SELECT *, sqrt({less(entry(j, j), [f'l{j}{m} * l{j}{m}' for m in range(j)])}) AS l{j}{j} FROM {last})")
+        rest = "".join(f", ({less(entry(i, j), [f'l{i}{m} * l{j}{m}' for m in range(j)])}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, len(k)))
+        parts.append(f"m{j} AS (SELECT *{rest} FROM l{j})")
+        last = f"m{j}"
+    for i in k:
+        parts.append(f"z{i} AS (SELECT *, ({less(f'(y{i} - s{i} * y / n)', [f'l{i}{m} * r{m}' for m in range(i)])}) / l{i}{i} AS r{i} FROM {last})")
+        last = f"z{i}"
+    for i in reversed(k):
+        parts.append(f"o{i} AS (SELECT *, ({less(f'r{i}', [f'l{m}{i} * b{m}' for m in range(i + 1, len(k))])}) / l{i}{i} AS b{i} FROM {last})")
+        last = f"o{i}"
+    share = ", ".join(f"('{s}', " + ", ".join(f"{row[x] / sum(row.values())!r}::DOUBLE" for x in SLEEVES) + ")" for s, row in WEIGHTS.items())
+    fixed = ", ".join(f"('{s}', " + ", ".join(f"{row[x]!r}::DOUBLE" for x in SLEEVES) + ")" for s, row in WEIGHTS.items())
+    total = " + ".join(f"greatest(b{i}, 0)" for i in k)
+    drawn = ", ".join(f"round(CASE WHEN n >= {least} AND {total} > 0 THEN {shrinkage} * greatest(b{i}, 0) / ({total}) + {1 - shrinkage} * p{i} ELSE p{i} END, 4) AS {s}" for i, s in enumerate(SLEEVES))
+    dot = " + ".join(f"w.{s} * p.{s}" for s in SLEEVES)
+    return f"""ct AS (SELECT CAST(floor(max(k) * {SHARE}) AS INT) AS cut FROM panel),
+g0 AS (SELECT trend_state AS state, count(*) AS n, sum(fwd) AS y, {sums} FROM panel WHERE k < (SELECT cut FROM ct) AND trend_state IS NOT NULL AND fwd IS NOT NULL GROUP BY trend_state),
+{", ".join(parts)},
+bp(state, {", ".join(f"p{i}" for i in k)}) AS (VALUES {share}), fw(state, {", ".join(SLEEVES)}) AS (VALUES {fixed}),
+lw AS MATERIALIZED (SELECT bp.state, {drawn} FROM bp LEFT JOIN {last} q ON q.state = bp.state),
+full_dates AS (SELECT k FROM panel GROUP BY k HAVING count(*) >= 8),
+both_tables AS MATERIALIZED (SELECT t.tbl, p.k, p.symbol, p.fwd, {dot} AS c FROM panel p JOIN full_dates USING (k), (SELECT 'prior' AS tbl, * FROM fw UNION ALL SELECT 'calibrated', * FROM lw) t, LATERAL (SELECT t.*) w WHERE w.state = coalesce(p.trend_state, 'mixed'))"""
 
 
 def build() -> tuple[dict, dict]:
@@ -145,10 +185,14 @@ best AS (SELECT perm, greatest(""" + ", ".join(f"avg(i_{s})" for s in STRATEGIES
     table = f"""tc AS (SELECT k, date, symbol, fwd, {states} AS c FROM panel QUALIFY count(*) OVER (PARTITION BY k) >= 8),
 tr AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY c) + (count(*) OVER (PARTITION BY k, c) - 1) / 2.0::DOUBLE AS rv, rank() OVER (PARTITION BY k ORDER BY fwd) + (count(*) OVER (PARTITION BY k, fwd) - 1) / 2.0::DOUBLE AS rf,
   row_number() OVER (PARTITION BY k ORDER BY c DESC, symbol) AS i, count(*) OVER (PARTITION BY k) AS n FROM tc)"""
+    ranked_ics = """ks AS (SELECT *, rank() OVER (PARTITION BY tbl, k ORDER BY c) + (count(*) OVER (PARTITION BY tbl, k, c) - 1) / 2.0::DOUBLE AS rv, rank() OVER (PARTITION BY tbl, k ORDER BY fwd) + (count(*) OVER (PARTITION BY tbl, k, fwd) - 1) / 2.0::DOUBLE AS rf,
+  row_number() OVER (PARTITION BY tbl, k ORDER BY c DESC, symbol) AS i, count(*) OVER (PARTITION BY tbl, k) AS m FROM both_tables),
+kd AS MATERIALIZED (SELECT tbl, k, CASE WHEN k < (SELECT cut FROM ct) THEN 'discovery' ELSE 'validation' END AS split, CASE WHEN stddev_pop(rv) > 0 AND stddev_pop(rf) > 0 THEN corr(rv, rf) END AS ic, avg(CASE WHEN i <= greatest(1, floor(m * 0.2)) THEN fwd END) AS ret, 0.0::DOUBLE AS turnover FROM ks GROUP BY tbl, k),
+ki AS (SELECT tbl, split, avg(ic) AS ic, avg(ic) / nullif(stddev_pop(ic), 0) * sqrt(count(*)) AS t FROM kd WHERE ic IS NOT NULL GROUP BY tbl, split)"""
     centered = ", ".join(f"round(sum(({a}) * ({b})) - sum({a}) * sum({b}) / count(*), 4) AS {a[0]}{i}{b[0]}{j}" for i, a in enumerate(SLEEVES) for j, b in enumerate((*SLEEVES, "fwd")) if j >= i)
     queries = {
         "bt_composite_panel": panel_query, "bt_composite_stats": stats_query, "bt_composite_gated": gated_query, "bt_exposure": exposure_query, "bt_composite_regimes": regimes_query, "bt_verdict": verdict_query,
-        "bt_composite_ic": ic_query, "audit_ic_hurdle": hurdle_query, "audit_null_ic": null_query, "audit_deflated_sharpe": deflated_query, "regime_table": table_query, "regime_gram": gram_query, "regime_calibration": calibration_query,
+        "bt_composite_ic": ic_query, "audit_ic_hurdle": hurdle_query, "audit_null_ic": null_query, "audit_deflated_sharpe": deflated_query, "regime_table": table_query, "regime_gram": gram_query, "regime_weights": weights_query, "regime_calibration": calibration_query,
     }
     oracles = {
         "bt_composite_panel": query(f"SELECT k, date, symbol, {r(*STRATEGIES, 'vol', 'fwd', d=5)}, trend_state FROM panel"),
@@ -164,6 +208,10 @@ tr AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY c) + (count(*) OVER (PARTI
 FROM (SELECT *, (sharpe - spread * {ev.expected_max_sharpe(TRIALS)!r}) * sqrt(n - 1) / sqrt(base) AS z FROM (SELECT *, greatest(abs(sharpe), 1e-9) AS spread, CASE WHEN 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe > 0 THEN 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe END AS base FROM (
   SELECT strategy, count(*) AS n, any_value(m) / any_value(sd) AS sharpe, avg(power((ret - m) / sd, 3)) AS skew, avg(power((ret - m) / sd, 4)) AS kurt FROM (SELECT strategy, ret, avg(ret) OVER (PARTITION BY strategy) AS m, stddev_samp(ret) OVER (PARTITION BY strategy) AS sd FROM ret) GROUP BY strategy)))""", returns_sql(STRATEGIES)),
         "regime_table": query("SELECT k, any_value(date) AS date, round(CASE WHEN stddev_pop(rv) > 0 AND stddev_pop(rf) > 0 THEN corr(rv, rf) END, 5) AS ic, round(avg(CASE WHEN i <= greatest(1, floor(n * 0.2)) THEN fwd END), 5) AS ret FROM tr GROUP BY k", table),
+        "regime_calibration": query("""SELECT tbl AS "table", split, round(ic, 4) AS ic, round(t, 4) AS t, round(sharpe, 4) AS sharpe, round(log_cagr, 4) AS log_cagr, round(max_dd, 4) AS max_dd, n,
+  (SELECT coalesce(bool_and(a.ic > b.ic AND x.sharpe >= 0.95 * y.sharpe), false) FROM ki a JOIN ki b ON a.split = b.split JOIN kt x ON x.tbl = a.tbl AND x.split = a.split JOIN kt y ON y.tbl = b.tbl AND y.split = b.split WHERE a.split = 'validation' AND a.tbl = 'calibrated' AND b.tbl = 'prior') AS accepted
+FROM kt LEFT JOIN ki USING (tbl, split)""", weights_sql(), ranked_ics, stats("tbl, split", "kd", "kt")),
+        "regime_weights": query("SELECT state, " + ", ".join(SLEEVES) + " FROM lw", weights_sql()),
         "regime_gram": query(f"SELECT trend_state AS state, count(*) AS n, {centered} FROM panel WHERE trend_state IS NOT NULL GROUP BY trend_state"),
     }
     return queries, oracles

@@ -135,9 +135,9 @@ def test_states_are_scaled_by_all_rows_so_far():
     persistent = [regime.FEATURES.index(f) for f in regime.PERSISTENCE]
     for i in (260, 272, 290, 329):
         start = 252 + (i - 252) // 21 * 21
-        centers, path, _ = regime.fit_jump_model(regime.standardized(x[: start + 1], x[: start + 1]), 3, 20.0, seed=0)
+        centers, path, _ = regime.fit_jump_model(regime.Scale(x).until(start), 3, 20.0, seed=0)
         names = {int(k): regime.STATES[j] for j, k in enumerate(np.argsort(-centers[:, persistent].mean(1), kind="stable"))}
-        cost = regime.distances(regime.standardized(x[: i + 1], x[: i + 1]), centers)
+        cost = regime.distances(regime.Scale(x).until(i), centers)
         total = cost[0].copy()
         for t in range(1, len(cost)):
             total = np.minimum(total, total.min() + 20.0) + cost[t]
