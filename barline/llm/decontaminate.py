@@ -292,14 +292,16 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rec
     spark = prepare(docs.sparkSession)
     picked_items = items.where(items[item_text_col].isNotNull()).select(items[item_col].alias("item"), items[item_text_col].alias("text"))
     kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, item {dict(items.dtypes)[item_col]}, start bigint, end bigint, distance bigint, item_words bigint"
+    schema = f"id {kind}, key bigint, start bigint, end bigint, distance bigint, item_words bigint"
     work = scratch(spark)
-    total = picked_items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # Items of one text are searched once; their ids come back at the end. So a block holds what its texts hold, however often they are repeated.
+    texts = stored(picked_items.groupBy("text").agg(F.count("*").alias("n")).withColumn("key", F.monotonically_increasing_id()), f"{work}/texts")
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     out = None
     for k in range(blocks):  # one pass over the documents for each 16 MB of items
-        part = picked_items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item").collect()
-        shared = spark.sparkContext.broadcast(Index([r["item"] for r in part], [r["text"] for r in part], similarity, recall))
+        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("key").collect()
+        shared = spark.sparkContext.broadcast(Index([r["key"] for r in part], [r["text"] for r in part], similarity, recall))
 
         def run(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
             index, (buf, off), rows = shared.value, raw(b.column(1)), []
@@ -315,7 +317,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rec
                 return None
             cols = list(zip(*rows, strict=True))
             ids = b.column(0).take(pa.array(cols[0], pa.int64()))
-            return pa.RecordBatch.from_arrays([ids, pa.array(cols[1]), *(pa.array(c, pa.int64()) for c in cols[2:])], ["id", "item", "start", "end", "distance", "item_words"])
+            return pa.RecordBatch.from_arrays([ids, pa.array(cols[1]), *(pa.array(c, pa.int64()) for c in cols[2:])], ["id", "key", "start", "end", "distance", "item_words"])
 
         picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
         got = map_arrow(picked, run, schema)
@@ -323,7 +325,9 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rec
             got = stored(got, f"{work}/block{k}")
             shared.unpersist()
         out = got if out is None else out.unionByName(got)
-    return out.withColumnsRenamed({"id": id_col, "item": item_col})
+    members = stored(picked_items.join(texts, "text").select("key", "item"), f"{work}/members")
+    found = out.join(members, "key").select("id", "item", "start", "end", "distance", "item_words")
+    return found.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
 def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
