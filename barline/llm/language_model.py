@@ -1,9 +1,11 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-The most frequent words are dealt by frequency to classes of SLOTS words; all others form one tail class. The probability
-of a token is that of its class given hashed features of the two tokens before it (the previous one, the one before
-it, both), times that of the word within its class given its own features; a tail word's is its smoothed share of the
-tail. So the model is a distribution over all words, unseen ones included.
+The words of the dictionary are dealt by frequency: the commonest to CLASSES - 1 classes of SLOTS words, all others to a tail class
+that is cut twice more, into groups of groups of SLOTS words. The probability of a token is that of its class given hashed features of
+the two tokens before it (the previous one, the one before it, both), times that of its place in each softmax of SLOTS outcomes on the
+way to it, given features of its own: one for a common word, three for another word of the dictionary. Every word of the dictionary is
+so predicted from context. Words outside it are the last outcome of the tail, and share it by their smoothed counts. So the model is a
+distribution over all words, unseen ones included.
 
 Corpus counts cover every training token. The weights start at the unigram model and are trained in rounds, each over
 another part of the training texts (dealt by a hash of the text), so every token makes one gradient step: each task makes steps
@@ -30,8 +32,14 @@ from .common import map_arrow, mix, prepare, raw, remainder, scratch, slices, st
 
 CLASSES, SLOTS = 32, 64
 ROWS = 4096
-#: The words whose counts every task holds; at 16 bytes each, 4 MB.
-DICTIONARY = 1 << 18
+HEAD = (CLASSES - 1) * SLOTS
+#: The words that have a place, and whose counts every task holds: at 24 bytes each, 6 MB. The tail's last outcome is left for all others.
+DICTIONARY = HEAD + (SLOTS - 1) * SLOTS * SLOTS
+#: Softmaxes of SLOTS outcomes: those of the head's classes, the tail, its groups, and their groups.
+TAIL = CLASSES - 1
+GROUPS = TAIL + 1
+LEAVES = GROUPS + SLOTS - 1
+NODES = LEAVES + (SLOTS - 1) * SLOTS
 END, BEGIN = np.uint64(0x1234567), np.uint64(0x7654321)
 COUNTS_AT_ONCE = 1 << 20
 BATCH = 1024
@@ -77,14 +85,14 @@ def count_table(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The dictionary, sorted by hash, with counts and places in the classes (-1: tail); totals of the corpus."""
+    """The dictionary, sorted by hash, with counts and places by frequency (-1: outside); totals of the corpus."""
 
     h: np.ndarray
     c: np.ndarray
     place: np.ndarray
     total: int
     types: int
-    tail: float  # smoothed count of the tail class
+    rest: float  # smoothed count of all words outside the dictionary
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count and place of each token; count -1 where the dictionary hasn't it."""
@@ -108,29 +116,48 @@ def vocabulary(counts: DataFrame, size: int = DICTIONARY) -> tuple[Vocabulary, i
     h = rows.column("h").to_numpy().view(np.uint64)
     c = rows.column("c").to_numpy()
     by = np.lexsort((h, -c))
-    place = np.full(len(h), -1)
-    head = by[: (CLASSES - 1) * SLOTS]
-    place[head] = np.arange(len(head))
+    place = np.empty(len(h), np.int64)
+    place[by] = np.arange(len(h))
     order = np.argsort(h)
-    tail = float(total - c[head].sum()) + 0.1 * (types - len(head) + 1)
-    return Vocabulary(h[order], c[order], place[order], int(total), int(types), tail), least
+    rest = float(total - c.sum()) + 0.1 * (types - len(h) + 1)
+    return Vocabulary(h[order], c[order], place[order], int(total), int(types), rest), least
+
+
+def path(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each token, and of the softmaxes on its way: the token's position, the softmax and the outcome."""
+    head, inside = (place >= 0) & (place < HEAD), place >= HEAD
+    cls = np.where(head, place // SLOTS, TAIL)
+    h, t = np.flatnonzero(head), np.flatnonzero(~head)
+    k = np.flatnonzero(inside)
+    at = place[k] - HEAD
+    top = np.full(len(place), SLOTS - 1)
+    top[k] = at // (SLOTS * SLOTS)
+    token = np.concatenate([h, t, k, k])
+    node = np.concatenate([cls[h], np.full(len(t), TAIL), GROUPS + top[k], LEAVES + at // SLOTS])
+    out = np.concatenate([place[h] % SLOTS, top[t], at // SLOTS % SLOTS, at % SLOTS])
+    return cls, token, node, out
 
 
 class Weights:
-    """Log-linear weights: class rows for three features, word rows for two, and both biases."""
+    """Log-linear weights: class rows for three features, word rows for two, and both biases, at first the logs of the counts' shares."""
 
     def __init__(self, v: Vocabulary):
-        head = np.zeros((CLASSES - 1) * SLOTS)
-        head[v.place[v.place >= 0]] = v.c[v.place >= 0]
-        head = head.reshape(CLASSES - 1, SLOTS)
-        mass = np.append(head.sum(1), v.tail)
-        self.class_bias = np.where(mass > 0, np.log(np.maximum(mass, 1e-9) / mass.sum()), UNUSED).astype(np.float32)
-        share = head / np.maximum(head.sum(1, keepdims=True), 1)
-        self.word_bias = np.where(share > 0, np.log(np.maximum(share, 1e-12)), UNUSED).astype(np.float32)
+        mass = np.zeros((NODES, SLOTS))
+        _, token, node, out = path(v.place)
+        np.add.at(mass, (node, out), v.c[token].astype(float))
+        mass[TAIL, SLOTS - 1] = v.rest
+        self.class_bias = self._logs(mass[: TAIL + 1].sum(1))
+        self.word_bias = self._logs(mass)
         self.classes = np.zeros((3 * ROWS, CLASSES), np.float32)
         self.words = np.zeros((2 * ROWS, SLOTS), np.float32)
 
 
+    @staticmethod
+    def _logs(mass: np.ndarray) -> np.ndarray:
+        share = mass / np.maximum(mass.sum(-1, keepdims=True), 1e-9)
+        return np.where(share > 0, np.log(np.maximum(share, 1e-12)), UNUSED).astype(np.float32)
+
+
 def history(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     one, two = np.full(len(h), BEGIN, np.uint64), np.full(len(h), BEGIN, np.uint64)
     one[1:] = np.where(row[1:] == row[:-1], h[:-1], BEGIN)
@@ -146,8 +173,8 @@ def class_rows(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
     return [bucket(one, 1), ROWS + bucket(two, 2), 2 * ROWS + bucket(one * np.uint64(3) + two, 3)]
 
 
-def word_rows(one: np.ndarray, two: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
-    c = cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def word_rows(one: np.ndarray, two: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+    c = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return [bucket(one ^ c, 4), ROWS + bucket(two ^ c, 5)]
 
 
@@ -162,15 +189,11 @@ def train_task(w: Weights, h: np.ndarray, row: np.ndarray, v: Vocabulary, rate:
     one, two = history(h, row)
     _, place = v.look(h)
     for lo in range(0, len(h), BATCH):
-        p = place[lo : lo + BATCH]
-        k = np.arange(lo, lo + len(p))
-        cls = np.where(p >= 0, p // SLOTS, CLASSES - 1)
-        rows = class_rows(one[k], two[k])
-        step(w.classes, rows, w.class_bias[None], cls, rate, seen[0], hits[0])
-        inner = p >= 0
-        if inner.any():
-            k, c, slot = k[inner], cls[inner], p[inner] % SLOTS
-            step(w.words, word_rows(one[k], two[k], c), w.word_bias[c], slot, rate, seen[1], hits[1])
+        cls, token, node, out = path(place[lo : lo + BATCH])
+        k = slice(lo, lo + BATCH)
+        step(w.classes, class_rows(one[k], two[k]), w.class_bias[None], cls, rate, seen[0], hits[0])
+        token += lo
+        step(w.words, word_rows(one[token], two[token], node), w.word_bias[node], out, rate, seen[1], hits[1])
 
 
 def step(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, target: np.ndarray, rate: float, seen: np.ndarray, hits: np.ndarray) -> None:
@@ -240,16 +263,14 @@ def score_rows(h: np.ndarray, row: np.ndarray, n: int, w: Weights, v: Vocabulary
     smoothed = np.where(rare, 0, np.log10(np.maximum(c, 0) + 0.1))
     base = smoothed - np.log10(v.total + 0.1 * (v.types + 1))
     one, two = history(h, row)
-    model = np.where(place < 0, smoothed - np.log10(v.tail), 0.0)
-    cls = np.where(place >= 0, place // SLOTS, CLASSES - 1)
+    model = np.where(place < 0, smoothed - np.log10(v.rest), 0.0)
     for lo in range(0, len(h), 8192):
         s = slice(lo, lo + 8192)
+        cls, token, node, out = path(place[s])
         z = w.class_bias + sum(w.classes[r] for r in class_rows(one[s], two[s]))
-        model[s] += softmax_log(z, cls[s]) / np.log(10)
-        inner = lo + np.flatnonzero(place[s] >= 0)
-        if len(inner):
-            z = w.word_bias[cls[inner]] + sum(w.words[r] for r in word_rows(one[inner], two[inner], cls[inner]))
-            model[inner] += softmax_log(z, place[inner] % SLOTS) / np.log(10)
+        got = softmax_log(z, cls)
+        z = w.word_bias[node] + sum(w.words[r] for r in word_rows(one[lo + token], two[lo + token], node))
+        model[s] += (got + np.bincount(token, softmax_log(z, out), len(got))) / np.log(10)
     return np.bincount(row, c > 0, n), np.bincount(row, base, n), np.bincount(row, model, n), rare
 
 

@@ -226,9 +226,12 @@ def test_hot_keys_join_like_any_others(spark, monkeypatch):
     assert got == sorted((i, k, tops[k]) for i, k in rows if k in tops)
 
 
-def test_model_score_against_a_slow_loop(spark):
+@pytest.mark.parametrize("many", [False, True])
+def test_model_score_against_a_slow_loop(spark, many):
+    """With few words, and with so many that most lie in the groups of the tail."""
     g = random.Random(5)
-    texts = [" ".join(g.choice(["a", "b", "c", "d"]) + g.choice(["", "", "x"]) for _ in range(30)) for _ in range(60)]
+    more = [f"v{k}" for k in range(9000)] if many else []
+    texts = [" ".join(g.choice(["a", "b", "c", "d", *more]) + g.choice(["", "", "x"]) for _ in range(300 if many else 30)) for _ in range(60)]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     v, _ = language_model.vocabulary(language_model.count_table(docs))
     w = language_model.Weights(v)
@@ -237,18 +240,24 @@ def test_model_score_against_a_slow_loop(spark):
     _, _, model, rare = language_model.score_rows(h, row, 2, w, v)
     one, two = language_model.history(h, row)
     place = {int(x): int(p) for x, p in zip(v.h, v.place, strict=True)}
-    slow = np.zeros(2)
+    slots, head, slow = language_model.SLOTS, language_model.HEAD, np.zeros(2)
+
+    def share(k, node):
+        z = w.word_bias[node].astype(float) + sum(w.words[r[0]].astype(float) for r in language_model.word_rows(one[k : k + 1], two[k : k + 1], np.array([node])))
+        return np.exp(z) / np.exp(z).sum()
+
     for k in range(len(h)):
         z = w.class_bias.astype(float) + sum(w.classes[r[0]].astype(float) for r in language_model.class_rows(one[k : k + 1], two[k : k + 1]))
         classes = np.exp(z) / np.exp(z).sum()
-        total = classes[-1]  # the tail's share
-        for c in range(language_model.CLASSES - 1):
-            z = w.word_bias[c].astype(float) + sum(w.words[r[0]].astype(float) for r in language_model.word_rows(one[k : k + 1], two[k : k + 1], np.array([c])))
-            inner = np.exp(z) / np.exp(z).sum()
-            total += classes[c]
-            if place.get(int(h[k]), -1) // language_model.SLOTS == c:
-                slow[row[k]] += np.log10(classes[c] * inner[place[int(h[k])] % language_model.SLOTS])
-        assert total == pytest.approx(1)
-        if place.get(int(h[k]), -1) < 0:
-            slow[row[k]] += np.log10(classes[-1] / v.tail)  # an unseen word's count of 0.1 is added where rare words are counted
-    assert np.allclose(slow, model, atol=1e-4) and rare.sum() == 1
+        tail = classes[-1] * share(k, language_model.TAIL)
+        words = {p: classes[p // slots] * share(k, p // slots)[p % slots] for p in range(head)}
+        assert sum(words.values()) + tail.sum() == pytest.approx(1)
+        p = place.get(int(h[k]), -1)
+        if 0 <= p < head:
+            slow[row[k]] += np.log10(words[p])
+        elif p >= head:
+            a, b, c = (p - head) // slots**2, (p - head) // slots, (p - head) % slots
+            slow[row[k]] += np.log10(tail[a] * share(k, language_model.GROUPS + a)[b % slots] * share(k, language_model.LEAVES + b)[c])
+        else:
+            slow[row[k]] += np.log10(tail[-1] / v.rest)  # an unseen word's count of 0.1 is added where rare words are counted
+    assert np.allclose(slow, model, atol=1e-4) and rare.sum() == 1 + many and (v.place.max() >= head) == many
