@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rolling import ratio
+from .links import components
 from .portfolio import CAP, pair_correlations
 
 #: The thresholds of the checks.
@@ -27,30 +28,25 @@ def concentration(weights: DataFrame) -> DataFrame:
     return check(got, "concentration", status, F.col("hhi"), F.format_string("%d names, %.1f effective, most in %s", "n", ratio(F.lit(1.0), F.col("hhi")), "top"))
 
 
-def clusters(returns: DataFrame, symbols: list[str], corr: float = CLUSTER_CORR) -> list[list[str]]:
-    """Groups of held names joined by pairs that move together; (symbol, date, ret) is cut to the last CLUSTER_DATES dates.
+def clusters(returns: DataFrame, names: DataFrame | None = None, corr: float = CLUSTER_CORR) -> DataFrame:
+    """(symbol, head, size) of the names that move together, by the pairs over ``corr`` of the last CLUSTER_DATES dates of (symbol, date, ret).
 
-    A book has 20 names at most, so at most 190 pairs reach the driver, where they are joined up.
+    ``names`` (symbol): only these are looked at. A group is called by its first name.
     """
     dates = returns.select("date").distinct().orderBy(F.desc("date")).limit(CLUSTER_DATES)
-    recent = returns.where(F.col("symbol").isin(symbols)).join(F.broadcast(dates), "date")
+    recent = (returns if names is None else returns.join(names.select("symbol"), "symbol", "left_semi")).join(F.broadcast(dates), "date")
     seen = recent.groupBy("symbol").agg(F.count("ret").alias("n")).where(F.col("n") >= CLUSTER_LEAST).select("symbol")
-    pairs = pair_correlations(recent.join(seen, "symbol", "left_semi"), 2).where(F.col("corr") > corr).select("a", "b").collect()
-    group: dict[str, set[str]] = {}
-    for a, b in pairs:
-        joined = group.get(a, {a}) | group.get(b, {b})
-        for s in joined:
-            group[s] = joined
-    found = {tuple(sorted(g)) for g in group.values()}
-    return [list(g) for g in sorted(found, key=lambda g: (-len(g), g))]
+    heads = components(pair_correlations(recent.join(seen, "symbol", "left_semi"), 2).where(F.col("corr") > corr))
+    return heads.join(heads.groupBy("head").agg(F.count("*").cast("int").alias("size")), "head").select("symbol", "head", "size")
 
 
 def correlated(returns: DataFrame, weights: DataFrame, corr: float = CLUSTER_CORR) -> DataFrame:
-    """Groups of CLUSTER_NAMES or more warn; the value is the weight of the largest one, percent."""
-    symbols = [r["symbol"] for r in weights.select("symbol").limit(1000).collect()]
-    big = [c for c in clusters(returns, symbols, corr) if len(c) >= CLUSTER_NAMES]
-    first = F.sum(F.when(F.col("symbol").isin(big[0]), F.col("weight")).otherwise(0.0)) * 100 if big else F.lit(0.0)
-    return check(weights.agg(first.alias("w")), "correlation_clusters", F.lit("warn" if big else "pass"), F.col("w"), F.lit(f"{len(big)} groups: " + "; ".join("/".join(c) for c in big)))
+    """Groups of CLUSTER_NAMES or more warn; the value is the weight of the largest one (ties: the first), percent."""
+    big = clusters(returns, weights, corr).where(F.col("size") >= CLUSTER_NAMES).join(weights, "symbol")
+    groups = big.groupBy("head", "size").agg(F.sum("weight").alias("w"), F.array_join(F.array_sort(F.collect_list("symbol")), "/").alias("names"))  # a book's names are few
+    got = groups.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("o"), "head", "w", "names"))).alias("g"))
+    detail = F.concat(F.col("n").cast("string"), F.lit(" groups: "), F.array_join(F.transform("g", lambda x: x["names"]), "; "))
+    return check(got, "correlation_clusters", F.when(F.col("n") > 0, "warn").otherwise("pass"), F.coalesce(F.get("g", F.lit(0))["w"] * 100, F.lit(0.0)), detail)
 
 
 def earnings(weights: DataFrame, fundamentals: DataFrame, today: DataFrame) -> DataFrame:
@@ -65,7 +61,7 @@ def regime_mix(weights: DataFrame, scan: DataFrame, period: str = "1m") -> DataF
     """How many held names are in the commonest trend state (ties: the first in order)."""
     states = weights.select("symbol").join(scan.where(F.col("period") == period).select("symbol", "trend_state"), "symbol", "left")
     n = states.groupBy(F.coalesce("trend_state", F.lit("unknown")).alias("state")).agg(F.count("*").alias("n"))
-    got = n.agg(F.max_by("state", F.struct("n", F.lit(0) - F.ascii("state"))).alias("state"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    got = n.agg(F.min_by("state", F.struct(-F.col("n"), "state")).alias("state"), F.max("n").alias("most"), F.sum("n").alias("all"))
     return check(got, "regime_mix", F.lit("pass"), F.col("most"), F.format_string("%d of %d names are %s", "most", "all", "state"))
 
 

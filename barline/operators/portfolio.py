@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,19 +29,29 @@ def pair_correlations(returns: DataFrame, least: int = MIN_PAIR) -> DataFrame:
     return got.where(F.col("n") >= least).select("a", "b", F.try_divide("c", F.col("sa") * F.col("sb")).alias("corr"))
 
 
-def select_names(scores: DataFrame, pairs: DataFrame, incumbents: list[str] = (), most: int = MAX_NAMES, limit: float = MAX_CORR) -> list[str]:
+def select_names(scores: DataFrame, pairs: DataFrame | Callable[[list[str]], DataFrame], incumbents: list[str] = (), most: int = MAX_NAMES, limit: float = MAX_CORR, page: int = 0) -> list[str]:
     """Greedy choice by score: incumbents that still rank well first, then the rest; none too close to a chosen one.
 
-    The choice is sequential by nature. It sees at most ``6 * most`` of the best positive scores, and their pairs.
+    The choice is sequential by nature, so the driver takes the positive scores page by page (``page`` names, six times ``most`` by
+    default), best first, each with its pairs among itself and the chosen, until the book is full or no score is left. ``pairs``:
+    (a, b, corr), or what gives them for some names.
     """
-    best = scores.where(F.col("score") > 0).orderBy(F.desc("score"), "symbol").limit(6 * most)
-    order = [r["symbol"] for r in best.select("symbol").collect()]
-    close = {frozenset((r["a"], r["b"])) for r in pairs.where(F.col("corr") > limit).where(F.col("a").isin(order) & F.col("b").isin(order)).select("a", "b").collect()} if order else set()
+    of = pairs if callable(pairs) else lambda names: pairs.where(F.col("a").isin(names) & F.col("b").isin(names))
+    positive, page = scores.where(F.col("score") > 0).select("symbol", "score"), page or 6 * most
     chosen: list[str] = []
-    for wanted in ([s for s in order[: int(most * KEEP)] if s in set(incumbents)], order):
-        for s in wanted:
+    last, first = None, True
+    while len(chosen) < most:
+        rest = positive if last is None else positive.where((F.col("score") < last.score) | ((F.col("score") == last.score) & (F.col("symbol") > last.symbol)))
+        rows = rest.orderBy(F.desc("score"), "symbol").limit(max(page, int(most * KEEP))).collect()
+        if not rows:
+            break
+        order, last = [r.symbol for r in rows], rows[-1]
+        close = {frozenset((r.a, r.b)) for r in of(order + chosen).where(F.col("corr") > limit).select("a", "b").collect()}
+        kept = [s for s in order[: int(most * KEEP)] if s in set(incumbents)] if first else []
+        for s in (*kept, *order):
             if len(chosen) < most and s not in chosen and not any(frozenset((s, c)) in close for c in chosen):
                 chosen.append(s)
+        first = False
     return chosen
 
 
@@ -153,7 +164,7 @@ def recommend(scan: DataFrame, bars: DataFrame, positions: DataFrame, exposure:
     exposure = min(1.0, max(0.0, exposure))
     returns = recent_returns(bars)
     scores = scan.where(F.col("period") == period).select("symbol", "score")
-    chosen = select_names(scores, pair_correlations(returns), list(previous), most, limit)
+    chosen = select_names(scores, lambda names: pair_correlations(returns.where(F.col("symbol").isin(names))), list(previous), most, limit)
     names = scores.where(F.col("symbol").isin(chosen))
     weights = capped(inverse_vol(returns, names)).select("symbol", "weight")
     held = book(positions, bars)

@@ -190,8 +190,8 @@ def weights_query(spark, sf_dir) -> DataFrame:
 
 def selection_query(spark, sf_dir) -> DataFrame:
     bars = derive_bars(spark, sf_dir)
-    pairs = pf.pair_correlations(pf.recent_returns(bars))
-    chosen = pf.select_names(_scores(spark, sf_dir), pairs, most=5, limit=0.3)
+    returns = pf.recent_returns(bars)
+    chosen = pf.select_names(_scores(spark, sf_dir), lambda names: pf.pair_correlations(returns.where(F.col("symbol").isin(names))), most=5, limit=0.3)
     return spark.createDataFrame([(i + 1, s) for i, s in enumerate(chosen)], "place int, symbol string")
 
 
@@ -285,7 +285,7 @@ SELECT * FROM nw UNION ALL SELECT * FROM bars b WHERE NOT EXISTS (SELECT 1 FROM
         "pf_correlations": f"WITH {B}, {ret} SELECT x.symbol AS a, y.symbol AS b, round(corr(x.ret, y.ret), 5) AS corr FROM rr x JOIN rr y ON x.date = y.date AND x.symbol < y.symbol GROUP BY ALL HAVING count(*) >= 40",
         "pf_weights": sql.with_bars(("zscore20",), "SELECT symbol, round(w / sum(w) OVER (), 5) AS weight FROM w5", more=f"{ret}, {names}, v AS (SELECT symbol, CASE WHEN count(ret) >= 20 AND stddev_samp(ret) > 0 THEN stddev_samp(ret) ELSE 0.02 END AS sd FROM rr GROUP BY symbol), rw AS (SELECT symbol, (1 + greatest(0, score) / 200) / coalesce(sd, 0.02) AS raw FROM nm LEFT JOIN v USING (symbol)), w0 AS (SELECT symbol, greatest(0.15::DOUBLE, 1.0::DOUBLE / count(*) OVER ()) AS c, raw / sum(raw) OVER () AS w FROM rw), {caps}"),
         "pf_selection": sql.with_bars(("zscore20",), "SELECT generate_subscripts(got, 1)::INT AS place, unnest(got) AS symbol FROM (SELECT got FROM pick ORDER BY j DESC LIMIT 1)", True, f"""{ret},
-cand AS MATERIALIZED (SELECT symbol, row_number() OVER (ORDER BY s DESC, symbol) AS j FROM (SELECT symbol, 100 * tanh(zscore20) AS s FROM f QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1) WHERE s > 0 QUALIFY j <= 30),
+cand AS MATERIALIZED (SELECT symbol, row_number() OVER (ORDER BY s DESC, symbol) AS j FROM (SELECT symbol, 100 * tanh(zscore20) AS s FROM f QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1) WHERE s > 0),
 prs AS (SELECT x.symbol AS a, y.symbol AS b, corr(x.ret, y.ret) AS c FROM rr x JOIN rr y ON x.date = y.date AND x.symbol <> y.symbol GROUP BY ALL HAVING count(*) >= 40),
 ord AS MATERIALIZED (SELECT symbol, j, coalesce((SELECT list(b) FROM prs WHERE a = cand.symbol AND c > 0.3), []::VARCHAR[]) AS near FROM cand),
 pick AS (SELECT 0::BIGINT AS j, []::VARCHAR[] AS got UNION ALL SELECT o.j, CASE WHEN len(got) < 5 AND NOT list_has_any(near, got) THEN list_append(got, o.symbol) ELSE got END FROM pick JOIN ord o ON o.j = pick.j + 1)"""),

@@ -9,6 +9,7 @@ from ..operators import checks, fundamental
 from ..operators import portfolio as pf
 from ..operators.score import HORIZONS, scan
 from ..sources.bars import derive_bars, market
+from ..sources.scratch import held
 from . import indicator_sql as sql
 from .backtest_queries import rounded
 from .book_queries import _positions, table
@@ -41,7 +42,7 @@ def _state(spark, sf_dir) -> DataFrame:
 
 def _recommended(spark, sf_dir) -> tuple[DataFrame, dict]:
     bars = derive_bars(spark, sf_dir)
-    scanned = scan(bars, *USED).cache()
+    scanned = held(scan(bars, *USED))
     exposure = _state(spark, sf_dir).first()["exposure"]
     return scanned, pf.recommend(scanned, bars, _positions(spark, sf_dir), exposure, PREVIOUS, BASE, MOST, LIMIT)
 
@@ -86,9 +87,7 @@ def review_query(spark, sf_dir) -> DataFrame:
 
 def clusters_query(spark, sf_dir) -> DataFrame:
     """Groups among all names, by a bar that the noise of these prices reaches."""
-    returns = pf.recent_returns(derive_bars(spark, sf_dir))
-    names = [r["symbol"] for r in returns.select("symbol").distinct().orderBy("symbol").limit(200).collect()]
-    return spark.createDataFrame([(s, g[0], len(g)) for g in checks.clusters(returns, names, CLUSTER) for s in g], "symbol string, head string, size int")
+    return checks.clusters(pf.recent_returns(derive_bars(spark, sf_dir)), corr=CLUSTER)
 
 
 def summary_query(spark, sf_dir) -> DataFrame:
@@ -123,7 +122,7 @@ gate AS MATERIALIZED (SELECT CASE WHEN above IS NULL AND p IS NULL THEN 1.0::DOU
     )
     prior = ", ".join(f"'{s}'" for s in PREVIOUS)
     # Names kept from before come first while they rank well, then all by score; each only if no chosen one is close to it.
-    chosen = f"""cand AS MATERIALIZED (SELECT symbol, score, row_number() OVER (ORDER BY score DESC, symbol) AS i FROM s_1m WHERE score > 0 QUALIFY i <= {6 * MOST}),
+    chosen = f"""cand AS MATERIALIZED (SELECT symbol, score, row_number() OVER (ORDER BY score DESC, symbol) AS i FROM s_1m WHERE score > 0),
 prs AS (SELECT x.symbol AS a, y.symbol AS b, corr(x.ret, y.ret) AS c FROM rr x JOIN rr y ON x.date = y.date AND x.symbol <> y.symbol GROUP BY ALL HAVING count(*) >= 40),
 ord AS MATERIALIZED (SELECT symbol, near, row_number() OVER (ORDER BY turn, i) AS j FROM (
   SELECT symbol, i, coalesce((SELECT list(b) FROM prs WHERE a = cand.symbol AND c > {LIMIT}), []::VARCHAR[]) AS near, unnest(CASE WHEN symbol IN ({prior}) AND i <= {int(MOST * pf.KEEP)} THEN [1, 2] ELSE [2] END) AS turn FROM cand)),

@@ -91,6 +91,14 @@ def test_selection_skips_twins_and_keeps_incumbents(spark):
     assert pf.select_names(scores, pairs, ["B"], most=3) == ["B", "C"]
 
 
+def test_selection_goes_on_past_many_twins(spark):
+    """200 near twins of the best name stand ahead of the last ones that fit."""
+    rows = [("A", 999.0)] + [(f"T{k:03d}", 900.0 - k) for k in range(200)] + [("Y", 5.0), ("Z", 5.0), ("W", 0.0)]
+    scores = spark.createDataFrame(rows, "symbol string, score double")
+    pairs = spark.createDataFrame([("A", t, 0.99) for t, _ in rows[1:201]] + [("Y", "Z", 0.1)], "a string, b string, corr double")
+    assert pf.select_names(scores, pairs, most=3) == ["A", "Y", "Z"] == pf.select_names(scores, pairs, most=3, page=7)
+
+
 def test_full_exit_uses_held_shares(spark):
     target = spark.createDataFrame([("A", 1.0)], "symbol string, weight double")
     held = spark.createDataFrame([("B", 3.333, 100.0)], "symbol string, shares double, value double")

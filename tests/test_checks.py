@@ -49,11 +49,32 @@ def test_clusters(spark):
     base = g.normal(size=80)
     paths = {s: base + 0.1 * g.normal(size=80) for s in "ABC"} | {s: g.normal(size=80) for s in "DE"} | {"F": base[:30]}
     r = returns(spark, paths)
-    assert checks.clusters(r, list("ABCDE")) == [["A", "B", "C"]]
+    assert {tuple(x) for x in checks.clusters(r).collect()} == {(s, "A", 3) for s in "ABC"}
+    assert checks.clusters(r, book(spark, A=0.5, D=0.5)).count() == 0
     got = checks.correlated(r, book(spark, A=0.2, B=0.2, C=0.1, D=0.5)).first()
     assert got.status == "warn" and got.value == pytest.approx(50)
 
 
+def test_components_of_long_chains_and_clouds(spark):
+    from barline.operators.links import components
+
+    g = np.random.default_rng(7)
+    names = [f"n{k:04d}" for k in g.permutation(400)]
+    pairs = [(names[k], names[k + 1]) for k in range(299)] + [(names[300 + int(a)], names[300 + int(b)]) for a, b in g.integers(0, 100, (90, 2))]
+    root = {s: s for p in pairs for s in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    got = {r.symbol: r.head for r in components(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert got == {s: find(s) for s in got} and {s for a, b in pairs if a != b for s in (a, b)} == set(got)
+
+
 def test_earnings_regimes_and_separation(spark):
     day = spark.createDataFrame([(DAY,)], "today date")
     f = spark.createDataFrame([("A", DAY + datetime.timedelta(days=29)), ("B", DAY + datetime.timedelta(days=30)), ("C", DAY - datetime.timedelta(days=1))], "symbol string, next_earnings date")
