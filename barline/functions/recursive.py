@@ -141,3 +141,75 @@ def add_recursive(bars: DataFrame, *more: str, last: int | None = None) -> DataF
 
     schema = ", ".join(f"{n} {t}" for n, t in bars.dtypes) + "".join(f", {c} double" for c in columns)
     return bars.groupBy("symbol").applyInArrow(run, schema)
+
+
+#: What a symbol's smoothed columns go on from: the averages after its last bar, and the closes that the next steps look back on.
+STATE = ("n", "atr14", "atr10", "ema20", "ema12", "ema26", "signal", "kama")
+STATE_SCHEMA = "symbol string, date date, " + ", ".join(f"{x} {'long' if x == 'n' else 'double'}" for x in STATE) + ", closes array<double>"
+#: Closes that an efficiency ratio of ten steps needs.
+KEPT_CLOSES = 11
+
+
+def resumed(state: dict | None, high: np.ndarray, low: np.ndarray, close: np.ndarray) -> tuple[dict[str, np.ndarray], list[dict]]:
+    """The smoothed columns of new bars, and the state after each of them, from the state before the first (None: no history)."""
+    s = dict(state) if state else {"n": 0, "closes": []}
+    out: dict[str, list[float]] = {c: [] for c in ("atr14", "atr10", "ema20", "macd_hist", "kama10")}
+    states = []
+    for h, lo, c in zip(high.tolist(), low.tolist(), close.tolist(), strict=True):
+        n, closes = s["n"], s["closes"]
+        if n == 0:
+            s = {"atr14": h - lo, "atr10": h - lo, "ema20": c, "ema12": c, "ema26": c, "signal": 0.0, "kama": c}
+        else:
+            before = closes[-1]
+            tr = max(h - lo, abs(h - before), abs(lo - before))
+            step = lambda name, x, a: s[name] + a * (x - s[name])  # noqa: B023, E731
+            e12, e26 = step("ema12", c, 2 / 13), step("ema26", c, 2 / 27)
+            er, ten = 0.0, [*closes[-10:], c]
+            if len(ten) == KEPT_CLOSES:
+                way = sum(abs(b - a) for a, b in zip(ten, ten[1:], strict=False))
+                er = min(1.0, abs(c - ten[0]) / way) if way > 0 else 0.0
+            sc = (er * (2 / 3 - 2 / 31) + 2 / 31) ** 2
+            s = {"atr14": step("atr14", tr, 1 / 14), "atr10": step("atr10", tr, 1 / 10), "ema20": step("ema20", c, 2 / 21), "ema12": e12, "ema26": e26, "signal": step("signal", e12 - e26, 2 / 10), "kama": step("kama", c, sc)}
+        s |= {"n": n + 1, "closes": [*closes, c][-KEPT_CLOSES:]}
+        states.append(s)
+        for name, value in {"atr14": s["atr14"] if n >= 13 else np.nan, "atr10": s["atr10"] if n >= 9 else np.nan, "ema20": s["ema20"], "macd_hist": s["ema12"] - s["ema26"] - s["signal"], "kama10": s["kama"]}.items():
+            out[name].append(value)
+    return {k: np.array(v) for k, v in out.items()}, states
+
+
+def resume(bars: DataFrame, states: DataFrame | None = None, history: DataFrame | None = None, every: int = 63) -> tuple[DataFrame, DataFrame]:
+    """Smoothed columns of new bars without reading the history again: (bars with them, states to be appended to ``states``).
+
+    ``states`` (STATE_SCHEMA) has each symbol's states after some of its bars. A symbol's new bars go on from its last state before the
+    first of them, so a late or corrected bar begins again where the history was still right; the caller gives it and all bars after it.
+    The bars between that state and the first new one are read from ``history`` (fewer than ``every``, if it kept states so); without it
+    there must be none. Symbols without a state begin with the first bar there is. A state is kept after the last bar and every
+    ``every`` bars.
+    """
+    from pyspark.sql import functions as F
+
+    spark = bars.sparkSession
+    columns = ("atr14", "atr10", "ema20", "macd_hist", "kama10")
+    given = bars.select("symbol", "date", *[F.coalesce(c, "close").cast("double").alias(c) for c in ("high", "low")], F.col("close").cast("double").alias("close"))
+    first = given.groupBy("symbol").agg(F.min("date").alias("first"))
+    known = states if states is not None else spark.createDataFrame([], STATE_SCHEMA)
+    last = known.join(first, "symbol").where("date < first").groupBy("symbol").agg(F.max_by(F.struct(*STATE, "closes"), "date").alias("state"), F.max("date").alias("since"))
+    if history is not None:
+        between = history.join(first, "symbol").where("date < first").join(last.select("symbol", "since"), "symbol", "left").where("since IS NULL OR date > since")
+        given = given.unionByName(between.select("symbol", "date", *[F.coalesce(c, "close").cast("double").alias(c) for c in ("high", "low")], F.col("close").cast("double").alias("close")))
+
+    def run(new: pa.Table, old: pa.Table) -> pa.Table:
+        new = new.sort_by("date")
+        state = old.column("state")[0].as_py() if old.num_rows else None
+        found, after = resumed(state, *(new.column(c).to_numpy() for c in ("high", "low", "close")))
+        keep = [k == new.num_rows - 1 or s["n"] % every == 0 for k, s in enumerate(after)]
+        out = new.select(["symbol", "date"])
+        for name, values in found.items():
+            out = out.append_column(name, pa.array(values, pa.float64(), mask=np.isnan(values)))
+        kind = pa.struct([*((x, pa.int64() if x == "n" else pa.float64()) for x in STATE), ("closes", pa.list_(pa.float64()))])
+        return out.append_column("state", pa.array([s if k else None for s, k in zip(after, keep, strict=True)], kind))
+
+    schema = "symbol string, date date, " + ", ".join(f"{c} double" for c in columns) + f", state struct<{', '.join(f'{x}: ' + ('bigint' if x == 'n' else 'double') for x in STATE)}, closes: array<double>>"
+    done = given.groupBy("symbol").cogroup(last.groupBy("symbol")).applyInArrow(lambda new, old: run(new, old), schema)
+    done = done.where("date IS NOT NULL")
+    return bars.join(done.drop("state"), ["symbol", "date"]), done.where("state IS NOT NULL").select("symbol", "date", "state.*")

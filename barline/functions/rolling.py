@@ -40,3 +40,22 @@ def ratio(a, b) -> Column:
 def clip(x: Column, lo: float, hi: float) -> Column:
     """Null stays null."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
+
+
+def observed(x: str) -> Column:
+    """How many values ``x`` has had up to each bar: the order of :func:`tail`'s frames."""
+    return F.count(x).over(by().rowsBetween(Window.unboundedPreceding, 0))
+
+
+def known(x: str, before: bool = False) -> Column:
+    """The last value of ``x`` up to the bar, or before it."""
+    return F.last(x, ignorenulls=True).over(by().rowsBetween(Window.unboundedPreceding, -1 if before else 0))
+
+
+def tail(f: Callable, x: str, count: str, k: int, least: int | None = None) -> Column:
+    """``f`` over the last ``k`` values that ``x`` has, however many bars they span; null unless ``least`` (default k) are there.
+
+    ``count`` names the column of :func:`observed`: a frame over its range holds just these values, and bars without one among them.
+    """
+    last = Window.partitionBy("symbol").orderBy(count).rangeBetween(-(k - 1), 0)
+    return F.when(F.col(count) >= (k if least is None else least), f(x).over(last))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,19 +127,40 @@ def deflated_t(stats: DataFrame, trials: int) -> DataFrame:
 def null_ic(panel: DataFrame, strategies: list[str], permutations: int = 200, seed: int = 1) -> DataFrame:
     """(permutations, mean, p95, p99, most) of the best strategy's mean IC when forward returns are shuffled within each date.
 
-    The names of a date in the order of a hash are a permutation of its return ranks: repeatable, the same for all strategies,
-    and no join. Ranks are ordinal, ties by symbol. One row for each name, date and permutation.
+    The names of a date in the order of a hash are a permutation of its return ranks: repeatable, and the same for all strategies. A date
+    is one array job: its rank vectors times all its permuted ranks. So the panel is shuffled once, by date, and each date gives
+    one row for each permutation. Ranks are ordinal, ties by symbol.
     """
-    day = Window.partitionBy("k")
-    ranked = panel.withColumns({f"_r{i}": F.row_number().over(day.orderBy(s, "symbol")) for i, s in enumerate(strategies)} | {"n": F.count("*").over(day)})
-    many = ranked.where(F.col("n") >= MIN_IC).select("k", "symbol", *[f"_r{i}" for i in range(len(strategies))], F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    drawn = F.md5(F.concat_ws("|", F.lit(seed), "perm", "k", "symbol"))
-    many = many.withColumn("y", F.row_number().over(Window.partitionBy("perm", "k").orderBy(drawn, "symbol")))
-    ics = many.groupBy("perm", "k").agg(*[F.corr(f"_r{i}", "y").alias(f"ic{i}") for i in range(len(strategies))])
-    best = ics.groupBy("perm").agg(F.greatest(*[F.avg(f"ic{i}") for i in range(len(strategies))], F.lit(None)).alias("ic"))
+    few = [f"s{i}" for i in range(len(strategies))]
+
+    def deal(table: pa.Table) -> pa.Table:
+        table = table.sort_by("symbol")
+        n, k = table.num_rows, table.column("k")[0].as_py() if table.num_rows else 0
+        if n < MIN_IC:
+            return pa.table({"perm": pa.array([], pa.int32()), "ics": pa.array([], pa.list_(pa.float64()))})
+        ranks = np.stack([np.argsort(np.argsort(nulls_first(table.column(c)), kind="stable")) for c in few], 1) - (n - 1) / 2
+        tails = [f"|{k}|{s}".encode() for s in table.column("symbol").to_pylist()]
+        perms = range(1, permutations + 1)
+        drawn = np.array([[hashlib.md5(b"%d|%d" % (seed, p) + t).digest() for t in tails] for p in perms], "S16").reshape(len(perms), n)
+        dealt = np.argsort(np.argsort(fixed_bytes(drawn), axis=1, kind="stable"), axis=1) - (n - 1) / 2
+        ics = dealt @ ranks / ((n * n - 1) * n / 12)
+        return pa.table({"perm": pa.array(perms, pa.int32()), "ics": pa.array(list(ics), pa.list_(pa.float64()))})
+
+    ranked = panel.select("k", "symbol", *[F.col(s).cast("double").alias(c) for s, c in zip(strategies, few, strict=True)])
+    many = ranked.groupBy("k").applyInArrow(lambda table: deal(table), "perm int, ics array<double>")
+    best = many.groupBy("perm").agg(F.greatest(*[F.avg(F.col("ics")[i]) for i in range(len(strategies))], F.lit(None)).alias("ic"))
     return best.agg(F.count("*").alias("permutations"), F.avg("ic").alias("mean"), F.percentile("ic", F.lit(0.95)).alias("p95"), F.percentile("ic", F.lit(0.99)).alias("p99"), F.max("ic").alias("most"))
 
 
+def nulls_first(column: pa.ChunkedArray) -> np.ndarray:
+    return np.nan_to_num(column.to_numpy().astype(float), nan=-np.inf)
+
+
+def fixed_bytes(digests: np.ndarray) -> np.ndarray:
+    """Digests as numbers in the same order; ends of zero bytes count too."""
+    return digests.view(">u8").reshape(*digests.shape, 2)[..., 0]
+
+
 def state_summary(labels: DataFrame) -> DataFrame:
     """(state, share, n_runs, mean_run, median_run) of (symbol, date, state); runs never cross symbols."""
     t = labels.where("state IS NOT NULL")
