@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks, fundamental
 from ..operators import portfolio as pf
-from ..operators.score import HORIZONS, scan
+from ..operators.score import HORIZONS, SLEEVES, scan
 from ..sources.bars import derive_bars, market
 from ..sources.scratch import held
 from . import indicator_sql as sql
@@ -157,6 +157,38 @@ UNION ALL SELECT 'score_separation', CASE WHEN n < {checks.SEPARATION_NAMES} THE
 
     whole = (trades, fund, held_reach + groups, all_checks)
     timing = "CASE WHEN s >= 15 THEN 'enter' WHEN s <= -15 THEN 'wait' ELSE 'ok' END"
+    facts = f"""ms AS MATERIALIZED (SELECT date, CASE WHEN n >= 200 THEN close > m END AS above, CASE WHEN n >= 200 THEN 100 * (close / m - 1) END AS dist, CASE WHEN vol IS NOT NULL AND len(s) >= 252 THEN 100.0::DOUBLE * len(list_filter(s, lambda v: v <= vol)) / len(s) END AS p FROM mc ORDER BY date DESC LIMIT 1),
+ch AS MATERIALIZED (SELECT (SELECT coalesce(list(symbol ORDER BY symbol), []) FROM nm WHERE symbol NOT IN ({prior})) AS added, (SELECT coalesce(list(s ORDER BY s), []) FROM (SELECT unnest([{prior}]) AS s) WHERE s NOT IN (SELECT symbol FROM nm)) AS dropped),
+bh AS MATERIALIZED (SELECT symbol, weight, score FROM wt JOIN nm USING (symbol) ORDER BY weight DESC, symbol LIMIT 8),
+fc0(id, label, value, text) AS (
+  {" UNION ALL ".join(f"SELECT 'sleeve.{s}', 'mean {s.replace('_', ' ')}', round(avg({s}), 3), NULL::VARCHAR FROM s_1m" for s in SLEEVES)}
+  UNION ALL SELECT 'regime.' || trend_state, 'names that are ' || trend_state, count(*)::DOUBLE, NULL FROM s_1m GROUP BY trend_state
+  UNION ALL SELECT 'count.' || recommendation, 'names that are ' || recommendation, count(*)::DOUBLE, NULL FROM s_1m GROUP BY recommendation
+  UNION ALL (SELECT 'name.' || symbol, symbol, round(score, 1), recommendation FROM s_1m ORDER BY score DESC, symbol LIMIT 8)
+  UNION ALL SELECT 'portfolio.n_names', 'number of names held', count(*)::DOUBLE, NULL FROM wt
+  UNION ALL SELECT 'portfolio.cash_pct', 'percent held in cash', 100 * (1 - exposure), NULL FROM gate
+  UNION ALL SELECT 'portfolio.added', 'names added', len(added)::DOUBLE, coalesce(nullif(array_to_string(added, ', '), ''), 'nothing') FROM ch
+  UNION ALL SELECT 'portfolio.dropped', 'names dropped', len(dropped)::DOUBLE, coalesce(nullif(array_to_string(dropped, ', '), ''), 'nothing') FROM ch
+  UNION ALL SELECT 'rebalance.n_trades', 'number of trades', count(*)::DOUBLE, NULL FROM tr
+  UNION ALL SELECT 'rebalance.net_cash', 'cash that the trades need', round(coalesce(sum(tv - cv), 0), 2), NULL FROM tr
+  UNION ALL SELECT 'holding.' || symbol || '.weight', symbol || ' weight', round(100 * weight, 1), NULL FROM bh
+  UNION ALL SELECT 'holding.' || symbol || '.score', symbol || ' score', round(score, 1), NULL FROM bh
+  UNION ALL SELECT 'market.risk', 'market state', NULL, CASE WHEN above IS NULL AND p IS NULL THEN 'unknown' WHEN above = false AND p >= 80 THEN 'off' WHEN above = false OR p >= 80 THEN 'neutral' ELSE 'on' END FROM ms
+  UNION ALL SELECT 'market.exposure', 'invested share', round(exposure, 2), NULL FROM gate
+  UNION ALL SELECT 'market.dist_200', 'percent over the mean of 200 bars', round(dist, 2), NULL FROM ms WHERE dist IS NOT NULL
+  UNION ALL SELECT 'market.vol_pctile', 'percentile of volatility', round(p, 2), NULL FROM ms WHERE p IS NOT NULL),
+fc AS MATERIALIZED (SELECT * FROM fc0)"""
+    of = lambda i, c="value": f"(SELECT {c} FROM fc WHERE id = '{i}')"
+    worded = lambda c: f"replace(substr({c}, 8), '_', ' ')"
+    changes = " || ', ' || ".join((of("portfolio.added", "text"), of("portfolio.dropped", "text")))
+    told = f"""sl AS (SELECT arg_max(id, (value, id)) AS hi, max(value) AS hv, arg_min(id, (value, id)) AS lo, min(value) AS lv FROM fc WHERE starts_with(id, 'sleeve.')),
+st AS (SELECT 0 AS i, 'The market is ' || {of("market.risk", "text")} || '.' AS text, [] AS allowed
+  UNION ALL SELECT 1, CASE WHEN {of("portfolio.cash_pct")} > 0 THEN printf('The book holds %.0f names and %.1f percent cash.', {of("portfolio.n_names")}, {of("portfolio.cash_pct")}) ELSE printf('The book holds %.0f names.', {of("portfolio.n_names")}) END, [{of("portfolio.n_names")}, {of("portfolio.cash_pct")}]
+  UNION ALL SELECT 2, CASE WHEN {changes} <> 'nothing, nothing' THEN 'New: ' || {of("portfolio.added", "text")} || '; gone: ' || {of("portfolio.dropped", "text")} || '.' ELSE 'The names are the same as before.' END, [{of("portfolio.added")}, {of("portfolio.dropped")}]
+  UNION ALL SELECT 3, printf('The %s sleeve reads %.3f, the %s sleeve %.3f.', {worded("hi")}, hv, {worded("lo")}, lv), [hv, lv] FROM sl),
+nu AS (SELECT i, text, allowed, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9.])(-?[0-9]+(?:,[0-9]{{3}})*(?:[.][0-9]+)?)\\b', 1)) AS x FROM st),
+wr AS (SELECT DISTINCT i FROM nu WHERE len(list_filter(allowed, lambda a: abs(a - CAST(replace(x, ',', '') AS DOUBLE)) <= 0.02 * greatest(abs(a), abs(CAST(replace(x, ',', '') AS DOUBLE)), 1e-9))) = 0),
+jd AS MATERIALIZED (SELECT st.*, i IN (SELECT i FROM wr) AS wrong FROM st)"""
     queries = {
         "pf_recommend": recommend_query, "pf_recommend_trades": trades_query, "pf_changes": changes_query, "pf_portfolio_risk": risk_query, "check_all": checks_query, "check_review": review_query, "check_clusters": clusters_query,
         "fundamental_summary": summary_query, "fundamental_sectors": medians_query, "fundamental_refresh": refresh_query,
@@ -176,6 +208,8 @@ SELECT round(100 * stddev_samp(ret) * sqrt(252), 4) AS ann_vol, round(100 * (SEL
         "check_review": query("""SELECT n_fail > 0 AS blocking, n_fail, n_warn, CASE WHEN n_fail > 0 THEN n_fail || ' failed: ' || f WHEN n_warn > 0 THEN 'none failed, ' || n_warn || ' to look at: ' || w ELSE 'all ' || n || ' passed' END AS summary, concerns FROM (
 SELECT count(*) AS n, count(*) FILTER (status = 'fail') AS n_fail, count(*) FILTER (status = 'warn') AS n_warn, string_agg(id, '; ' ORDER BY id) FILTER (status = 'fail') AS f, string_agg(id, '; ' ORDER BY id) FILTER (status = 'warn') AS w,
   coalesce(string_agg(id || CASE WHEN status = 'fail' THEN ':high' ELSE ':medium' END, ',' ORDER BY status, id) FILTER (status IN ('fail', 'warn')), '') AS concerns FROM ck)""", *whole),
+        "brief_facts": query("SELECT id, label, round(value, 3) AS value, text FROM fc", trades, facts),
+        "brief": query("SELECT string_agg(text, ' ' ORDER BY i) FILTER (NOT wrong) AS text, count(*) FILTER (NOT wrong) AS n_kept, count(*) FILTER (wrong) AS n_rejected, count(*) FILTER (wrong) / count(*)::DOUBLE AS rejected_share, (SELECT count(*) FROM fc) AS n_facts, (SELECT substr(sha256(string_agg(l, chr(10) ORDER BY l)), 1, 12) FROM (SELECT id || '|' || coalesce(CAST(value AS VARCHAR), text, '') AS l FROM fc)) AS facts_hash FROM jd", trades, facts, told),
         "check_clusters": f"WITH RECURSIVE {B}, {ret}, {reach} {groups} SELECT symbol, head, (count(*) OVER (PARTITION BY head))::INT AS size FROM hd",
         "fundamental_summary": f"""WITH {M}, {fund}, {med} SELECT symbol, sector, round(trailing_pe, 2) AS pe, round(forward_pe, 2) AS forward_pe, round(price_to_book, 2) AS pb, round(roe * 100, 2) AS roe, round(margin * 100, 2) AS margin, round(dividend_yield * 100, 2) AS dividend_yield, next_earnings,
   array_to_string(list_filter([CASE WHEN d BETWEEN 0 AND 7 THEN printf('reports in %d days', d) END, CASE WHEN trailing_pe > 0 AND trailing_pe > 2 * m THEN printf('dear: %.0f times earnings, median %.0f', trailing_pe, m) WHEN trailing_pe > 0 AND trailing_pe < 0.5 * m THEN printf('cheap: %.0f times earnings, median %.0f', trailing_pe, m) END,
