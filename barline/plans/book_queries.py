@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +152,14 @@ def latest_run_query(spark, sf_dir) -> DataFrame:
     return rounded(store.latest_run(_saved(spark, sf_dir)[0], NOW + 60, 3600).drop("ts"), 5)
 
 
+def served_query(spark, sf_dir) -> DataFrame:
+    """What the newest run answers of five requests: two it can, one too late, one for an unknown symbol, one for a period that nobody has."""
+    saved, some = _saved(spark, sf_dir)[0], ["NATION_1", "NATION_3"]
+    asked = {"both": (some, ["1m"], 60), "one": (some[:1], ["1m"], 3600), "late": (some, ["1m"], 3601), "unknown": ([*some, "NOWHERE"], ["1m"], 60), "period": (some, ["1m", "6m"], 60)}
+    parts = [store.served(saved, s, p, NOW + later, 3600).select(F.lit(name).alias("request"), "id", "symbol", "period", "rank") for name, (s, p, later) in asked.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stored_fundamentals_query(spark, sf_dir) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("symbol"), F.to_json(F.struct(F.col("n_nationkey").alias("pe"))).alias("data"), (NOW - F.col("n_nationkey") * 40_000.0).alias("fetched_at"))
     fresh = n.where("symbol LIKE '%1%'").select("symbol", F.lit('{"pe":-1}').alias("data"))
@@ -257,7 +267,7 @@ pl AS MATERIALIZED (SELECT symbol, plan, CASE WHEN plan = 'recent' THEN CAST(las
   SELECT symbol, last, CASE WHEN last IS NOT NULL AND k % 7 <> 6 AND k * 300 < {store.TTL_SECONDS} THEN 'cache' WHEN last IS NULL OR k % 7 = 6 OR k * 50000 > {store.FULL_SECONDS} THEN 'full' ELSE 'recent' END AS plan FROM nm LEFT JOIN hb USING (symbol)))"""
     queries = {
         "store_point": point_query, "store_upsert": upsert_query, "store_stale": stale_query, "store_universe": universe_query, "runs_kept": runs_kept_query, "runs_previous_ranks": previous_ranks_query, "runs_history": history_query,
-        "ledger": ledger_query, "candidates": candidates_query, "store_fetch_plan": _plan, "store_fetched": fetched_query, "store_meta": meta_query, "store_backfill": backfill_query, "runs_saved": saved_query, "runs_latest": latest_run_query, "fundamental_stored": stored_fundamentals_query,
+        "ledger": ledger_query, "candidates": candidates_query, "store_fetch_plan": _plan, "store_fetched": fetched_query, "store_meta": meta_query, "store_backfill": backfill_query, "runs_saved": saved_query, "runs_latest": latest_run_query, "runs_served": served_query, "fundamental_stored": stored_fundamentals_query,
         "fundamental_medians": medians_query, "pf_correlations": pairs_query, "pf_weights": weights_query, "pf_selection": selection_query, "pf_risk": risk_query, "pf_positions": positions_query, "pf_rebalance": rebalance_query,
         "market_state": market_query, "check_concentration": concentration_query, "factor_values": factor_query,
     }
@@ -279,6 +289,7 @@ SELECT * FROM nw UNION ALL SELECT * FROM bars b WHERE NOT EXISTS (SELECT 1 FROM
         "store_meta": f"SELECT kind || ':' || n_name AS key, CAST(CASE WHEN kind = 'fetch' AND n_nationkey % 3 = 0 THEN {NOW} WHEN kind = 'fetch' THEN {NOW} - n_nationkey * 300 ELSE {NOW} - n_nationkey * 50000 END AS VARCHAR) AS value FROM nation, (SELECT unnest(['fetch', 'full']) AS kind) WHERE n_nationkey % 7 <> 6 OR (kind = 'fetch' AND n_nationkey % 3 = 0)",
         "store_backfill": f"WITH {B}, c AS (SELECT symbol, min(date) AS have_from FROM bars WHERE date >= DATE '1993-06-01' OR symbol[-1] > '4' GROUP BY symbol), w AS (SELECT DISTINCT symbol FROM bars UNION SELECT 'MKT') SELECT symbol, have_from FROM w LEFT JOIN c USING (symbol) WHERE have_from IS NULL OR have_from >= CAST(DATE '1999-04-01' - INTERVAL {365 * store.BACKFILL_YEARS} DAY AS DATE)",
         "runs_saved": f"WITH {B}, {run}, l AS (SELECT max(run_id) AS m FROM runs), al AS (SELECT run_id, symbol FROM runs UNION ALL SELECT m + 1, symbol FROM runs, l WHERE run_id = m), n AS (SELECT run_id::BIGINT AS run_id, count(*) AS rows FROM al GROUP BY run_id) SELECT run_id, CASE WHEN run_id IN (SELECT run_id FROM n ORDER BY run_id DESC LIMIT {store.KEPT_RUNS}) THEN rows::INT END AS names, rows FROM n",
+        "runs_served": f"WITH {B}, {run} SELECT request, (run_id + 1)::BIGINT AS id, symbol, '1m' AS period, 11 - rank AS rank FROM runs, (VALUES ('both'), ('one')) q(request) WHERE run_id = (SELECT max(run_id) FROM runs) AND (symbol = 'NATION_1' OR symbol = 'NATION_3' AND request = 'both')",
         "runs_latest": f"WITH {B}, {run} SELECT (run_id + 1)::BIGINT AS id, symbol, '1m' AS period, round(-score, 5) AS score, 11 - rank AS rank, CASE WHEN rank = 1 THEN 'STRONG BUY' WHEN rank IN (2, 3) THEN 'BUY' WHEN rank = 4 THEN 'WEAK BUY' WHEN rank = 7 THEN 'WEAK SELL' WHEN rank IN (8, 9) THEN 'SELL' WHEN rank = 10 THEN 'STRONG SELL' ELSE 'HOLD' END AS recommendation FROM runs WHERE run_id = (SELECT max(run_id) FROM runs)",
         "fundamental_stored": f"SELECT n_name AS symbol, CASE WHEN n_name LIKE '%1%' THEN '{{\"pe\":-1}}' ELSE '{{\"pe\":' || n_nationkey || '}}' END AS data, CASE WHEN n_name LIKE '%1%' THEN 0.0::DOUBLE ELSE n_nationkey * 40000.0::DOUBLE END AS age FROM nation WHERE n_name LIKE '%1%' OR n_nationkey * 40000 <= {store.FULL_SECONDS}",
         "fundamental_medians": "WITH p AS (SELECT p_brand, p_retailprice / p_size AS pe FROM part), m AS (SELECT p_brand, quantile_cont(pe, 0.5) AS m FROM p WHERE pe > 0 AND pe < 10000 GROUP BY p_brand) SELECT p_brand, round(any_value(m), 4) AS median_pe, count(*) FILTER (pe > 2 * m) AS rich, count(*) FILTER (pe < 0.5 * m) AS cheap FROM p JOIN m USING (p_brand) GROUP BY p_brand",

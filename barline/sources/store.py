@@ -118,6 +118,18 @@ def latest_run(runs: DataFrame, now: float | None = None, max_age: float | None
     return top.select("id", "ts", F.inline(F.from_json("results", RUN_ROW)))
 
 
+def served(runs: DataFrame, symbols: list[str], periods: list[str], now: float, max_age: float) -> DataFrame:
+    """:func:`latest_run` of the asked symbols, if that run can answer: it is no older than ``max_age`` seconds, its universe has all of them, and each period was scored for some name. Else nothing, and a scan is due."""
+    parsed = F.from_json("results", RUN_ROW)
+    lacks = F.array_except(F.array(*map(F.lit, symbols)), F.split("universe", ","))
+    seen = F.transform(parsed, lambda r: r["period"])
+    can = [F.lit(now) - F.col("ts") <= max_age, F.size(lacks) == 0, *[F.array_contains(seen, p) for p in periods]]
+    top = runs.orderBy(F.desc("id")).limit(1)
+    for c in can:
+        top = top.where(c)
+    return top.select("id", "ts", F.inline(parsed)).where(F.col("symbol").isin(symbols))
+
+
 def run_before(history: DataFrame, before: int | None = None) -> DataFrame:
     """(symbol, period, rank) of the newest run, or of the newest one before ``before``."""
     h = history if before is None else history.where(F.col("run_id") < before)
