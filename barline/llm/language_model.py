@@ -45,6 +45,8 @@ COUNTS_AT_ONCE = 1 << 20
 BATCH = 1024
 #: Logits within this range need no shift before they are raised to powers.
 SAFE = 60.0
+#: Steps of a batch that touch one weight row are added up one by one over all rows to here, the rest of a row's at once.
+SINGLY = 8
 BLOCK = 64
 UNUSED = -30.0
 
@@ -178,10 +180,33 @@ def word_rows(one: np.ndarray, two: np.ndarray, node: np.ndarray) -> list[np.nda
     return [bucket(one ^ c, 4), ROWS + bucket(two ^ c, 5)]
 
 
+def logits(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    """Sums of the features' weight rows and the bias, shifted where they are too large to be raised to powers."""
+    z = np.take(table, rows[0], 0)
+    for r in rows[1:]:
+        z += np.take(table, r, 0)
+    z += bias
+    if max(z.max(), -z.min()) > SAFE:
+        z -= z.max(1, keepdims=True)
+    return z
+
+
 def softmax_log(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log probability of one outcome ``at`` for each row of logits."""
-    z = z - z.max(1, keepdims=True)
-    return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(1))
+    """Log probability of one outcome ``at`` for each row of :func:`logits`, which are overwritten."""
+    chosen = z[np.arange(len(z)), at]
+    return chosen - np.log(np.exp(z, out=z).sum(1))
+
+
+def sums(d: np.ndarray, by: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sum of the rows ``d[by[first:first + count]]`` of each run; most runs are short, a few very long."""
+    total = np.take(d, by[first], 0)
+    longer = np.flatnonzero(count > 1)
+    for k in range(1, SINGLY):
+        total[longer] += np.take(d, by[first[longer] + k], 0)
+        longer = longer[count[longer] > k + 1]
+    for k in longer:
+        total[k] += np.take(d, by[first[k] + SINGLY : first[k] + count[k]], 0).sum(0)
+    return total
 
 
 def train_task(w: Weights, h: np.ndarray, row: np.ndarray, v: Vocabulary, rate: float, seen: list[np.ndarray], hits: list[np.ndarray]) -> None:
@@ -197,15 +222,9 @@ def train_task(w: Weights, h: np.ndarray, row: np.ndarray, v: Vocabulary, rate:
 
 
 def step(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, target: np.ndarray, rate: float, seen: np.ndarray, hits: np.ndarray) -> None:
-    d = np.take(table, rows[0], 0)
-    for r in rows[1:]:
-        d += np.take(table, r, 0)
-    d += bias
-    n = len(target)
-    if np.abs(d).max() > SAFE:
-        d -= d.max(1, keepdims=True)
+    d, n = logits(table, rows, bias), len(target)
     np.exp(d, out=d)
-    d /= d.sum(1, keepdims=True)
+    d *= (1 / d.sum(1))[:, None]
     d[np.arange(n), target] -= 1
     size = np.einsum("ij,ij->i", d, d) / d.shape[1]
     # The features' rows lie in different ranges of the table, so one sort adds up all of them.
@@ -214,9 +233,10 @@ def step(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, target: np
     r, by = r[by], by % n
     first = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1])
     own = r[first].astype(np.int64)
+    count = np.diff(first, append=len(r))
     seen[own] += np.add.reduceat(size[by], first)
-    hits[own] += np.diff(first, append=len(r))
-    table[own] -= np.add.reduceat(np.take(d, by, 0), first) * (rate / np.sqrt(seen[own] + 0.1))[:, None]
+    hits[own] += count
+    table[own] -= sums(d, by, first, count) * (rate / np.sqrt(seen[own] + 0.1))[:, None]
 
 
 def train_round(docs: DataFrame, w: Weights, v: Vocabulary, rate: float) -> None:
@@ -264,12 +284,11 @@ def score_rows(h: np.ndarray, row: np.ndarray, n: int, w: Weights, v: Vocabulary
     base = smoothed - np.log10(v.total + 0.1 * (v.types + 1))
     one, two = history(h, row)
     model = np.where(place < 0, smoothed - np.log10(v.rest), 0.0)
-    for lo in range(0, len(h), 8192):
-        s = slice(lo, lo + 8192)
+    for lo in range(0, len(h), BATCH):
+        s = slice(lo, lo + BATCH)
         cls, token, node, out = path(place[s])
-        z = w.class_bias + sum(w.classes[r] for r in class_rows(one[s], two[s]))
-        got = softmax_log(z, cls)
-        z = w.word_bias[node] + sum(w.words[r] for r in word_rows(one[lo + token], two[lo + token], node))
+        got = softmax_log(logits(w.classes, class_rows(one[s], two[s]), w.class_bias), cls)
+        z = logits(w.words, word_rows(one[lo + token], two[lo + token], node), w.word_bias[node])
         model[s] += (got + np.bincount(token, softmax_log(z, out), len(got))) / np.log(10)
     return np.bincount(row, c > 0, n), np.bincount(row, base, n), np.bincount(row, model, n), rare
 
