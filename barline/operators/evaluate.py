@@ -75,40 +75,14 @@ def deflated_sharpe(returns: DataFrame, trials: int, spread: float | None = None
     return t.withColumn("deflated", normal_cdf(F.col("z"))).withColumn("passes", F.col("deflated") >= 0.95).drop("z")
 
 
-def _series(x: str) -> str:
-    """erf(x) for 0 <= x <= 3 as a sum of positive terms, by their ratio: good to the last digits of a double."""
-    terms = 60
-    nested = "1.0"
-    for k in range(terms, 0, -1):
-        nested = f"(1.0 + 2.0 * {x} * {x} / {2 * k + 1}.0 * {nested})"
-    return f"(2.0 / sqrt(pi()) * {x} * exp(-{x} * {x}) * {nested})"
-
-
-def _fraction(x: str) -> str:
-    """1 - erf(x) for x > 3 as a continued fraction."""
-    nested = x
-    for k in range(40, 0, -1):
-        nested = f"({x} + {k / 2} / {nested})"
-    return f"(exp(-{x} * {x}) / sqrt(pi()) / {nested})"
-
-
-def normal_cdf_sql(z: str) -> str:
-    """The normal distribution function as an SQL expression over a column, within 1e-15: Spark and DuckDB have no error function."""
-    x = f"(abs({z}) / sqrt(2.0))"
-    short, tail = _series(f"CAST(least({x}, 3.0) AS DOUBLE)"), _fraction(f"CAST(greatest({x}, 3.0) AS DOUBLE)")
-    upper = f"CASE WHEN {x} <= 3 THEN 0.5 * (1.0 - {short}) ELSE 0.5 * {tail} END"
-    return f"(CASE WHEN {z} IS NULL THEN NULL WHEN {z} < 0 THEN {upper} ELSE 1.0 - {upper} END)"
-
-
 def normal_cdf(z: Column) -> Column:
     """The normal distribution function of a column: a series of positive terms near 0, a continued fraction in the tails."""
     x = F.abs(z) / math.sqrt(2)
     near, far = F.least(x, F.lit(3.0)), F.greatest(x, F.lit(3.0))
-    series, fraction = F.lit(1.0), far
-    for k in range(60, 0, -1):
-        series = 1 + 2 * near * near / (2 * k + 1) * series
-    for k in range(40, 0, -1):
-        fraction = far + (k / 2) / fraction
+    # Folds over the terms' numbers: nested columns would repeat their operand in each term and outgrow a compiled method.
+    down = lambda n: F.sequence(F.lit(n), F.lit(1), F.lit(-1))
+    series = F.aggregate(down(60), F.lit(1.0), lambda got, k: 1 + 2 * near * near / (2 * k + 1) * got)
+    fraction = F.aggregate(down(40), far, lambda got, k: far + k / 2 / got)
     upper = F.when(x <= 3, 0.5 * (1 - 2 / math.sqrt(math.pi) * near * F.exp(-near * near) * series)).otherwise(0.5 * F.exp(-far * far) / math.sqrt(math.pi) / fraction)
     return F.when(z < 0, upper).when(z.isNotNull(), 1 - upper)
 

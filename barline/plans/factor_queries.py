@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 
 from ..functions import factors
 from ..operators import backtest as bt
 from ..operators import search
 from ..operators.score import HORIZONS, SLEEVES
+from ..sources import store
 from ..sources.bars import derive_bars, market
 from . import factor_sql
 from . import indicator_sql as sql
@@ -18,6 +21,7 @@ from .score_queries import score_ctes
 H, STEP, YEARS = HORIZONS["1m"], 21, 10
 ENDS = ("1996-06-28", "1997-12-31")
 DRAWN = 6
+SURVIVORS = ("reversal", "squashed_flow", "calm_momentum")
 #: All operands and all functions of the language.
 LANGUAGE = {
     "x1": "tanh(ts_mean(mfi14, 5) / 50) * sign(ts_delta(obv_z, 3))",
@@ -43,6 +47,14 @@ def search_query(spark, sf_dir) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "expression string, verdict string, t double, hurdle double"), 3)
 
 
+def holdout_query(spark, sf_dir) -> DataFrame:
+    """Survivors of a log in which one line comes twice, one is broken and two expressions failed: the sealed window is opened."""
+    lines = [{"expression": t, "canonical": factors.canonical(t), "verdict": "survivor" if n in SURVIVORS else "weak"} for n, t in EXPRESSIONS.items()]
+    texts = [json.dumps(r) for r in (*lines, lines[0])] + ['{"expression": "close', '{"verdict": "survivor"}', json.dumps({"expression": "close +", "verdict": "survivor"}), ""]
+    log = spark.createDataFrame([(t,) for t in texts], "value string")
+    return rounded(search.review(log, derive_bars(spark, sf_dir), market(spark, sf_dir), H, STEP, ENDS), 4)
+
+
 def language_query(spark, sf_dir) -> DataFrame:
     """Every operand and every function of the language, at every bar."""
     table = factors.prepared(derive_bars(spark, sf_dir), *LANGUAGE.values())
@@ -93,9 +105,19 @@ c2 AS MATERIALIZED ({card_sql(exprs, "x", between_sql(STEP, *ENDS))})"""
   round(c1.t, 3) AS t, {hurdle} AS hurdle FROM tx LEFT JOIN c1 USING (expression) LEFT JOIN c2 USING (expression)""", more)
 
 
+def holdout_sql() -> str:
+    exprs = {n: EXPRESSIONS[n] for n in SURVIVORS}
+    quoted = ", ".join(f"('{n}', '{t}')" for n, t in exprs.items())
+    windows = {"c1": (None, ENDS[0]), "c2": ENDS, "c3": (ENDS[1], None)}
+    more = f"tx(expression, words) AS (VALUES {quoted}),\n" + ",\n".join(f"{c} AS MATERIALIZED ({card_sql(exprs, 'x', between_sql(STEP, *w))})" for c, w in windows.items())
+    hurdle = f"sqrt(2 * ln({len(EXPRESSIONS)}.0::DOUBLE))"
+    return with_factors(exprs, f"""SELECT words AS expression, round(c1.t, 4) AS discovery_t, round(c2.t, 4) AS validation_t, round(c3.mean_ic, 4) AS holdout_ic, round(c3.t, 4) AS holdout_t, c3.n_dates AS holdout_dates, round({hurdle}, 4) AS hurdle,
+  coalesce(abs(c1.t) > {hurdle}, false) AS clears, coalesce(sign(c3.mean_ic) = sign(c1.mean_ic), false) AS holds FROM tx LEFT JOIN c1 USING (expression) LEFT JOIN c2 USING (expression) LEFT JOIN c3 USING (expression)""", more)
+
+
 def build() -> tuple[dict, dict]:
     r = ", ".join(f"round({c}, 4) AS {c}" for c in ("mean_ic", "t", "pct_positive", "first_half", "second_half", "decay", "coverage", "max_sleeve_corr"))
     gate = with_factors(EXPRESSIONS, f"SELECT expression, {r}, n_dates, verdict FROM card", f"card AS ({card_sql(EXPRESSIONS, 'x', cal_sql(STEP, YEARS))})")
     every = ", ".join(f"round({n}, 4) AS {n}" for n in LANGUAGE)
     language = sql.with_bars(factor_sql.needs(LANGUAGE), f"SELECT symbol, date, {every} FROM fx", True, factor_sql.factor_ctes(LANGUAGE))
-    return {"factor_gate": report_query, "factor_search": search_query, "factor_language": language_query}, {"factor_gate": gate, "factor_search": search_sql(), "factor_language": language}
+    return {"factor_gate": report_query, "factor_search": search_query, "factor_language": language_query, "factor_holdout": holdout_query}, {"factor_gate": gate, "factor_search": search_sql(), "factor_language": language, "factor_holdout": holdout_sql()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import checks, fundamental
 from ..operators import portfolio as pf
 from ..operators.score import HORIZONS, SLEEVES, scan
+from ..sources import store
 from ..sources.bars import derive_bars, market
 from ..sources.scratch import held
 from . import indicator_sql as sql
@@ -60,6 +61,23 @@ def changes_query(spark, sf_dir) -> DataFrame:
     return spark.createDataFrame([(rec["exposure"], rec["cash_weight"], rec["base"], ",".join(rec["added"]), ",".join(rec["dropped"]))], "exposure double, cash_weight double, base double, added string, dropped string")
 
 
+def carried_query(spark, sf_dir) -> DataFrame:
+    """What became of each name: the book of the last scan is read from the store, the new one starts from it and takes its place."""
+    symbols = table(spark, sf_dir, "nation").select(F.col("n_name").alias("symbol"))
+    meta = store.marked(spark.createDataFrame([], store.TABLES["meta"]), symbols, 1000.0, full=False)
+    meta = held(store.remembered(meta, list(PREVIOUS), 2000.0))
+    before = store.last_recommended(meta)
+    previous = tuple(sorted(r["symbol"] for r in before.select("symbol").collect()))  # a book has few names
+    bars = derive_bars(spark, sf_dir)
+    scanned = held(scan(bars, *USED))
+    rec = pf.recommend(scanned, bars, _positions(spark, sf_dir), _state(spark, sf_dir).first()["exposure"], previous, BASE, MOST, LIMIT)
+    chosen = [r["symbol"] for r in rec["weights"].select("symbol").collect()]
+    after = store.last_recommended(store.remembered(meta, chosen, 3000.0))
+    both = before.withColumnRenamed("ts", "seen").join(after, "symbol", "full")
+    became = F.when(F.col("seen").isNull(), "added").when(F.col("ts").isNull(), "dropped").otherwise("kept")
+    return both.select("symbol", became.alias("became"), "seen", F.col("ts").alias("now"))
+
+
 def risk_query(spark, sf_dir) -> DataFrame:
     return rounded(pf.portfolio_risk(_positions(spark, sf_dir), derive_bars(spark, sf_dir), market(spark, sf_dir)), 4)
 
@@ -190,13 +208,14 @@ nu AS (SELECT i, text, allowed, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-
 wr AS (SELECT DISTINCT i FROM nu WHERE len(list_filter(allowed, lambda a: abs(a - CAST(replace(x, ',', '') AS DOUBLE)) <= 0.02 * greatest(abs(a), abs(CAST(replace(x, ',', '') AS DOUBLE)), 1e-9))) = 0),
 jd AS MATERIALIZED (SELECT st.*, i IN (SELECT i FROM wr) AS wrong FROM st)"""
     queries = {
-        "pf_recommend": recommend_query, "pf_recommend_trades": trades_query, "pf_changes": changes_query, "pf_portfolio_risk": risk_query, "check_all": checks_query, "check_review": review_query, "check_clusters": clusters_query,
+        "pf_recommend": recommend_query, "pf_recommend_trades": trades_query, "pf_changes": changes_query, "pf_carried": carried_query, "pf_portfolio_risk": risk_query, "check_all": checks_query, "check_review": review_query, "check_clusters": clusters_query,
         "fundamental_summary": summary_query, "fundamental_sectors": medians_query, "fundamental_refresh": refresh_query,
     }
     oracles = {
         "pf_recommend": query(f"SELECT symbol, round(weight, 4) AS weight, round(score, 4) AS score, {timing} AS timing, round(price, 4) AS price, round(weight * {BASE} * exposure, 4) AS target_value, round(weight * {BASE} * exposure / price, 4) AS target_shares FROM (SELECT wt.*, nm.score, price, exposure, coalesce(d.score, e.score) AS s FROM wt JOIN nm USING (symbol) JOIN lastp USING (symbol) LEFT JOIN s_1d d ON d.symbol = wt.symbol LEFT JOIN s_1w e ON e.symbol = wt.symbol, gate)"),
         "pf_recommend_trades": query("SELECT symbol, round(price, 3) AS price, round(cv, 3) AS current_value, round(tv, 3) AS target_value, round(tv - cv, 3) AS delta_value, round(CASE WHEN tv = 0 AND shares IS NOT NULL THEN -shares ELSE (tv - cv) / price END, 3) AS delta_shares, CASE WHEN tv > cv THEN 'buy' ELSE 'sell' END AS action FROM tr", trades),
         "pf_changes": query(f"SELECT exposure, 100 * (1 - exposure) AS cash_weight, {BASE}::DOUBLE AS base, (SELECT coalesce(string_agg(symbol, ',' ORDER BY symbol), '') FROM nm WHERE symbol NOT IN ({prior})) AS added, (SELECT coalesce(string_agg(s, ',' ORDER BY s), '') FROM (SELECT unnest([{prior}]) AS s) WHERE s NOT IN (SELECT symbol FROM nm)) AS dropped FROM gate"),
+        "pf_carried": query(f"SELECT coalesce(a.s, nm.symbol) AS symbol, CASE WHEN a.s IS NULL THEN 'added' WHEN nm.symbol IS NULL THEN 'dropped' ELSE 'kept' END AS became, CASE WHEN a.s IS NOT NULL THEN 2000.0::DOUBLE END AS seen, CASE WHEN nm.symbol IS NOT NULL THEN 3000.0::DOUBLE END AS now FROM (SELECT unnest([{prior}]) AS s) a FULL JOIN nm ON a.s = nm.symbol"),
         "pf_portfolio_risk": f"""WITH {B}, {M}, {ret}, {last}, {pos}, w AS MATERIALIZED (SELECT symbol, shares * price / sum(shares * price) OVER () AS weight FROM pos JOIN lastp USING (symbol)), n AS (SELECT count(DISTINCT date) AS d FROM rr), fit AS MATERIALIZED (SELECT symbol FROM rr GROUP BY symbol HAVING count(*) >= floor((SELECT d FROM n) * 0.6)),
 uw AS (SELECT symbol, weight / sum(weight) OVER () AS u FROM w WHERE symbol IN (FROM fit)), pr AS MATERIALIZED (SELECT date, sum(ret * u) AS ret FROM rr JOIN uw USING (symbol) GROUP BY date), mb AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS rb FROM mkt), mr AS (SELECT * FROM mb WHERE rb IS NOT NULL ORDER BY date DESC LIMIT 126),
 c AS (SELECT quantile_cont(ret, 0.05) AS q FROM pr), h AS (SELECT sum(weight * weight) AS hhi FROM w),

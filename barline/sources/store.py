@@ -107,6 +107,22 @@ def saved_run(runs: DataFrame, history: DataFrame, scan: DataFrame, ts: float) -
     return both.join(keep, "id", "left_semi"), history.unionByName(scores)
 
 
+RECOMMENDED = "last_recommendation"
+
+
+def remembered(meta: DataFrame, names: list[str], ts: float) -> DataFrame:
+    """The keyed values with the names of a recommendation, for the next one to start from."""
+    value = json.dumps({"symbols": sorted(names), "ts": ts})
+    return put(meta, meta.sparkSession.createDataFrame([(RECOMMENDED, value)], TABLES["meta"]))
+
+
+def last_recommended(meta: DataFrame) -> DataFrame:
+    """(symbol, ts) of the names recommended last, one row each; none before the first time or where the value is broken."""
+    value = F.from_json("value", "symbols array<string>, ts double")
+    t = meta.where(F.col("key") == RECOMMENDED).select(value.alias("v"))
+    return t.select(F.explode("v.symbols").alias("symbol"), F.col("v.ts").alias("ts")).where("symbol IS NOT NULL").distinct()
+
+
 RUN_ROW = "array<struct<symbol string, period string, score double, rank int, recommendation string>>"
 
 
