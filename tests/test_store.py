@@ -91,3 +91,14 @@ def test_batches_merge_into_months(spark, tmp_path):
     day = lambda k: DAY + datetime.timedelta(days=k)
     assert got == [("A", day(0), 9.0), ("A", day(40), 2.0), ("B", day(0), 5.0), ("C", day(1), 3.0)]
     assert not (tmp_path / "bars/v1/month=2024-02").exists()
+
+
+def test_the_last_recommendation_is_carried(spark):
+    meta = spark.createDataFrame([("fetch:A", "1.0")], store.TABLES["meta"])
+    assert store.last_recommended(meta).count() == 0
+    meta = store.remembered(store.remembered(meta, ["B", "A"], 1.0), ["C", "B"], 2.0)
+    assert sorted(map(tuple, store.last_recommended(meta).collect())) == [("B", 2.0), ("C", 2.0)]
+    assert sorted(r.key for r in meta.collect()) == ["fetch:A", store.RECOMMENDED]
+    assert store.last_recommended(store.remembered(meta, [], 3.0)).count() == 0
+    broken = store.put(meta, spark.createDataFrame([(store.RECOMMENDED, "{")], store.TABLES["meta"]))
+    assert store.last_recommended(broken).count() == 0
