@@ -89,45 +89,54 @@ def drawdown(closes: Column) -> Column:
     return fold["worst"] * 100
 
 
-def indicator_record(bars: DataFrame, *horizons: Horizon) -> DataFrame:
-    """The 27 indicators that a record shows, for each symbol's last bar and horizon."""
-    horizons = horizons or tuple(HORIZONS.values())
-    table = score(latest(_all_features(bars, horizons)), *horizons)
+def last_bars(bars: DataFrame, *horizons: Horizon) -> DataFrame:
+    """Each symbol's last bar with all that a record shows: one pass over the history, one row for each horizon, scored.
+
+    ``_fired``, ``_below`` and ``_above`` tell what happened within the last three bars.
+    """
+    more = ("bb_up", "bb_low", "don_break", "half_life126", "rel_vol", "rv21")
+    table = squeeze(features(bars, *horizons, last=LOOK_BACK, more=more))
+    recent = {f"_{n}": F.max(x.cast("int")).over(by().rowsBetween(-2, 0)) == 1 for n, x in (("fired", F.col("squeeze_fired")), ("below", F.col("macd_hist") < 0), ("above", F.col("macd_hist") > 0))}
+    return score(latest(table.withColumns(recent)), *horizons)
+
+
+def indicators() -> dict[str, Column]:
+    """The 27 indicators that a record shows, of the columns of :func:`last_bars`."""
     c = F.col
-    return table.select(
-        "symbol", "date", "period", "rsi", c("bbp20").alias("bbp"), c("macd_hist").alias("macd"), "stoch_k", "stoch_d", c("adx14").alias("adx"), (50 + 25 * F.tanh(c("obv_z") / 2)).alias("obv"),
-        F.tanh(15 * (ratio(c("sma_fast"), c("sma_slow")) - 1)).alias("ma_crossover"), c("psar_score").alias("psar"), "zscore", (100 * ratio(c("atr14"), c("close"))).alias("atr_pct"), c("rv21").alias("realized_vol"),
-        c("mom").alias("momentum"), c("mom_tstat").alias("momentum_tstat"), c("mom_12_1").alias("momentum_12_1"), c("kama10").alias("kama"), "linreg_slope", "linreg_r2", c("dist_52").alias("dist_52wk_high"), c("mfi14").alias("mfi"),
-        c("cmf20").alias("cmf"), c("obv_z").alias("obv_zscore"), "vwap_dev", c("rel_vol").alias("rel_volume"), c("don_pos").alias("donchian_pos"), c("don_break").alias("donchian_breakout"), "squeeze_on",
-    )
+    return {
+        "rsi": c("rsi"), "bbp": c("bbp20"), "macd": c("macd_hist"), "stoch_k": c("stoch_k"), "stoch_d": c("stoch_d"), "adx": c("adx14"), "obv": 50 + 25 * F.tanh(c("obv_z") / 2),
+        "ma_crossover": F.tanh(15 * (ratio(c("sma_fast"), c("sma_slow")) - 1)), "psar": c("psar_score"), "zscore": c("zscore"), "atr_pct": 100 * ratio(c("atr14"), c("close")), "realized_vol": c("rv21"),
+        "momentum": c("mom"), "momentum_tstat": c("mom_tstat"), "momentum_12_1": c("mom_12_1"), "kama": c("kama10"), "linreg_slope": c("linreg_slope"), "linreg_r2": c("linreg_r2"), "dist_52wk_high": c("dist_52"), "mfi": c("mfi14"),
+        "cmf": c("cmf20"), "obv_zscore": c("obv_z"), "vwap_dev": c("vwap_dev"), "rel_volume": c("rel_vol"), "donchian_pos": c("don_pos"), "donchian_breakout": c("don_break"), "squeeze_on": c("squeeze_on"),
+    }
 
 
-def _all_features(bars: DataFrame, horizons) -> DataFrame:
-    more = ("bb_up", "bb_low", "don_break", "half_life126", "rel_vol", "rv21")
-    return squeeze(features(bars, *horizons, last=LOOK_BACK, more=more))
+def indicator_record(bars: DataFrame, *horizons: Horizon) -> DataFrame:
+    """(symbol, date, period) and :func:`indicators`, for each symbol's last bar and horizon."""
+    return last_bars(bars, *(horizons or HORIZONS.values())).select("symbol", "date", "period", *[x.alias(n) for n, x in indicators().items()])
 
 
 def signal_record(bars: DataFrame, bench: DataFrame, *horizons: Horizon) -> DataFrame:
     """(symbol, period, signals): at most five texts for each symbol's last bar."""
     horizons = horizons or tuple(HORIZONS.values())
-    table = _all_features(bars, horizons)
-    recent = {f"_{n}": F.max(x.cast("int")).over(by().rowsBetween(-2, 0)) == 1 for n, x in (("fired", F.col("squeeze_fired")), ("below", F.col("macd_hist") < 0), ("above", F.col("macd_hist") > 0))}
-    scored = score(latest(table.withColumns(recent)), *horizons)
     betas = risk_record(bars, bench, *horizons).select("symbol", "period", "beta")
-    return scored.join(betas, ["symbol", "period"], "left").select("symbol", "period", signals().alias("signals"))
+    return last_bars(bars, *horizons).join(betas, ["symbol", "period"], "left").select("symbol", "period", signals().alias("signals"))
 
 
 def evaluate(bars: DataFrame, bench: DataFrame, *horizons: Horizon) -> DataFrame:
-    """One record for each symbol and horizon: sleeves, states, score, recommendation, and structs of risk and indicators, with the signals."""
+    """One record for each symbol and horizon: sleeves, states, score, recommendation, and structs of risk and indicators, with the signals.
+
+    The bars' history is read twice, once for the features and once for the risk; everything else is a projection of these.
+    """
     horizons = horizons or tuple(HORIZONS.values())
-    table = score(latest(_all_features(bars, horizons)), *horizons)
-    main = table.select("symbol", "date", "period", F.col("close").alias("last_price"), F.struct("trend", "momentum", "mean_reversion", "volume_flow", "quality").alias("factors"), F.struct("trend_state", "vol_state", "evidence", "hurst504", "variance_ratio", "er", "vol_pctile", "half_life126").alias("regime"), "score", "confidence", recommendation(F.col("score")).alias("recommendation"))
     risk = risk_record(bars, bench, *horizons)
-    shown = indicator_record(bars, *horizons).drop("date")
-    parts = (risk.select("symbol", "period", F.struct(*risk.columns[2:]).alias("risk")), shown.select("symbol", "period", F.struct(*shown.columns[2:]).alias("indicators")), signal_record(bars, bench, *horizons))
-    for p in parts:
-        main = main.join(p, ["symbol", "period"], "left")
-    return main
+    risk = risk.select("symbol", "period", F.struct(*risk.columns[2:]).alias("risk"), "beta")
+    table = last_bars(bars, *horizons).join(risk, ["symbol", "period"], "left")
+    return table.select(
+        "symbol", "period", "date", F.col("close").alias("last_price"), F.struct("trend", "momentum", "mean_reversion", "volume_flow", "quality").alias("factors"),
+        F.struct("trend_state", "vol_state", "evidence", "hurst504", "variance_ratio", "er", "vol_pctile", "half_life126").alias("regime"), "score", "confidence", recommendation(F.col("score")).alias("recommendation"),
+        "risk", F.struct(*[x.alias(n) for n, x in indicators().items()]).alias("indicators"), signals().alias("signals"),
+    )
 
 
 def legacy_analyze(bars: DataFrame) -> DataFrame:
