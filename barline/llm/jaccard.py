@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _COEF, fresh, join_hot, map_arrow, mix, prepare, raw, scratch, slices, stored, words
+from .common import _COEF, HOT_ONE_IN, fresh, join_hot, map_arrow, mix, prepare, raw, scratch, slices, stored, words
 from .components import components
 
 GROUP_SETS = 64
@@ -158,16 +158,26 @@ def stars(keyed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, leader bigint, member bigint")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Those of the pairs (a, b) of set ids that are linked."""
+def compared(star: DataFrame, sets: DataFrame, similarity: int, work: str) -> DataFrame:
+    """Pairs (a, b) of a leader and a member of its star that are linked.
+
+    A leader may hold a third of all members. Leaders with one row in HOT_ONE_IN or more (so at most that many, of which only
+    ids and counts are broadcast) are copied, and each copy's task gets a part of the members.
+    """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ok = [linked(x, y, similarity) for x, y in zip(unpacked(b.column(2)), unpacked(b.column(3)), strict=True)]
         return b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta"))
+    counts = stored(star.groupBy(F.col("leader").alias("hot")).agg(F.count("*").alias("n")), f"{work}/leaders")
+    share = max((counts.agg(F.sum("n")).first()[0] or 0) / HOT_ONE_IN, 64.0)
+    hot = F.broadcast(counts.where(F.col("n") >= share).select("hot", F.ceil(F.col("n") / share).alias("copies")))
+    copies = F.coalesce("copies", F.lit(1).cast("long"))
+    pairs = star.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
+    pairs = pairs.join(hot, F.col("a") == F.col("hot"), "left").select("a", "b", F.pmod(F.xxhash64("b"), copies).alias("copy"))
+    left = sets.join(hot, F.col("set_id") == F.col("hot"), "left").select(F.col("set_id").alias("a"), F.col("tokens").alias("ta"), F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
     right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), run, "a bigint, b bigint")
+    return map_arrow(pairs.join(left, ["a", "copy"]).join(right, "b").select("a", "b", "ta", "tb"), run, "a bigint, b bigint")
 
 
 def grouped(star: DataFrame, known: DataFrame) -> DataFrame:
@@ -245,7 +255,7 @@ def join(docs: DataFrame, width: int = 3, similarity: int = 90, id_col: str = "d
     nameless = map_arrow(docs.where(docs[id_col].isNull()).select(docs[text_col].alias("text")), digested, "set_id bigint, tokens binary")
     nameless = nameless.join(chosen.where("id is null").select("set_id"), "set_id", "left_semi")
     sets = stored(own_digest(sets).unionByName(nameless).groupBy("set_id").agg(F.first("tokens").alias("tokens")), f"{work}/sets")
-    edges = stored(compared(star.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), sets, similarity), f"{work}/edges")
+    edges = stored(compared(star, sets, similarity, work), f"{work}/edges")
     first = components(edges, f"{work}/first")
     known = wanted.join(first, wanted["set_id"] == first["node"], "left").select("set_id", F.coalesce("component", "set_id").alias("component"))
     known = stored(known, f"{work}/known")
