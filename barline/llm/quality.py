@@ -146,10 +146,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label_col: str = "quality", s
     if not n:
         return None
     draw = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / n))
-    drawn = docs.where(learn).select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(draw)
+    # About ``sample`` ids and labels, so they may be broadcast; no text of another row is hashed.
+    chosen = F.broadcast(ids.where(draw).join(marks, "id").select("id", "label").distinct())
+    drawn = docs.where(learn).select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(chosen, "id").select("id", "label", "text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        buf, off = raw(b.column(1))
+        buf, off = raw(b.column(2))
         ids, shares = [], []
         for lo in range(b.num_rows):
             count = np.zeros(BUCKETS, np.int64)
@@ -158,9 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label_col: str = "quality", s
             got = np.flatnonzero(count)
             ids.append(got.astype(np.int32))
             shares.append((count[got] / max(1, count.sum())).astype(np.float32))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["id", "ids", "shares"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32())), b.column(1)], ["id", "ids", "shares", "label"])
 
-    got = map_arrow(drawn, run, f"id {dict(docs.dtypes)[id_col]}, ids array<int>, shares array<float>").join(marks, "id")
+    got = map_arrow(drawn, run, f"id {dict(docs.dtypes)[id_col]}, ids array<int>, shares array<float>, label {dict(marks.dtypes)['label']}")
     # A large sample comes as Arrow, so that the JVM driver holds no row objects.
     rows = got.orderBy("id").limit(2 * sample).select("ids", "shares", "label").toArrow()
     unpacked = [rows.column(k).combine_chunks() for k in range(2)]
