@@ -2,6 +2,7 @@
 
 from test_indicators import make_bars, walk
 
+from barline.functions import formats
 from barline.operators import narrate
 from barline.operators.score import HORIZONS, beta, features, latest, scan, score, signals
 from barline.plans.indicator_queries import squeeze
@@ -21,6 +22,24 @@ def test_verified(spark):
     assert [r.sid for r in narrate.verified(sentences, facts, 2).where("reason IS NULL").collect()] == [1, 4]
 
 
+def test_numbers_as_text(spark):
+    """What a brief's hash rests on: values of ten millions and more are written without a power of ten, as DuckDB writes them."""
+    import duckdb
+
+    values = [0.0, -0.0, 1.0, 40.0, 0.167, 1e7, -1e7, 12345678.25, -98765432.1, 123456789012345.6, 1e15, 9999999999999998.0, 1e16, 1.5e17, -1.5e300, 0.001, 0.0001, 0.00012, 0.00001, -1.5e-7, 1e-300, float("nan"), float("inf"), float("-inf")]
+    want = duckdb.connect().execute("SELECT v, CAST(v AS VARCHAR) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()
+    got = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "i int, v double").select("i", formats.number(F.col("v")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [*(t for _, t in want), None]
+
+
+def test_facts_hash_of_large_values(spark):
+    from hashlib import sha256
+
+    facts = spark.createDataFrame([("market.risk", "m", None, None, "on"), ("rebalance.net_cash", "c", -12345678.25, None, None)], narrate.FACTS)
+    got = narrate.brief(facts).first()
+    assert got.facts_hash == sha256(b"market.risk|on\nrebalance.net_cash|-12345678.25").hexdigest()[:12]
+
+
 def test_facts_signals_and_beta(spark):
     bars = make_bars(spark, {"A": walk(330, 1), "B": walk(330, 2)})
     facts = narrate.scan_facts(scan(bars, "1m"), "1m").collect()
