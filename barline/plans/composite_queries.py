@@ -11,7 +11,7 @@ from ..operators import calibrate
 from ..operators import evaluate as ev
 from ..operators.regime import learned_weights
 from ..operators.score import HORIZONS, SLEEVES, WEIGHTS, features, score
-from ..sources.bars import derive_bars, market
+from ..sources.bars import derive_bars, held_market, market
 from ..sources.scratch import held
 from . import indicator_sql as sql
 from .backtest_queries import CAL, STEP, YEARS, ic_sql, panel_sql, returns_sql, rounded
@@ -25,7 +25,8 @@ H = HORIZONS["1m"]
 
 
 def bars_and_dates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return add(derive_bars(spark, sf_dir), "n_bar"), bt.calendar(market(spark, sf_dir), STEP, YEARS)
+    """Both written once: the panel reads the bars three times, and the dates are asked for each name."""
+    return held(add(derive_bars(spark, sf_dir), "n_bar")), held(bt.calendar(market(spark, sf_dir), STEP, YEARS))
 
 
 def composite_panel(bars: DataFrame, dates: DataFrame) -> DataFrame:
@@ -69,7 +70,8 @@ def gated_query(spark, sf_dir) -> DataFrame:
 
 
 def exposure_query(spark, sf_dir) -> DataFrame:
-    return bt.exposures(market(spark, sf_dir)).join(F.broadcast(bt.calendar(market(spark, sf_dir), STEP, YEARS).select("date", "k")), "date")
+    mkt = held_market(spark, sf_dir)
+    return bt.exposures(mkt).join(F.broadcast(bt.calendar(mkt, STEP, YEARS).select("date", "k")), "date")
 
 
 def regimes_query(spark, sf_dir) -> DataFrame:

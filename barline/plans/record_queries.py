@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import record
 from ..operators.evaluate import SQUEEZE_ON
 from ..operators.score import HORIZONS
-from ..sources.bars import derive_bars, market
+from ..sources.bars import derive_bars, held_bars, held_market, market
 from . import indicator_sql as sql
 from .backtest_queries import rounded
 from .composite_queries import as_text
@@ -18,7 +18,7 @@ SHOWN = ("rsi", "bbp", "stoch_k", "stoch_d", "adx", "obv", "ma_crossover", "psar
 
 
 def risk_query(spark, sf_dir) -> DataFrame:
-    got = record.risk_record(derive_bars(spark, sf_dir), market(spark, sf_dir))
+    got = record.risk_record(held_bars(spark, sf_dir), market(spark, sf_dir))
     return rounded(as_text(got, "calmar"), 4)
 
 
@@ -29,13 +29,13 @@ def indicators_query(spark, sf_dir) -> DataFrame:
 
 
 def signals_query(spark, sf_dir) -> DataFrame:
-    got = record.signal_record(derive_bars(spark, sf_dir), market(spark, sf_dir))
+    got = record.signal_record(held_bars(spark, sf_dir), held_market(spark, sf_dir))
     return got.select("symbol", "period", F.array_join("signals", "; ").alias("signals"))
 
 
 def record_query(spark, sf_dir) -> DataFrame:
     """The whole record, a part of each struct."""
-    got = record.evaluate(derive_bars(spark, sf_dir), market(spark, sf_dir))
+    got = record.evaluate(held_bars(spark, sf_dir), held_market(spark, sf_dir))
     parts = ("factors.trend", "regime.trend_state", "risk.beta", "risk.var_95", "indicators.rsi", "indicators.psar")
     return rounded(got.select("symbol", "date", "period", "last_price", "score", "confidence", "recommendation", *parts, F.size("signals").alias("n_signals")), 4)
 
