@@ -7,19 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import formats
 from ..operators import narrate
-from ..operators import portfolio as pf
-from ..sources.bars import derive_bars, market
 from ..sources.scratch import held
 from .backtest_queries import rounded
 from .book_queries import table
-from .portfolio_queries import _recommended
+from .portfolio_queries import _recommended, last_state
 
 
 def _facts(spark, sf_dir) -> DataFrame:
-    scanned, rec = _recommended(spark, sf_dir)
-    state = pf.market_state(market(spark, sf_dir)).orderBy(F.desc("date")).limit(1)
+    scanned, rec, _, mkt = _recommended(spark, sf_dir)
     book = narrate.book_facts(rec["holdings"], rec["trades"], rec["cash_weight"], rec["added"], rec["dropped"])
-    return narrate.scan_facts(scanned).unionByName(book).unionByName(narrate.market_facts(state))
+    return narrate.scan_facts(scanned).unionByName(book).unionByName(narrate.market_facts(last_state(mkt)))
 
 
 def facts_query(spark, sf_dir) -> DataFrame:

@@ -195,3 +195,15 @@ def test_brief(spark):
     wild = spark.createDataFrame([(0, "Everything doubles to 99.", ["market.risk"], "data")], narrate.SENTENCES)
     back = narrate.brief(facts, wild).first()
     assert back.n_kept == 4 and back.n_rejected == 1 and back.rejected_share == pytest.approx(0.2)
+
+
+def test_queries_of_several_branches_read_the_trades_once(spark):
+    """Their plans rest on bars, dates and weights that were written, not on the trades again."""
+    from barline.plans import composite_queries, portfolio_queries
+
+    folder = "/root/testdata/sf0.001"
+    found, rec = portfolio_queries.run_checks(spark, folder)
+    bars, dates = composite_queries.bars_and_dates(spark, folder)
+    for table in (found, rec["trades"], rec["holdings"], bars, dates, composite_queries.composite_panel(bars, dates)):
+        assert not [f for f in table.inputFiles() if "lineitem" in f]
+    assert found.count() == 7
