@@ -42,6 +42,8 @@ LEAVES = GROUPS + SLOTS - 1
 NODES = LEAVES + (SLOTS - 1) * SLOTS
 END, BEGIN = np.uint64(0x1234567), np.uint64(0x7654321)
 COUNTS_AT_ONCE = 1 << 20
+#: Leading bits of a hash that lead to its place in the dictionary: an index of 4 MB in every task.
+FIRST_BITS = 20
 BATCH = 1024
 #: Logits within this range need no shift before they are raised to powers.
 SAFE = 60.0
@@ -96,12 +98,31 @@ class Vocabulary:
     types: int
     rest: float  # smoothed count of all words outside the dictionary
 
+    def __post_init__(self):
+        """Where the hashes of each leading FIRST_BITS bits begin, and how many share these at most: few, as they are hashes."""
+        edges = np.searchsorted(self.h, np.arange(1 << FIRST_BITS, dtype=np.uint64) << np.uint64(64 - FIRST_BITS))
+        self.begin = edges.astype(np.int32)
+        self.longest = int(np.diff(edges, append=len(self.h)).max())
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's entry, and whether the dictionary has it; the dictionary isn't empty."""
+        at, last = self.begin[h >> np.uint64(64 - FIRST_BITS)], len(self.h) - 1
+        np.minimum(at, last, out=at)
+        got = np.take(self.h, at)
+        for _ in range(self.longest):
+            later = np.flatnonzero(got < h)
+            later = later[at[later] < last]
+            if not len(later):
+                break
+            at[later] += 1
+            got[later] = self.h[at[later]]
+        return at, got == h
+
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count and place of each token; count -1 where the dictionary hasn't it."""
         if not len(self.h):
             return np.full(len(h), -1), np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        known = self.h[at] == h
+        at, known = self.find(h)
         return np.where(known, self.c[at], -1), np.where(known, self.place[at], -1)
 
 
@@ -168,7 +189,7 @@ def history(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket(h: np.ndarray, salt: int) -> np.ndarray:
-    return (mix(h + np.uint64(salt)) % np.uint64(ROWS)).astype(np.int64)
+    return (mix(h + np.uint64(salt)) & np.uint64(ROWS - 1)).astype(np.int64)
 
 
 def class_rows(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
@@ -191,20 +212,47 @@ def logits(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.nd
     return z
 
 
+def row_sums(z: np.ndarray) -> np.ndarray:
+    return np.einsum("ij->i", z)
+
+
 def softmax_log(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log probability of one outcome ``at`` for each row of :func:`logits`, which are overwritten."""
     chosen = z[np.arange(len(z)), at]
-    return chosen - np.log(np.exp(z, out=z).sum(1))
+    return chosen - np.log(row_sums(np.exp(z, out=z)))
+
+
+class Shares:
+    """Log probabilities by weights that change no more: a table and its biases are raised to powers once, and a row's powers are multiplied.
+
+    Where the largest weights and biases could leave the range of powers together, logits are added up instead.
+    """
+
+    def __init__(self, table: np.ndarray, bias: np.ndarray, features: int):
+        self.table, self.bias = table, bias
+        self.safe = features * np.abs(table).max() + np.abs(bias).max() < SAFE
+        if self.safe:
+            self.table, self.bias = np.exp(table), np.exp(bias)
+
+    def log(self, rows: list[np.ndarray], node: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log probability of outcome ``at`` of the softmax ``node`` for each row."""
+        if not self.safe:
+            return softmax_log(logits(self.table, rows, np.take(self.bias, node, 0)), at)
+        p = np.take(self.table, rows[0], 0)
+        for r in rows[1:]:
+            p *= np.take(self.table, r, 0)
+        p *= np.take(self.bias, node, 0)
+        return np.log(p[np.arange(len(p)), at] / row_sums(p))
 
 
 def sums(d: np.ndarray, by: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Sum of the rows ``d[by[first:first + count]]`` of each run; most runs are short, a few very long."""
+    """Sum of the rows ``d[by[first:first + count]]`` of each run, the longest first; most runs are short, a few very long."""
     total = np.take(d, by[first], 0)
-    longer = np.flatnonzero(count > 1)
+    longer = len(count) - np.cumsum(np.bincount(np.minimum(count, SINGLY + 1), minlength=SINGLY + 2))
     for k in range(1, SINGLY):
-        total[longer] += np.take(d, by[first[longer] + k], 0)
-        longer = longer[count[longer] > k + 1]
-    for k in longer:
+        n = longer[k]
+        total[:n] += np.take(d, by[first[:n] + k], 0)
+    for k in range(longer[SINGLY]):
         total[k] += np.take(d, by[first[k] + SINGLY : first[k] + count[k]], 0).sum(0)
     return total
 
@@ -218,25 +266,30 @@ def train_task(w: Weights, h: np.ndarray, row: np.ndarray, v: Vocabulary, rate:
         k = slice(lo, lo + BATCH)
         step(w.classes, class_rows(one[k], two[k]), w.class_bias[None], cls, rate, seen[0], hits[0])
         token += lo
-        step(w.words, word_rows(one[token], two[token], node), w.word_bias[node], out, rate, seen[1], hits[1])
+        step(w.words, word_rows(one[token], two[token], node), np.take(w.word_bias, node, 0), out, rate, seen[1], hits[1])
 
 
 def step(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, target: np.ndarray, rate: float, seen: np.ndarray, hits: np.ndarray) -> None:
-    d, n = logits(table, rows, bias), len(target)
+    n = len(target)
+    d = logits(table, rows, bias)
     np.exp(d, out=d)
-    d *= (1 / d.sum(1))[:, None]
+    d *= (1 / row_sums(d))[:, None]
     d[np.arange(n), target] -= 1
     size = np.einsum("ij,ij->i", d, d) / d.shape[1]
     # The features' rows lie in different ranges of the table, so one sort adds up all of them.
     r = np.concatenate(rows).astype(np.uint16)
     by = np.argsort(r, kind="stable")
-    r, by = r[by], by % n
+    r, by = r[by], np.tile(np.arange(n), len(rows))[by]
     first = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1])
     own = r[first].astype(np.int64)
-    count = np.diff(first, append=len(r))
+    count = np.append(first[1:], len(r)) - first
     seen[own] += np.add.reduceat(size[by], first)
     hits[own] += count
-    table[own] -= sums(d, by, first, count) * (rate / np.sqrt(seen[own] + 0.1))[:, None]
+    longest = np.argsort(-count, kind="stable")
+    own, first, count = own[longest], first[longest], count[longest]
+    change = sums(d, by, first, count)
+    change *= (rate / np.sqrt(seen[own] + 0.1))[:, None]
+    table[own] = np.subtract(np.take(table, own, 0), change, out=change)
 
 
 def train_round(docs: DataFrame, w: Weights, v: Vocabulary, rate: float) -> None:
@@ -276,20 +329,25 @@ def train_round(docs: DataFrame, w: Weights, v: Vocabulary, rate: float) -> None
         table[lo : lo + BLOCK] += np.frombuffer(bytes(mean), np.float32).reshape(BLOCK, -1)
 
 
-def score_rows(h: np.ndarray, row: np.ndarray, n: int, w: Weights, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def shares_of(w: Weights) -> tuple[Shares, Shares]:
+    return Shares(w.classes, w.class_bias[None], 3), Shares(w.words, w.word_bias, 2)
+
+
+def score_rows(h: np.ndarray, row: np.ndarray, n: int, w: Weights, v: Vocabulary, shares: tuple[Shares, Shares] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Known tokens, base score and model score of each row without the counts of rare tokens; where these are."""
     c, place = v.look(h)
     rare = c < 0
     smoothed = np.where(rare, 0, np.log10(np.maximum(c, 0) + 0.1))
     base = smoothed - np.log10(v.total + 0.1 * (v.types + 1))
     one, two = history(h, row)
+    classes, ways = shares or shares_of(w)
     model = np.where(place < 0, smoothed - np.log10(v.rest), 0.0)
     for lo in range(0, len(h), BATCH):
         s = slice(lo, lo + BATCH)
         cls, token, node, out = path(place[s])
-        got = softmax_log(logits(w.classes, class_rows(one[s], two[s]), w.class_bias), cls)
-        z = logits(w.words, word_rows(one[lo + token], two[lo + token], node), w.word_bias[node])
-        model[s] += (got + np.bincount(token, softmax_log(z, out), len(got))) / np.log(10)
+        got = classes.log(class_rows(one[s], two[s]), np.zeros(len(cls), np.int64), cls)
+        way = ways.log(word_rows(one[lo + token], two[lo + token], node), node, out)
+        model[s] += (got + np.bincount(token, way, len(got))) / np.log(10)
     return np.bincount(row, c > 0, n), np.bincount(row, base, n), np.bincount(row, model, n), rare
 
 
@@ -308,6 +366,7 @@ def score(docs: DataFrame, held_mod: int = 10, rounds: int = 2, rate: float = 0.
 
     def run(batches):
         weights, vocab = shared.value
+        shares = shares_of(weights)
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
             buf, off = raw(b.column(2))
@@ -315,7 +374,7 @@ def score(docs: DataFrame, held_mod: int = 10, rounds: int = 2, rate: float = 0.
             for lo, hi in slices(off):
                 h, row = tokens(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 n = hi - lo
-                known, base, model, rare = score_rows(h, row, n, weights, vocab)
+                known, base, model, rare = score_rows(h, row, n, weights, vocab, shares)
                 ends = np.cumsum(np.bincount(row[rare], minlength=n)) if rare.any() else np.zeros(n, np.int64)
                 for o, x in zip(out, (np.bincount(row, minlength=n), known.astype(np.int64), base, model, np.split(h[rare].view(np.int64), ends[:-1])), strict=True):
                     o.extend(x)

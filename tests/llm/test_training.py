@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from barline.llm import language_id, quality
+from barline.llm import language_id, language_model, quality
 
 
 def test_quality_step_is_the_gradient_of_the_loss():
@@ -90,3 +90,24 @@ def test_network_steps_against_a_slow_loop():
     fast = language_id.train(x, target, labels, epochs=3)
     for mine, theirs in zip(params, (fast.embed, *fast.kernels, *fast.biases, fast.out, fast.bias), strict=True):
         assert np.allclose(mine, theirs, atol=1e-4)
+
+
+def test_language_model_places_and_shares():
+    """The dictionary's index finds what a sorted search finds; products of powers are the softmax of the added logits, and large weights are added."""
+    rng = np.random.default_rng(3)
+    for h in (rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2), np.arange(40, dtype=np.uint64) + np.uint64(1 << 62), np.array([0, 2**64 - 1], np.uint64)):
+        h = np.unique(h)
+        v = language_model.Vocabulary(h, np.arange(len(h)) + 1, np.arange(len(h)), 1, 1, 0.1)
+        asked = np.concatenate([h, h + np.uint64(1), h - np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+        place = np.minimum(np.searchsorted(h, asked), len(h) - 1)
+        want = np.where(h[place] == asked, place, -1)
+        assert (v.look(asked)[1] == want).all() and (v.look(asked)[0] == np.where(want < 0, -1, want + 1)).all()
+    rows, node, at = [rng.integers(0, 50, 300), rng.integers(50, 100, 300)], rng.integers(0, 7, 300), rng.integers(0, 64, 300)
+    for scale, safe in ((1.0, True), (30.0, False)):
+        table, bias = (rng.normal(0, scale, (n, 64)).astype(np.float32) for n in (100, 7))
+        shares = language_model.Shares(table, bias, 2)
+        z = table[rows[0]].astype(float) + table[rows[1]] + bias[node]
+        z -= z.max(1, keepdims=True)
+        want = z[np.arange(300), at] - np.log(np.exp(z).sum(1))
+        assert bool(shares.safe) == safe
+        assert np.abs(shares.log(rows, node, at) - want).max() < 1e-4
