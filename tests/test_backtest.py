@@ -24,6 +24,25 @@ def test_pad_takes_the_last_bar(spark):
     assert sorted((r.symbol, r.k, r.close) for r in pad(bars, asked, ["close"]).collect()) == [("A", 0, 1.0), ("A", 4, 1.0), ("A", 5, 2.0), ("A", 30, 2.0)]
 
 
+def test_a_panel_joined_with_itself_keeps_its_rows(spark):
+    from barline.functions.indicators import add
+    from barline.sources.scratch import held
+
+    rows = [(f"S{s}", day(d), 100.0 + d % 7 + s) for s in range(9) for d in range(340)]
+    bars = add(held(spark.createDataFrame(rows, "symbol string, date date, close double")), "n_bar")
+    dates = held(spark.createDataFrame([(k, day(310 + 5 * k), day(315 + 5 * k)) for k in range(4)], "k int, date date, next_date date"))
+    table = bt.panel(bars.withColumn("v", 2 * F.col("close")), dates, ["v"], bars)
+    at = lambda s, d: 100.0 + d % 7 + s
+    want = sorted((k, f"S{s}", 2 * at(s, 310 + 5 * k), at(s, 315 + 5 * k) / at(s, 310 + 5 * k) - 1, 9) for s in range(9) for k in range(4))
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            got = table.join(table.groupBy("k").agg(F.count("*").alias("n")), "k").collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        assert sorted((r.k, r.symbol, r.v, r.fwd, r.n) for r in got) == want
+
+
 def panel(spark, dates=12, names=15, seed=1):
     g = np.random.default_rng(seed)
     rows = [(k, day(7 * k), f"N{i:02}", float(f), float(g.normal()), float(f)) for k in range(dates) for i in range(names) for f in [g.normal(0, 0.02)]]
